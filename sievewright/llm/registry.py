@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_files
+from . import chat, compression, decontaminate, exact_dedup, html_text, ngram_join, packing, token_files, url_filter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_chat_rotation": chat.op3_chat_rotation,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_quality": compression.op8_quality,
     "op9_packing": packing.op9_packing,
+    "op10_decontamination": decontaminate.op10_decontamination,
+}
+ORACLES = {
+    "op1_ngram_join": ngram_join.SQL,
+    "op2_url_filter": url_filter.SQL,
+    "op3_chat_rotation": chat.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.SQL}
