@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
 #: ASCII signs that end a piece of letters; an apostrophe may begin a contraction, so it is none of them.
 _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -26,63 +25,52 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class SegmentTokenizer:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers.
+class SegmentTokenizer(dict):
+    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers; as a dict it maps segments to theirs.
 
     path: a file of the tokenizers library whose pre-tokenizer drops white space and has a piece of letters end where signs begin. max_cached bounds the segments kept in memory.
     """
 
-    def __init__(self, path: str, max_cached: int = 800_000):
+    def __init__(self, path: str, max_cached: int = 600_000):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model.tokenize
         self._alphabet = _byte_alphabet()
-        self._segments: dict[bytes, bytes] = {}
         self._pieces: dict[bytes, bytes] = {}
         self._max = max_cached
 
-    def _learn(self, segments: set[bytes]) -> None:
-        """Puts segments into the cache, with each new piece encoded once."""
-        if len(self._segments) + len(segments) > self._max:
-            self._segments.clear()
-        if len(self._pieces) > self._max:
-            self._pieces.clear()
-        pieces, known = self._pieces, self._segments
-        for s in segments:
-            word = s.rstrip(_SIGNS)
-            if word and (word.isalpha() or _LETTERS.fullmatch(word)):
-                ids = pieces.get(word) or self._piece(word)
-                if len(word) < len(s):
-                    signs = s[len(word) :]
-                    ids += pieces.get(signs) or self._piece(signs)
-                known[s] = ids
-            else:
-                known[s] = array("I", self._tokenizer.encode(s.decode(), add_special_tokens=False).ids).tobytes()
+    def __missing__(self, segment: bytes) -> bytes:
+        word = segment.rstrip(_SIGNS)
+        if word.isalpha() or _LETTERS.fullmatch(word):
+            word_lower = word.lower()
+            ids = self._pieces.get(word_lower) or self._piece(word_lower)
+            if len(word) < len(segment):
+                signs = segment[len(word) :]
+                ids += self._pieces.get(signs) or self._piece(signs)
+        else:
+            ids = array("I", self._tokenizer.encode(segment.decode(), add_special_tokens=False).ids).tobytes()
+        self[segment] = ids
+        return ids
 
     def _piece(self, piece: bytes) -> bytes:
         """Ids of letters alone or signs alone: the library's BPE model, without the steps around it that leave such a piece as it is."""
-        shown = piece.decode().lower().encode().decode("latin-1").translate(self._alphabet)
-        ids = self._pieces[piece] = array("I", [t.id for t in self._tokenizer.model.tokenize(shown)]).tobytes()
+        shown = piece.decode() if piece.isascii() else piece.decode().lower().encode().decode("latin-1").translate(self._alphabet)
+        ids = self._pieces[piece] = array("I", [t.id for t in self._model(shown)]).tobytes()
         return ids
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """texts: UTF-8."""
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            size, to = 0, at  # about 1 MB at a time
-            while to < len(texts) and (to == at or size < 1 << 20):
-                size += len(texts[to])
-                to += 1
-            cut = [t.split() for t in texts[at:to]]
-            if new := set(chain.from_iterable(cut)).difference(self._segments):
-                self._learn(new)
-                if missing := set(chain.from_iterable(cut)).difference(self._segments):
-                    self._learn(missing)
-            get = self._segments.__getitem__
-            out += [b"".join(map(get, c)) for c in cut]
-            at = to
+        get = self.__getitem__
+        for text in texts:
+            out.append(b"".join(map(get, text.split())))
+            if len(self) > self._max:
+                self.clear()
+            if len(self._pieces) > self._max:
+                self._pieces.clear()
         return out
 
 
