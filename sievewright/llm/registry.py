@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, compression, decontaminate, exact_dedup, html_text, ngram_join, packing, token_files, url_filter
+from . import chat, compression, decontaminate, exact_dedup, html_text, ngram_join, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_chat_rotation": chat.op3_chat_rotation,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_html_text": html_text.op7_html_text,
