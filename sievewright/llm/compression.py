@@ -25,7 +25,9 @@ from .common import chosen, documents, fields, table
 SCORED = fields(("doc_id", T.LongType()), ("score", T.DoubleType()))
 SIZED = fields(("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("good", T.LongType()), ("bad", T.LongType()), ("plain", T.LongType()))
 #: Bytes of a block, each compressed by itself, so that the dictionaries count as much at the end of a long text as at its start.
-BLOCK = 2048
+BLOCK = 1024
+#: Bytes of a piece of text in a dictionary.
+PIECE = 500
 
 
 @dataclass(frozen=True)
@@ -48,13 +50,17 @@ def features(sizes: np.ndarray) -> np.ndarray:
 class Sizer:
     """Compressed sizes of texts under a model's dictionaries."""
 
-    def __init__(self, model: CompressionModel, level: int = 3):
+    def __init__(self, model: CompressionModel, level: int = 9):
         import zstandard
 
         flags = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 
         def by(data: bytes):
-            return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **flags).compress if data else zstandard.ZstdCompressor(**flags).compress
+            if not data:
+                return zstandard.ZstdCompressor(**flags).compress
+            dictionary = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(level=level)
+            return zstandard.ZstdCompressor(dict_data=dictionary, **flags).compress
 
         self._good, self._bad, self._plain = by(model.good), by(model.bad), by(b"")
 
@@ -69,12 +75,17 @@ class Sizer:
 
 
 def build_dictionary(texts: list[bytes], size: int) -> bytes:
-    """A raw dictionary of at most size bytes: an equal share of each text, from its middle, with the most typical last."""
+    """A raw dictionary of at most size bytes: as many pieces of each text, from places spread by a fixed seed."""
     texts = [t for t in texts if t]
     if not texts:
         return b""
-    share = max(64, size // len(texts))
-    parts = [t[max(0, len(t) // 2 - share // 2) :][:share] for t in texts]
+    rng = np.random.default_rng(1)
+    share = max(1, size // PIECE // len(texts))
+    parts = []
+    for i in rng.permutation(len(texts)):
+        t = texts[i]
+        for at in rng.integers(0, max(1, len(t) - PIECE), min(share, -(-len(t) // PIECE))):
+            parts.append(t[at : at + PIECE])
     return b"\n".join(parts)[-size:]
 
 
@@ -104,18 +115,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     return sorted(out.values())
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable: Column | None = None, per_label: int = 2000, dictionary_bytes: int = 112_640, id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
-    """A model from at most per_label labelled texts of each label (a documented bound): three in ten for the dictionaries, the others for the curve. Without both labels the score is the share of label 1 in the sample, or 0.5 without any."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable: Column | None = None, per_label: int = 2000, dictionary_bytes: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> CompressionModel:
+    """A model from at most per_label labelled texts of each label (a documented bound): half of them for the dictionaries, the others for the curve. Without both labels the score is the share of label 1 in the sample, or 0.5 without any."""
     sample = labelled_sample(docs, labels, label_col, F.lit(True) if usable is None else usable, per_label, id_col, text_col)
     return fit_sample([(label, text) for _, label, text in sample], dictionary_bytes)
 
 
-def fit_sample(sample: list[tuple[int, bytes]], dictionary_bytes: int = 112_640) -> CompressionModel:
+def fit_sample(sample: list[tuple[int, bytes]], dictionary_bytes: int = 1_000_000) -> CompressionModel:
     y = np.array([label for label, _ in sample], float)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return CompressionModel(b"", b"", [float(np.log(p / (1 - p))), 0.0, 0.0, 0.0])
-    held = np.arange(len(sample)) % 10 < 3
+    held = np.arange(len(sample)) % 2 == 0
     good, bad = (build_dictionary([t for (label, t), h in zip(sample, held, strict=True) if h and label == want], dictionary_bytes) for want in (1, 0))
     model = CompressionModel(good, bad)
     sizer = Sizer(model)
