@@ -153,6 +153,20 @@ def quality_scores(docs: DataFrame, model: CompressionModel, id_col: str = "doc_
     return chosen(docs, id_col, text_col).mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), SCORED)
 
 
+def accepted(docs: DataFrame, model: CompressionModel, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows of docs with a score of at least `least`, all columns as they were. Rows stream through: nothing shuffles."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizer = Sizer(broadcast.value)
+        for batch in batches:
+            texts = pc.fill_null(batch.column(text_col), "").cast(pa.binary()).to_pylist()
+            if texts:
+                yield batch.filter(pa.array(broadcast.value.score(np.array([sizer.sizes(t) for t in texts])) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % modulus
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -204,9 +204,9 @@ class Index:
         return found
 
 
-def _find(blocks):
+def _find(block):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = blocks.value
+        index = block.value
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
@@ -223,21 +223,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Texts are compared in lower case with white space turned into single spaces. An item is held where some part of the document is within max_ratio of the item's characters in edits (0.2: a similarity of 0.8); distance is the least found, start is about where that part begins, in characters of the normalised text.
     Null and empty texts and items hold nothing and are held by nothing. Documents that repeat an id are searched one by one, each with rows of its own; of items that repeat an id the text that sorts first counts, an item without an id is void. An empty table on either side gives an empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
     rows = chosen(docs, id_col, text_col)
-    items = chosen(benchmark, item_id_col, item_text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
-    out = None
-    block: list[tuple[int, str]] = []
+    found = [rows.mapInArrow(_find(i), LEAKS) for i in _indexes(docs.sparkSession, benchmark, item_id_col, item_text_col, max_ratio, block_items)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.2, block_items: int = 20_000) -> DataFrame:
+    """Rows of docs that hold no benchmark item, all columns as they were. Rows stream through: nothing shuffles."""
+
+    def clean(index):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 400):
+                    part = batch.slice(at, 400)
+                    holds = {d for d, _ in index.value.leaks([normalised(t) for t in part.column(text_col).to_pylist()])}
+                    yield part.filter(pa.array([d not in holds for d in range(part.num_rows)]))
 
-    def search() -> DataFrame:
-        found = rows.mapInArrow(_find(spark.sparkContext.broadcast(Index(block, max_ratio))), LEAKS)
-        return found if out is None else out.unionByName(found)
+        return keep
 
+    for index in _indexes(docs.sparkSession, benchmark, item_id_col, item_text_col, max_ratio, block_items):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs
+
+
+def _indexes(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, max_ratio: float, block_items: int) -> list:
+    """Broadcast indexes of blocks of items, one of none if there are none."""
+    items = chosen(benchmark, id_col, text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
+    out: list = []
+    block: list[tuple[int, str]] = []
     for row in items.orderBy("doc_id").toLocalIterator():
         block.append((row["doc_id"], row["text"]))
         if len(block) == block_items:
-            out, block = search(), []
-    return search() if block or out is None else out
+            out.append(spark.sparkContext.broadcast(Index(block, max_ratio)))
+            block = []
+    if block or not out:
+        out.append(spark.sparkContext.broadcast(Index(block, max_ratio)))
+    return out
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, compression, decontaminate, exact_dedup, html_text, ngram_join, packing, token_files, toxicity, url_filter
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_quality": compression.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_ngram_join": ngram_join.SQL,
