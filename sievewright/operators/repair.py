@@ -45,3 +45,27 @@ def exact_duplicate_losers(selection: DataFrame, key: str, order: Column) -> Dat
     """All but the first row of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return selection.withColumn("_rank", rank).filter("_rank > 1").drop("_rank")
+
+
+def replace_sequentially(losers: DataFrame, candidates: DataFrame, ident: str, identity: Sequence[str], cell: Sequence[str], digest: str, same_cell_first: bool) -> DataFrame:
+    """loser, replacement: inside each identity the losers in order of id each take the best candidate that is left, by (same cell or not, digest, id). The groups are identities with losers; their candidates are the rows of one generator or source in one split.
+
+    same_cell_first keeps a replacement in the loser's row group where it can, otherwise it leaves it where it can. A loser without a candidate has a null replacement.
+    """
+    import pandas as pd
+
+    keys, own = list(identity), list(cell)
+
+    def pick(lost: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        left = sorted(zip(free[digest], free[ident], free[own].itertuples(index=False, name=None), strict=True)) if len(free) else []
+        for name, home in sorted(zip(lost[ident], lost[own].itertuples(index=False, name=None), strict=True)) if len(lost) else []:
+            best = min(left, key=lambda c: ((c[2] != home) == same_cell_first, c[0], c[1]), default=None)
+            if best:
+                left.remove(best)
+            rows.append((name, best[1] if best else None))
+        return pd.DataFrame(rows, columns=["loser", "replacement"])
+
+    kind = dict(candidates.dtypes)[ident]
+    needed = candidates.join(losers.select(*keys).distinct(), keys, "left_semi").select(ident, *keys, *own, digest)
+    return losers.select(ident, *keys, *own).groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInPandas(pick, f"loser {kind}, replacement {kind}")

@@ -190,3 +190,35 @@ def canonical_digest(value: object) -> str:
     import hashlib
 
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A whole JSON document, of one object or a list of them."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def read_cache(spark: SparkSession, path: str, views: Sequence[str], arrays: Sequence[str], lineage: Sequence[str] = ()) -> DataFrame:
+    """Shards of cached scores: each array column has a value for each view, ids are unique, and each lineage column has one value over all shards."""
+    df = spark.read.parquet(path)
+    checks = [Check("repeated id", df, F.count("sample_id") - F.count_distinct("sample_id"))]
+    checks += [Check(f"shape of {a}", df, where(F.size(a) != len(views))) for a in arrays]
+    checks += [Check(f"lineage {c}", df, F.when(F.count_distinct(c) <= 1, 0).otherwise(1)) for c in lineage]
+    require(checks)
+    return df
+
+
+def verify_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """path and status of each manifest row against the files: `missing`, `size`, `digest` or `ok`. files: path, byte_size, sha256."""
+    have = files.select("path", F.col("byte_size").alias("_size"), F.col("sha256").alias("_sha"))
+    joined = manifest.join(have, "path", "left")
+    return joined.select("path", F.when(F.col("_sha").isNull(), "missing").when(F.col("_size") != F.col("byte_size"), "size").when(F.col("_sha") != F.lower("sha256"), "digest").otherwise("ok").alias("status"))
+
+
+def pending(plan: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
+    """What a resumed job has still to do."""
+    return plan.join(done.select(*key).distinct(), list(key), "left_anti")
+
+
+def provenance(spark: SparkSession, name: str, sql: str, tables: Sequence[str], filters: Sequence[str] = ()) -> DataFrame:
+    """A record of how a result was made."""
+    return spark.createDataFrame([(name, "spark", sql, list(tables), list(filters), canonical_digest(sql))], "name string, engine string, sql string, tables array<string>, filters array<string>, sql_digest string")
