@@ -1,6 +1,7 @@
 """Connected components as joins, for graphs of any size.
 
-Large-star and small-star rounds by turns: each round links a node's
+A graph whose edges are counted and fit one task easily is done there, in one
+pass. Beyond that, large-star and small-star rounds by turns: each round links a node's
 neighbours to the smallest node it sees, so every component becomes a star
 after a number of rounds that grows with the logarithm of its longest path.
 Each round is written to the shared folder; nothing comes to the driver but
@@ -9,10 +10,39 @@ whether an edge has changed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import fields, written
+
+#: Edges that one task takes, 16 bytes each.
+ONE_TASK = 2_000_000
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b), and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        if (low == high).all():
+            return nodes, nodes[label]
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
 
-from .common import written
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(np.asarray(x.column("a")), np.asarray(x.column("b"))) for x in batches]
+    if parts:
+        node, component = least_reached(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], names=["node", "component"])
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -37,12 +67,14 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100, one_task: int = ONE_TASK) -> DataFrame:
     """node, component for every node of an edge: component is the smallest node that edges reach from it.
 
     Loops and edges with a null are left out; repeated edges count once; no edge gives no row.
     """
     now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
+    if now.count() <= one_task:
+        return written(now.repartition(1).mapInArrow(_whole, fields(("node", T.LongType()), ("component", T.LongType()))), "components")
     seen = _print(now)
     for _ in range(max_rounds):
         if not seen[0]:

@@ -20,8 +20,11 @@ A token of one document alone can join nothing, so it never gets further than
 the count; a set with fewer shared tokens than any link needs is done there.
 
 Exact copies of a set become one class first. Within a bucket each set is
-first verified against one leader; verified links make components; then all
-pairs of a bucket that are still in different components are verified. So
+first verified against one leader; verified links make components; rows of buckets
+with several components try a few more leaders; then all pairs of a bucket
+that are still in different components are verified, but for those that a
+lower bound of their difference rules out (the bits in which parity bitmaps of
+the sets differ). So
 every link between different components is found, while a group of thousands
 of near copies costs one verification a member.
 
@@ -39,21 +42,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, mix64, written
+from .common import chosen, documents, fields, give_back, mix64, written
 from .components import components
 
 BITS = 56
 #: Documents of a chunk at most, so that a place in it takes two bytes.
 CHUNK_DOCS = 4096
+#: Tokens of a chunk, but for a last document.
+CHUNK_TOKENS = 1 << 20
 #: A token of as many documents is frequent.
 FREQUENT = 32
+#: 64-bit words of a set's parity bitmap.
+WORDS = 4
+#: Where open buckets hold more pairs an entry than the first, rows try more leaders before all pairs are verified: each those of so many buckets, for so many rounds.
+PAIRS_AN_ENTRY, TRIES, STAR_ROUNDS = 8, 16, 1
 #: Classes of frequency: powers of two of the documents that hold a token.
 POSTINGS = fields(("part", T.IntegerType()), ("chunk", T.LongType()), ("kind", T.IntegerType()), ("docs", T.BinaryType()), ("tokens", T.BinaryType()), ("extra", T.BinaryType()))
-PROFILE = fields(("row", T.LongType()), ("doc_id", T.LongType()), ("n", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("tokens", T.BinaryType()), ("classes", T.BinaryType()))
+PROFILE = fields(("row", T.LongType()), ("doc_id", T.LongType()), ("n", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("tokens", T.BinaryType()), ("classes", T.BinaryType()), ("alone", T.LongType()), *((f"b{i}", T.LongType()) for i in range(WORDS)))
 KEYS = fields(("key", T.LongType()), ("row", T.LongType()), ("n", T.LongType()))
 
 
@@ -61,7 +70,7 @@ class _Words(dict):
     """Hash of a word, kept for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -108,6 +117,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, wide.view("<u8").ravel()]), dtype=np.uint64)
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+    """Id and text of each row, a few rows of a batch at a time as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            yield from zip(part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist(), strict=True)
+
+
 def _postings(n_parts: int, width: int):
     """Rows of two kinds: 0, a chunk's documents; 1, the tokens of a chunk that fall into a part, with the documents' places."""
     bounds = (np.arange(1, n_parts, dtype=object) * (1 << BITS) // n_parts).astype(np.uint64)
@@ -140,16 +157,18 @@ def _postings(n_parts: int, width: int):
         ids: list = []
         sets: list[np.ndarray] = []
         held = 0
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist(), strict=True):
-                ids.append(doc)
-                sets.append(shingle_set(text.lower().split(), width, cache))
-                held += len(sets[-1])
-                if len(ids) == CHUNK_DOCS or held >= 1 << 21:
-                    yield batch_of(list(flush(chunk, ids, sets)))
-                    chunk, ids, sets, held = chunk + 1, [], [], 0
+        for doc, text in _each(batches):
+            ids.append(doc)
+            sets.append(shingle_set(text.lower().split(), width, cache))
+            held += len(sets[-1])
+            if len(ids) == CHUNK_DOCS or held >= CHUNK_TOKENS:
+                yield batch_of(list(flush(chunk, ids, sets)))
+                chunk, ids, sets, held = chunk + 1, [], [], 0
+                give_back()
         if ids:
             yield batch_of(list(flush(chunk, ids, sets)))
+        del cache, ids, sets
+        give_back()
 
     return make
 
@@ -180,6 +199,7 @@ def _count(group: pa.Table) -> pa.Table:
             c, d, k, x = zip(*made, strict=True)
             part = group.column("part")[0].as_py()
             out.append(pa.table([pa.array([part] * len(c), pa.int32()), pa.array(c, pa.int64()), pa.array([1] * len(c), pa.int32()), pa.array(d, pa.binary()), pa.array(k, pa.binary()), pa.array(x, pa.binary())], names=POSTINGS.names))
+    give_back()
     return pa.concat_tables([t.cast(pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("tokens", pa.binary()), ("extra", pa.binary())])) for t in out])
 
 
@@ -203,7 +223,14 @@ def _assemble(percent: int):
         ends = np.cumsum(counts)
         enough = (counts >= -(-sizes * percent // 100)) & (sizes > 0)
         cut = [(token[e - c : e].astype("<u8").tobytes(), rank[e - c : e].tobytes()) if ok else (None, None) for c, e, ok in zip(counts.tolist(), ends.tolist(), enough.tolist(), strict=True)]
-        arrays = [pa.array((chunk << 12) + np.arange(len(ids))), pa.array(ids, mask=no_id), pa.array(sizes), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())]
+        # bit t of a set's bitmap: is the number of its shared tokens that hash to t odd
+        at = (mix64(token) >> np.uint64(40)) % np.uint64(64 * WORDS)
+        odd = np.zeros(len(ids) * 64 * WORDS, np.uint8)
+        np.bitwise_xor.at(odd, place[order].astype(np.int64) * (64 * WORDS) + at.astype(np.int64), 1)
+        bitmap = np.packbits(odd, bitorder="little").view("<i8").reshape(-1, WORDS)
+        arrays = [pa.array((chunk << 12) + np.arange(len(ids))), pa.array(ids, mask=no_id), pa.array(sizes), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy()), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary()), pa.array(sizes - counts)]
+        arrays += [pa.array(bitmap[:, i].copy()) for i in range(WORDS)]
+        give_back()
         return pa.table(arrays, names=PROFILE.names)
 
     return assemble
@@ -255,7 +282,7 @@ def index_keys(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int, freq
 
 def _index(percent: int, frequent: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             keys, rows, sizes = [], [], []
             for row, n, t, c in zip(*(batch.column(x).to_pylist() for x in ("row", "n", "tokens", "classes")), strict=True):
                 k = index_keys(n, np.frombuffer(t, "<u8").astype(np.uint64), np.frombuffer(c, np.uint8), percent, frequent)
@@ -291,11 +318,20 @@ def _similar_sizes(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _may_link(a: str, b: str, percent: int):
+    """A condition that every pair that links meets: sizes are near enough, and so are the sets by a lower bound of their difference, the bits in which their bitmaps differ and the tokens that each holds alone. a, b: prefixes of the columns n, alone and b0, b1, ..."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = F.col(f"{a}alone") + F.col(f"{b}alone")
+    for i in range(WORDS):
+        differ = differ + F.bit_count(F.col(f"{a}b{i}").bitwiseXOR(F.col(f"{b}b{i}")))
+    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+
+
 def _small(df: DataFrame, n_rows: int, row_bytes: int, most: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if n_rows * row_bytes <= most else df
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, part_tokens: int = 1 << 20) -> DataFrame:
+def profiles(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, part_tokens: int = 1 << 19) -> DataFrame:
     """A written row for each document: row (unique), doc_id, n (set size), h1 and h2 (hash of the set); for those that may link also the tokens that other documents hold, with their classes of frequency."""
     rows = chosen(docs, id_col, text_col)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -312,6 +348,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_linked(percent), fields(("a", T.LongType()), ("b", T.LongType())))
 
 
+#: What _may_link needs of a row.
+SKETCH = ["n", "alone", *(f"b{i}" for i in range(WORDS))]
+
+
+def _open(shared: DataFrame, found: DataFrame, sketches: DataFrame, n_sketches: int) -> DataFrame:
+    """key, row, component and sketch of the rows of buckets that hold more than one component."""
+    now = shared.select("key", "row").join(_small(found.withColumnRenamed("node", "row"), found.count(), 24), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    return now.join(open_keys, "key").join(_small(sketches, n_sketches, 32 + 8 * WORDS), "row")
+
+
+def _as(rows: DataFrame, prefix: str, *columns: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{prefix}{c}") for c in (*columns, *SKETCH)])
+
+
+def _more_stars(rest: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows of open buckets with leaders of another component: a bucket's leaders are two rows of different components that hash lowest in this turn, and a row tries those of TRIES of its buckets."""
+    hashed = rest.withColumn("h", F.xxhash64("row", "key", F.lit(turn)))
+    best = hashed.groupBy("key", "component").agg(F.min(F.struct("h", "row", *SKETCH)).alias("r"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("r"))
+    leaders = best.withColumn("k", rank).filter("k <= 2").select("key", "component", "r.row", *[f"r.{c}" for c in SKETCH])
+    mine = hashed.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("h", "key"))).filter(F.col("k") <= TRIES)
+    met = _as(mine, "x_", "row", "component").join(_as(leaders, "y_", "row", "component"), "key").filter((F.col("x_component") != F.col("y_component")) & _may_link("x_", "y_", percent))
+    return met.select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
@@ -334,14 +396,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tried = written(first, "pairs")
     links = written(verified(tried, eligible, percent), "links")
     found = components(links)
-
-    # pairs that share a bucket and are in different components still
-    n_found = found.count()
-    now = shared.select("key", "row", "n").join(_small(found.withColumnRenamed("node", "row"), n_found, 24), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rest = written(now.join(open_keys, "key"), "open")
-    a, b = (rest.select("key", F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
-    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb", percent)).select("a", "b").distinct()
+    sketches = eligible.select("row", *SKETCH)
+    n_sketches = eligible.count()
+    rest = written(_open(shared, found, sketches, n_sketches), "open")
+    for turn in range(STAR_ROUNDS):
+        cells = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = cells.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("entries")).first()
+        if left["pairs"] <= PAIRS_AN_ENTRY * left["entries"]:
+            break
+        pairs = written(_more_stars(rest, turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        got = written(verified(pairs, eligible, percent), "links")
+        tried, links = tried.unionByName(pairs), links.unionByName(got)
+        n_got, n_pairs = got.count(), pairs.count()
+        if n_got:
+            found = components(links)
+            rest = written(_open(shared, found, sketches, n_sketches), "open")
+        if 10 * n_got < n_pairs or not n_pairs:
+            break
+
+    # all pairs that share a bucket and are in different components still
+    met = _as(rest, "x_", "row", "component").join(_as(rest, "y_", "row", "component"), "key").filter((F.col("x_row") < F.col("y_row")) & (F.col("x_component") != F.col("y_component")) & _may_link("x_", "y_", percent))
+    pairs = met.select(F.col("x_row").alias("a"), F.col("y_row").alias("b")).distinct()
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(pairs, eligible, percent), "links")
     if not more.isEmpty():
