@@ -26,10 +26,12 @@ def with_keeper(rows: DataFrame, key: str, ident: str, order: Column) -> DataFra
 
 
 def admit(rows: DataFrame, key: str, excluded: DataFrame, order: Column) -> DataFrame:
-    """Every row with a status as a one-by-one consumer would give it: `excluded` where the key is known already, `duplicate` behind the first of its key, else `accepted`."""
+    """Every row with a status as a one-by-one consumer in a unique order would give it: `excluded` where the key is known already, `duplicate` behind the first of its key, else `accepted`."""
     known = excluded.select(key).distinct().withColumn("_known", F.lit(True))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.join(known, key, "left").withColumn("_rank", rank).withColumn("status", F.when(F.col("_known"), "excluded").when(F.col("_rank") > 1, "duplicate").otherwise("accepted")).drop("_known", "_rank")
+    ordered = rows.withColumn("_order", order)
+    firsts = ordered.groupBy(key).agg(F.min("_order").alias("_first"))
+    marked = ordered.join(firsts, key).join(known, key, "left")
+    return marked.withColumn("status", F.when(F.col("_known"), "excluded").when(F.col("_order") > F.col("_first"), "duplicate").otherwise("accepted")).drop("_known", "_order", "_first")
 
 
 def bands(bits: Column, radius: int, width: int = 64) -> Column:

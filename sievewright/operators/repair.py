@@ -42,9 +42,10 @@ def repair(selection: DataFrame, find_losers: Callable[[DataFrame], DataFrame],
 
 
 def exact_duplicate_losers(selection: DataFrame, key: str, order: Column) -> DataFrame:
-    """All but the first row of each key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return selection.withColumn("_rank", rank).filter("_rank > 1").drop("_rank")
+    """All but the first row of each key by a unique order."""
+    ordered = selection.withColumn("_order", order)
+    firsts = ordered.groupBy(key).agg(F.min("_order").alias("_first"))
+    return ordered.join(firsts, key).filter("_order > _first").select(*selection.columns)
 
 
 def replace_sequentially(losers: DataFrame, candidates: DataFrame, ident: str, identity: Sequence[str], cell: Sequence[str], digest: str, same_cell_first: bool) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.identity import stable_digest
 
 
-def top_n_per_group(rows: DataFrame, group: str | Sequence[str], n: int | Column, *order: Column | str) -> DataFrame:
-    """The first n rows of each group. Spark keeps a group's first n in each map task before the shuffle where n is a constant."""
+def top_n_per_group(rows: DataFrame, group: str | Sequence[str], n: int | Column, *order: Column | str, most: int | None = None) -> DataFrame:
+    """The first n rows of each group. Where n is a column, `most` is a number that it never passes: with a constant a map task keeps its first rows of a group only, so groups may be few and large."""
     window = Window.partitionBy(group) if isinstance(group, str) else Window.partitionBy(*group)
-    return rows.withColumn("_rank", F.row_number().over(window.orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
+    ranked = rows.withColumn("_rank", F.row_number().over(window.orderBy(*order)))
+    if most is not None:
+        ranked = ranked.filter(F.col("_rank") <= most)
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
 def round_robin(rows: DataFrame, group: str, total: int, group_order: Column, *row_order: Column | str) -> DataFrame:
@@ -48,7 +51,7 @@ def balanced_compact(rows: DataFrame, group: str, count: int, seed: int | str, s
         return rows
     quotas = groups.withColumn("_quota", F.lit(count // n) + (F.row_number().over(Window.orderBy("_digest", group)) <= count % n).cast("int")).drop("_digest")
     added, order = compact_order(F.concat(F.lit(f"{scope}:"), F.col(group)), seed, cell, row_digest, [group])
-    ranked = rows.withColumns(added).withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranked = rows.withColumns(added).withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_rank") <= count // n + 1)
     return ranked.join(F.broadcast(quotas) if n <= 100_000 else quotas, group).filter(F.col("_rank") <= F.col("_quota")).drop(*added, "_rank", "_quota")
 
 
@@ -93,8 +96,10 @@ def feasible_contribution(sizes: DataFrame, size: str, total: int, top: int = 10
 
 
 def ordered_split(rows: DataFrame, by: Sequence[str], order: Column, first: int, names: tuple[str, str] = ("validation", "train")) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return rows.withColumn("project_split", F.when(rank <= first, names[0]).otherwise(names[1]))
+    """The first rows of each group by a unique order go to the first split. The order's value at the cut is found from the first rows alone, so no task ranks a whole group."""
+    keyed = rows.withColumn("_order", order)
+    cuts = top_n_per_group(keyed.select(*by, "_order"), by, first, "_order").groupBy(*by).agg(F.max("_order").alias("_cut"))
+    return keyed.join(F.broadcast(cuts), list(by), "left").withColumn("project_split", F.when(F.col("_order") <= F.col("_cut"), names[0]).otherwise(names[1])).drop("_order", "_cut")
 
 
 def representative(rows: DataFrame, group: str, *order: str) -> DataFrame:

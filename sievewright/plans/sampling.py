@@ -60,7 +60,7 @@ def balanced_compact(spark, sf):
 @query("two_level_order", sql(SOURCE, select=f"SELECT image_name, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {digest_sql('9', 'source_file', 'row_group')}, {digest_sql('7', 'image_name')}, image_name) AS k FROM source_rows) WHERE k <= CASE label WHEN 1 THEN 150 ELSE 100 END"))
 def two_level_order(spark, sf):
     needed = F.when(F.col("label") == 1, 150).otherwise(100)
-    return selection.top_n_per_group(source_rows(spark, sf), "label", needed, stable_digest(9, F.col("source_file"), F.col("row_group")), src_digest(), F.col("image_name")).select("image_name", "label")
+    return selection.top_n_per_group(source_rows(spark, sf), "label", needed, stable_digest(9, F.col("source_file"), F.col("row_group")), src_digest(), F.col("image_name"), most=150).select("image_name", "label")
 
 
 def _quota_sql(order: str) -> str:
