@@ -20,11 +20,11 @@ def metadata_scan(spark, sf):
     return rows.filter(F.col("label").isin(0, 1)).select("dataset_key", "source_file", "row_group", "row_index", "canonical_generator_id", "label")
 
 
-@query("second_corpus_scan", "SELECT event_id, CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 'exact_real' ELSE 'exact_sd14' END AS cohort, CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 0 ELSE 1 END AS label FROM events WHERE (event_type = 'click' AND user_id % 2 = 0) OR (event_type = 'purchase' AND user_id % 2 = 1)")
+@query("second_corpus_scan", "SELECT event_id, CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 'exact_real' ELSE 'exact_generated' END AS cohort, CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 0 ELSE 1 END AS label FROM events WHERE (event_type = 'click' AND user_id % 2 = 0) OR (event_type = 'purchase' AND user_id % 2 = 1)")
 def second_corpus_scan(spark, sf):
     rows = t(spark, sf, "events").select("event_id", "event_type", "user_id")
     even = F.col("user_id") % 2
-    cases = [((F.col("event_type") == "click") & (even == 0), {"cohort": F.lit("exact_real"), "label": F.lit(0)}), ((F.col("event_type") == "purchase") & (even == 1), {"cohort": F.lit("exact_sd14"), "label": F.lit(1)})]
+    cases = [((F.col("event_type") == "click") & (even == 0), {"cohort": F.lit("exact_real"), "label": F.lit(0)}), ((F.col("event_type") == "purchase") & (even == 1), {"cohort": F.lit("exact_generated"), "label": F.lit(1)})]
     return src.route(rows, cases).select("event_id", "cohort", "label")
 
 

@@ -14,8 +14,8 @@ def column(spark, values, expression, kind="string"):
 
 
 def test_generator_identity(spark):
-    got = column(spark, [" StabilityAI/Stable_Diffusion 2 ", "https://huggingface.co/Author\\Model A//", "--x--/.", None, "author/model-a", "author/model-b"], I.canonical_generator_id)
-    assert got == ["stabilityai/stable-diffusion-2", "author/model-a", "x", "", "author/model-a", "author/model-b"]
+    got = column(spark, [" Some Lab/Big_Model 2 ", "https://huggingface.co/Author\\Model A//", "--x--/.", None, "author/model-a", "author/model-b"], I.canonical_generator_id)
+    assert got == ["some-lab/big-model-2", "author/model-a", "x", "", "author/model-a", "author/model-b"]
 
 
 def test_nfkc(spark):
