@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work over a few rows of a batch at a time, so that few are Python objects at once; free memory goes back when the task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+        finally:
+            give_back()
+
+    return run
+
+
 def fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in pairs])
 

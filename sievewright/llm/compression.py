@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, table
+from .common import chosen, documents, fields, table, tidy
 
 SCORED = fields(("doc_id", T.LongType()), ("score", T.DoubleType()))
 SIZED = fields(("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("good", T.LongType()), ("bad", T.LongType()), ("plain", T.LongType()))
@@ -110,7 +110,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     start = F.greatest(F.lit(1), ((F.octet_length("text") - max_bytes) / 2).cast("int") + 1)
     rows = chosen(docs, id_col, text_col).dropna().join(F.broadcast(ids), "doc_id").select("doc_id", "label", F.substring(text, start, F.lit(max_bytes)).alias("text"))
     out: dict[int, tuple[int, int, bytes]] = {}
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         out.setdefault(r["doc_id"], (r["doc_id"], r["label"], bytes(r["text"])))
     return sorted(out.values())
 
@@ -150,7 +150,7 @@ def _scored(model):
 
 def quality_scores(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, score (0 to 1, higher: better). Whole texts count. Null and empty texts have no compressed size and get the curve's value at zero. Repeated rows are scored one by one; other columns are not read; an empty table gives an empty result."""
-    return chosen(docs, id_col, text_col).mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), SCORED)
+    return chosen(docs, id_col, text_col).mapInArrow(tidy(_scored(docs.sparkSession.sparkContext.broadcast(model))), SCORED)
 
 
 def accepted(docs: DataFrame, model: CompressionModel, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -164,7 +164,7 @@ def accepted(docs: DataFrame, model: CompressionModel, least: float = 0.3, text_
             if texts:
                 yield batch.filter(pa.array(broadcast.value.score(np.array([sizer.sizes(t) for t in texts])) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def remainder(id_col: str, modulus: int) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, table
+from .common import chosen, documents, fields, table, tidy
 
 #: Window sizes in characters; a walk takes two steps for each.
 SIZES = (24, 48, 96, 192)
@@ -208,11 +208,9 @@ def _find(block):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = block.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                ids = part.column("doc_id").to_pylist()
-                rows = [(ids[d], i, dist, len(index.items[i]), max(0, end - len(index.items[i]))) for (d, i), (dist, end) in index.leaks([normalised(t) for t in part.column("text").to_pylist()]).items()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=LEAKS.names)
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[d], i, dist, len(index.items[i]), max(0, end - len(index.items[i]))) for (d, i), (dist, end) in index.leaks([normalised(t) for t in batch.column("text").to_pylist()]).items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=LEAKS.names)
 
     return find
 
@@ -224,7 +222,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Null and empty texts and items hold nothing and are held by nothing. Documents that repeat an id are searched one by one, each with rows of its own; of items that repeat an id the text that sorts first counts, an item without an id is void. An empty table on either side gives an empty result. Other columns are not read.
     """
     rows = chosen(docs, id_col, text_col)
-    found = [rows.mapInArrow(_find(i), LEAKS) for i in _indexes(docs.sparkSession, benchmark, item_id_col, item_text_col, max_ratio, block_items)]
+    found = [rows.mapInArrow(tidy(_find(i), 400), LEAKS) for i in _indexes(docs.sparkSession, benchmark, item_id_col, item_text_col, max_ratio, block_items)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -234,15 +232,13 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def clean(index):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 400):
-                    part = batch.slice(at, 400)
-                    holds = {d for d, _ in index.value.leaks([normalised(t) for t in part.column(text_col).to_pylist()])}
-                    yield part.filter(pa.array([d not in holds for d in range(part.num_rows)]))
+                holds = {d for d, _ in index.value.leaks([normalised(t) for t in batch.column(text_col).to_pylist()])}
+                yield batch.filter(pa.array([d not in holds for d in range(batch.num_rows)]))
 
         return keep
 
     for index in _indexes(docs.sparkSession, benchmark, item_id_col, item_text_col, max_ratio, block_items):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+        docs = docs.mapInArrow(tidy(clean(index), 400), docs.schema)
     return docs
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, give_back, mix64, written
+from .common import chosen, documents, fields, give_back, mix64, tidy, written
 from .components import components
 
 BITS = 56
@@ -118,11 +118,9 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
-    """Id and text of each row, a few rows of a batch at a time as Python objects."""
+    """Id and text of each row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            yield from zip(part.column("doc_id").to_pylist(), pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist(), strict=True)
+        yield from zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist(), strict=True)
 
 
 def _postings(n_parts: int, width: int):
@@ -167,8 +165,6 @@ def _postings(n_parts: int, width: int):
                 give_back()
         if ids:
             yield batch_of(list(flush(chunk, ids, sets)))
-        del cache, ids, sets
-        give_back()
 
     return make
 
@@ -282,7 +278,7 @@ def index_keys(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int, freq
 
 def _index(percent: int, frequent: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+        for batch in batches:
             keys, rows, sizes = [], [], []
             for row, n, t, c in zip(*(batch.column(x).to_pylist() for x in ("row", "n", "tokens", "classes")), strict=True):
                 k = index_keys(n, np.frombuffer(t, "<u8").astype(np.uint64), np.frombuffer(c, np.uint8), percent, frequent)
@@ -336,7 +332,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, percent: int, width: i
     rows = chosen(docs, id_col, text_col)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, math.ceil(n_bytes / 6 / part_tokens))
-    postings = rows.mapInArrow(_postings(n_parts, width), POSTINGS)
+    postings = rows.mapInArrow(tidy(_postings(n_parts, width), 128), POSTINGS)
     counted = postings.groupBy("part").applyInArrow(_count, POSTINGS)
     return written(counted.groupBy("chunk").applyInArrow(_assemble(percent), PROFILE), "profiles")
 
@@ -345,7 +341,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. pairs are distinct."""
     left = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_linked(percent), fields(("a", T.LongType()), ("b", T.LongType())))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(tidy(_linked(percent)), fields(("a", T.LongType()), ("b", T.LongType())))
 
 
 #: What _may_link needs of a row.
@@ -388,7 +384,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = meta.join(classes.filter("copies > 1").select("h1", "h2", "n", F.col("row").alias("first")), ["h1", "h2", "n"]).filter("row <> first").select("row")
     copies = written(copies, "copies")
     sets = eligible.join(_small(copies, copies.count(), 16), "row", "left_anti")
-    keys = sets.select("row", "n", "tokens", "classes").mapInArrow(_index(percent, frequent), KEYS)
+    keys = sets.select("row", "n", "tokens", "classes").mapInArrow(tidy(_index(percent, frequent)), KEYS)
     leaders = keys.groupBy("key").agg(F.min("row").alias("leader"), F.min_by("n", "row").alias("leader_n"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     shared = written(keys.join(leaders, "key"), "buckets")
 

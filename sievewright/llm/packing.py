@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, written
+from .common import chosen, documents, fields, tidy, written
 from .tokens import tokenizer
 
 PIECE = fields(("doc_id", T.LongType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()))
@@ -96,6 +96,7 @@ def _cut(path: str, end_id: int, window: int):
                 total = len(ids) // 4
                 rows += [(doc, at, min(window, total - at), zlib.crc32(ids[4 * at : 4 * (at + window)]), total) for at in range(0, total, window)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=PIECE.names)
+        encode.forget()
 
     return pieces
 
@@ -117,7 +118,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Every document ends with end_id, so a null or empty text is a piece of one token. Each id lies in exactly one piece; a document shorter than the window stays whole. A sequence of a power of two tokens is not padded, any other is padded to the window.
     Sequences never mix pieces of different groups; a group has about group_rows pieces. Rows that repeat an id are packed as documents of their own. Pieces of null ids, and of equal length, go in order of id, start and checksum, so a task that is run again gives the same rows. An empty table gives an empty result. Other columns are not read.
     """
-    pieces = written(chosen(docs, id_col, text_col).mapInArrow(_cut(tokenizer_path, end_id, window), PIECE), "pieces")
+    pieces = written(chosen(docs, id_col, text_col).mapInArrow(tidy(_cut(tokenizer_path, end_id, window)), PIECE), "pieces")
     n_groups = max(1, -(-pieces.count() // group_rows))
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_groups)).alias("group")
     return pieces.groupBy(group).applyInPandas(_pack_group(window, n_groups), PACKED)

@@ -31,7 +31,7 @@ class SegmentTokenizer(dict):
     path: a file of the tokenizers library whose pre-tokenizer drops white space and has a piece of letters end where signs begin. max_cached bounds the segments kept in memory.
     """
 
-    def __init__(self, path: str, max_cached: int = 600_000):
+    def __init__(self, path: str, max_cached: int = 400_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -74,6 +74,12 @@ class SegmentTokenizer(dict):
         return out
 
 
+    def forget(self) -> None:
+        """Empties the cache: at a task's end, as the worker lives on."""
+        self.clear()
+        self._pieces.clear()
+
+
 _LOADED: dict[str, SegmentTokenizer] = {}
 
 

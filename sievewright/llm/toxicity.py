@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, mix64, table
+from .common import chosen, documents, fields, mix64, table, tidy
 from .compression import fit_logistic, labelled_sample, remainder
 
 SCORED = T.StructType(fields(("doc_id", T.LongType()), ("score", T.DoubleType())).fields + [T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
@@ -109,7 +109,7 @@ class Emissions(dict):
         self._weights, self._bias = model.weights, model.bias
 
     def __missing__(self, segment: bytes) -> float:
-        if len(self) > 600_000:
+        if len(self) > 400_000:
             self.clear()
         get = self._weights.get
         w = self._bias + sum(get(f, 0.0) for f in word_features(word_of(segment)))
@@ -273,24 +273,22 @@ def _scored(broadcast):
         model = broadcast.value
         emissions = Emissions(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                texts = pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()
-                marginal, stops = read(texts, emissions, model.moves)
-                scores = 1 / (1 + np.exp(-np.clip(document_features(marginal, stops) @ np.array(model.curve), -30, 30)))
-                spans: list[list[list[int]]] = [[] for _ in texts]
-                toxic = np.flatnonzero(marginal >= 0.5)
-                owner = np.searchsorted(stops, toxic, side="right")
-                for d in np.unique(owner).tolist():
-                    spans[d] = span_offsets(texts[d], toxic[owner == d] - (int(stops[d - 1]) if d else 0))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=SCORED.names)
+            texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
+            marginal, stops = read(texts, emissions, model.moves)
+            scores = 1 / (1 + np.exp(-np.clip(document_features(marginal, stops) @ np.array(model.curve), -30, 30)))
+            spans: list[list[list[int]]] = [[] for _ in texts]
+            toxic = np.flatnonzero(marginal >= 0.5)
+            owner = np.searchsorted(stops, toxic, side="right")
+            for d in np.unique(owner).tolist():
+                spans[d] = span_offsets(texts[d], toxic[owner == d] - (int(stops[d - 1]) if d else 0))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=SCORED.names)
 
     return score
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, score (0 to 1), spans (start and end of offending words, in characters of the text). Whole texts count. A null or empty text has no token: its score is the curve's value for that, without spans. Repeated rows are scored one by one; other columns are not read; an empty table gives an empty result."""
-    return chosen(docs, id_col, text_col).mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), SCORED)
+    return chosen(docs, id_col, text_col).mapInArrow(tidy(_scored(docs.sparkSession.sparkContext.broadcast(model)), 256), SCORED)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,20 @@ def test_packing_stage(stages):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_odd_documents_pass_every_stage(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int"
+    plain = " ".join(f"word{i}" for i in range(40)) + "."
+    odd = [(1, None), (2, ""), (None, plain + " x"), (3, "y " * 60_000), (4, plain), (4, plain), (5, plain + " \n"), (6, " \t ")]
+    docs = spark.createDataFrame([(i, t, "en", None, None, "c", 0) for i, t in odd], schema)
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            now = written(stage(spark, now, DATA), f"odd-{name}")
+            if name != "packing":
+                assert now.columns == docs.columns
+        got = now.select("doc_id").distinct().collect()
+        assert {r["doc_id"] for r in got} == (set() if empty else {None, 3, 5, 6}), got
+    model = compression.CompressionModel(b"", b"", [5.0, 0.0, 0.0, 0.0])
+    assert compression.accepted(docs, model).count() == len(odd)
