@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, written
+from .common import chosen, documents, fields, tidy, written
 
 #: ASCII white space, deleted before texts are compared.
 WHITE = b" \t\n\x0b\x0c\r"
 #: log2 of the bits of a block; a block's two planes are merged by one task.
 BLOCK_BITS = 16
+#: A group is large from this part of all rows on.
+LARGE = 1000
 #: Bits that a key sets, each 16 bits of its hash.
 PROBES = 4
 
@@ -45,7 +47,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, code points of the original text, SHA-256 of the text without white space, and two 64-bit parts of that hash."""
-    return chosen(docs, id_col, text_col).mapInArrow(_digest, DIGEST)
+    return chosen(docs, id_col, text_col).mapInArrow(tidy(_digest), DIGEST)
 
 
 def _marks(n_blocks: int):
@@ -91,7 +93,7 @@ def repeat_filter(dg: DataFrame, n_rows: int, bits_per_key: int, max_filter_byte
     """
     most = max(1, max_filter_bytes * 8 >> BLOCK_BITS)
     n_blocks = max(1, min(most, -(-n_rows * bits_per_key >> BLOCK_BITS)))
-    marks = dg.select("h1", "h2").mapInArrow(_marks(n_blocks), fields(("block", T.LongType()), ("once", T.BinaryType()), ("twice", T.BinaryType())))
+    marks = dg.select("h1", "h2").mapInArrow(tidy(_marks(n_blocks), 10_000), fields(("block", T.LongType()), ("once", T.BinaryType()), ("twice", T.BinaryType())))
     planes = marks.groupBy("block").applyInPandas(_merge, fields(("block", T.LongType()), ("words", T.ArrayType(T.LongType()))))
     return planes, n_blocks
 
@@ -103,7 +105,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text counts as empty, so all null, empty and blank texts are one group. Rows that repeat an id and a text are all counted and all marked kept where their id is the one kept. An empty table gives an empty result. Other columns are not read.
     """
     dg = written(digests(docs, id_col, text_col), "digests")
-    planes, n_blocks = repeat_filter(dg, dg.count(), bits_per_key, max_filter_bytes)
+    n_rows = dg.count()
+    planes, n_blocks = repeat_filter(dg, n_rows, bits_per_key, max_filter_bytes)
     planes = written(planes, "planes")
     probe = dg.withColumn("block", F.col("h1") % F.lit(n_blocks)).join(F.broadcast(planes), "block", "left")
     hits = [F.getbit(F.element_at("words", ((at := F.shiftrightunsigned("h2", 16 * i).bitwiseAND(F.lit(0xFFFF))) / 64).cast("int") + 1), (at % 64).cast("int")) == 1 for i in range(PROBES)]
@@ -116,7 +119,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = probe.filter("possible").select("doc_id", "n_code_points", "sha")
     order = F.struct((-F.col("n_code_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
     groups = rows.groupBy("sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")).select("sha", F.col("first.id").alias("keep_id"), "group_size")
-    many = rows.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
+    # groups of a thousandth of all rows or more are at most a thousand: they are broadcast, so that no task gets all rows of one
+    large = F.col("group_size") * LARGE >= n_rows
+    met = rows.join(F.broadcast(groups.filter(large)), "sha", "left")
+    rest = met.filter("group_size IS NULL").select("doc_id", "sha").join(groups.filter(~large), "sha")
+    many = met.filter("group_size IS NOT NULL").select("doc_id", "sha", "keep_id", "group_size").unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha")
     return single.unionByName(many).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
