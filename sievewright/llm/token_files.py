@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, shared_path, written
+from .common import chosen, documents, fields, shared_path, tidy, written
 from .tokens import tokenizer
 
 MAGIC = b"SWEF"
@@ -179,13 +179,12 @@ def _encode(path: str, end_id: int, width: int, cuts: list[int]):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = tokenizer(path), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                docs = part.column("doc_id")
-                shard = np.where(np.asarray(pc.is_null(docs)), 0, np.searchsorted(edges, np.asarray(pc.fill_null(docs, 0)), side="right"))
-                texts = pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()
-                out = [np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in ids_of.ids(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs, pa.array(out, pa.binary())], names=ENCODED.names)
+            docs = batch.column("doc_id")
+            shard = np.where(np.asarray(pc.is_null(docs)), 0, np.searchsorted(edges, np.asarray(pc.fill_null(docs, 0)), side="right"))
+            texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
+            out = [np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in ids_of.ids(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs, pa.array(out, pa.binary())], names=ENCODED.names)
+        ids_of.forget()
 
     return encode
 
@@ -208,18 +207,18 @@ def _write(folder: str, width: int):
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocabulary: int = 49408, docs_per_shard: int = 4096) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, vocabulary: int = 49408, docs_per_shard: int = 4096, max_shards: int = 65_536) -> DataFrame:
     """Writes the ids of all texts, with end_id behind each, into folder in ascending order of id; gives the manifest: shard, path, n_docs, n_ids.
 
-    Shards follow one another by id; their bounds are quantiles of the ids. A null text counts as empty, so it has the end id alone. Rows without an id come first. Rows that repeat an id lie next to one another, ordered by their token ids. An empty table gives an empty manifest and no files. Other columns are not read.
+    Shards follow one another by id; their bounds are quantiles of the ids. There are at most max_shards, whatever the rows: a shard is written as its rows stream by, so its size is no matter of memory. A null text counts as empty, so it has the end id alone. Rows without an id come first. Rows that repeat an id lie next to one another, ordered by their token ids. An empty table gives an empty manifest and no files. Other columns are not read.
     """
     rows = chosen(docs, id_col, text_col)
-    n_shards = max(1, -(-docs.count() // docs_per_shard))
+    n_shards = min(max_shards, max(1, -(-docs.count() // docs_per_shard)))
     quantiles = rows.agg(F.percentile_approx("doc_id", [i / n_shards for i in range(1, n_shards)], 20 * n_shards)).first()[0] if n_shards > 1 else []
     width = 2 if vocabulary <= 1 << 16 else 4
-    encoded = rows.mapInArrow(_encode(tokenizer_path, end_id, width, sorted(set(quantiles or []))), ENCODED)
-    dealt = encoded.repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    return written(dealt.mapInArrow(_write(folder, width), MANIFEST), "manifest")
+    encoded = rows.mapInArrow(tidy(_encode(tokenizer_path, end_id, width, sorted(set(quantiles or [])))), ENCODED)
+    dealt = encoded.repartitionById(n_shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    return written(dealt.mapInArrow(tidy(_write(folder, width)), MANIFEST), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +231,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row for each document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. The manifest has a row for each shard, so its running sum is small."""
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    n = max(1, manifest.count())
-    return based.repartition(n, "shard").select("path", "base").mapInArrow(_read, INDEX)
+    n = (manifest.agg(F.max("shard")).first()[0] or 0) + 1
+    return based.repartitionById(n, "shard").select("path", "base").mapInArrow(tidy(_read), INDEX)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
