@@ -6,8 +6,9 @@ on or not, by a random bit for the step and the character. Two walks are made
 over windows of each text, and samples of their coordinates are the keys of an
 LSH table of the benchmark; windows of four sizes up to that of the items are
 used, and each of an item's anchors (its longer words) starts a window, so one
-unharmed stretch of an item is enough to find it. Every pair found is then
-verified by exact edit distance of the whole item, over the part of the text
+unharmed stretch of an item is enough to find it. Items shorter than the
+smallest window are looked for by pieces, which is exact. Every pair found is
+then verified by exact edit distance of the whole item, over the part of the text
 around it.
 
 The benchmark is the stated query set: it goes to the executors in blocks of a
@@ -93,7 +94,7 @@ def edit_distance_within(item: str, text: str, most: int) -> tuple[int, int] | N
     for i, c in enumerate(item):
         masks[c] |= 1 << i
     full, last = (1 << len(item)) - 1, 1 << (len(item) - 1)
-    plus, minus, score, best = full, 0, len(item), None
+    plus, minus, score, best = full, 0, len(item), ((len(item), 0) if len(item) <= most else None)  # no character of text at all
     for j, c in enumerate(text):
         eq = masks.get(c, 0)
         d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
@@ -112,11 +113,13 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], max_ratio: float):
         self.items = {i: " ".join(normalised(t)) for i, t in items}
         self.most = {i: int(max_ratio * len(t)) for i, t in self.items.items()}
+        # of a short item some of most + 1 pieces stands in the text unchanged
+        self.short = {i: [t[len(t) * k // (self.most[i] + 1) : len(t) * (k + 1) // (self.most[i] + 1)] for k in range(self.most[i] + 1)] for i, t in self.items.items() if 0 < len(t) < SIZES[0]}
         self.top: dict[str, int] = {}
         parts, starts, tops, owners, at = [], [], [], [], 0
         pad = np.zeros(2 * SIZES[-1], np.uint8)
         for i, text in self.items.items():
-            words = text.split()
+            words = [] if i in self.short else text.split()
             offsets = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1].tolist() if words else []
             anchors = [(w, o) for w, o in zip(words, offsets, strict=True) if len(w) >= ANCHOR] or list(zip(words, offsets, strict=True))
             for w, o in anchors:
@@ -201,6 +204,12 @@ class Index:
                     best = (got[0], got[1] + a)
             if best:
                 found[d, i] = best
+        if self.short:
+            for d, words in enumerate(docs):
+                text = texts.get(d) or " ".join(words)
+                for i, pieces in self.short.items():
+                    if any(p in text for p in pieces) and (got := edit_distance_within(self.items[i], text, self.most[i])):
+                        found[d, i] = got
         return found
 
 

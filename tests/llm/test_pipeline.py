@@ -30,7 +30,7 @@ def stages(spark):
     clean = [i for i, t in sorted(text.items()) if t and len(t.split()) > 100 and "!!" not in t and "$$" not in t and "|" not in t][:20]
     words = text[clean[2]].split()
     words[50] = "zzz"
-    planted = [(90001, text[clean[0]] + " \n"), (90002, " ".join(words)), (90003, text[clean[4]] + " " + item), (90004, " ".join(r.choice(text[clean[5]].split()) for _ in range(300)))]
+    planted = [(90001, text[clean[0]] + " \n"), (90002, " ".join(words)), (90003, " ".join(r.choice(text[clean[4]].split()) for _ in range(200)) + ". " + item), (90004, " ".join(r.choice(text[clean[5]].split()) for _ in range(300)))]
     docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, t in planted], docs.schema))
     now = written(docs, "test")
     out = [now]

@@ -258,7 +258,7 @@ def test_leaks_against_brute_force(spark):
                 if (x := distance(a, b)) <= int(0.2 * len(a)):
                     want[d, i] = x
     assert planted <= want.keys() and got.items() <= want.items()
-    assert len(got) / len(want) >= 0.95 and (502, 92) in got and (503, 93) in got and (None, 0) in got
+    assert len(got) / len(want) >= 0.9 and (502, 92) in got and (503, 93) in got and (None, 0) in got
     blocks = {(x["doc_id"], x["item_id"]): x["distance"] for x in decontaminate.find_leaks(df, bench, block_items=7).collect()}
     assert blocks == got
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
