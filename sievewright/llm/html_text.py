@@ -10,7 +10,6 @@ greatest sum. Elements inside it that labelled pages never count as content
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, table
+from .common import fields, table, tidy
 
 TEXTS = fields(("page_id", T.LongType()), ("url", T.StringType()), ("text", T.StringType()), ("n_chars", T.LongType()))
 
@@ -32,6 +31,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose start tag ends an open paragraph.
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
+#: What a tag that is never content costs, in times of its share.
+NEVER = 4
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(RAW)})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
@@ -44,7 +45,7 @@ _SPACE = re.compile(r"\s+")
 LABELLED = (
     '<html><head><title>t</title></head><body><header class="site-header"><a href="/">Site</a><p>A paper for all</p></header><nav class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="cookie-notice banner">We use cookies on this site.<button>OK</button></div><main>\x02<h1>Rain returns</h1><p>The rain came back on Monday after ten dry weeks and filled the old river.</p><p>Farmers were glad of it.</p>\x03</main><aside class="sidebar"><h3>Most read</h3><ul><li><a href="/c">Ten ways</a></li></ul></aside><section id="comments" class="comments"><h2>Comments</h2><div class="comment"><p>First! I like rain very much indeed.</p></div></section><footer class="site-footer"><p>All rights reserved.</p></footer></body></html>',
     '<body><div id="header" class="top"><span>Shop</span><form class="search"><input name="q"><label>Search the shop</label><button>Go</button></form></div><div class="breadcrumb nav"><a href="/">Home</a></div><div class="content post entry article">\x02<h2>A chair</h2><p>It is made of oak and will last, <em>we think</em>, for a hundred years.</p><blockquote><p>The best seat in the house.</p></blockquote><ul><li>oak</li><li>steel</li></ul><table><tr><th>High</th><td>90 cm</td></tr></table>\x03</div><div class="ad advert sponsored promo">Buy two chairs and pay for one today.</div><div class="related share social newsletter subscribe"><p>Follow us and sign up for the weekly letter.</p></div><div id="footer">Contact. Terms.</div></body>',
-    '<body><nav><a href="/1">One</a><a href="/2">Two</a></nav><div class="alert notice">The site will be down on Sunday night for repairs.</div><article>\x02<h1>On bread</h1><p>Flour, water, salt and time make bread.</p><pre>flour 500 g</pre><figure><figcaption>A loaf.</figcaption></figure><p>Let it rest.</p>\x03</article><div class="reviews disqus_thread replies"><p>My loaf burned, what did I do wrong here?</p></div><form><p>Leave a reply</p><textarea></textarea></form><aside><p>About the author: a baker.</p></aside><footer><small>Copyright</small></footer></body>',
+    '<body><nav><a href="/1">One</a><a href="/2">Two</a></nav><div class="alert notice">The site will be down on Sunday night for repairs.</div><article>\x02<h1>On bread</h1><p>Flour, water, salt and time make bread.</p><h3>How</h3><h4>By hand</h4><p>Knead it <small>slowly</small>.</p><pre>flour 500 g</pre><figure><figcaption>A loaf.</figcaption></figure><p>Let it rest.</p>\x03</article><div class="reviews disqus_thread replies"><p>My loaf burned, what did I do wrong here?</p></div><form><p>Leave a reply</p><textarea></textarea></form><aside><p>About the author: a baker.</p></aside><footer><small>Copyright</small></footer></body>',
 )
 
 
@@ -54,7 +55,7 @@ class Weights:
 
     tags: dict[str, float] = field(default_factory=dict)
     never: frozenset[str] = frozenset()
-    unknown_tag: float = -0.3
+    unknown_tag: float = -0.2
 
 
 def tag_features(name: str, attributes: str) -> tuple[str, ...]:
@@ -179,7 +180,7 @@ def mark_article(page: str) -> str | None:
 
 
 def fit_weights(pages: Iterable[str]) -> Weights:
-    """Weights from labelled pages: the cost of a tag grows with the share of its occurrences outside the content; a feature of which at least 95 in 100 are outside is never content and costs most."""
+    """Weights from labelled pages: the cost of a tag grows with the share of its occurrences outside the content; a feature of which at least 95 in 100 are outside is never content and costs NEVER times that. It costs no more, as an advert amid an article must not cut it in two; its own words count nothing."""
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page in pages:
@@ -190,18 +191,21 @@ def fit_weights(pages: Iterable[str]) -> Weights:
     never = set()
     for f in inside.keys() | outside.keys():
         share = (outside[f] + 0.02) / (outside[f] + inside[f] + 0.04)
-        tags[f] = -0.2 - 0.6 * share
+        tags[f] = -0.05 - 0.3 * share
         if share >= 0.95 and f not in wraps and f not in VOID:
             never.add(f)
-            tags[f] = -8.0 - math.log2(1 + outside[f])
+            tags[f] *= NEVER
     return Weights(tags, frozenset(never))
 
 
-def fit(pages: DataFrame, html_col: str = "html", sample: int = 500) -> Weights:
-    """Weights from the built-in labelled pages and from at most `sample` pages of the table that mark their content with one article element (a documented bound), those whose text hashes lowest."""
-    short = F.length("html") <= 200_000
-    rows = pages.select(F.col(f"`{html_col}`").cast("string").alias("html")).filter(F.col("html").contains("</article") & short)
-    marked = [m for r in rows.orderBy(F.xxhash64("html")).limit(sample).collect() if (m := mark_article(r["html"]))]
+def fit(pages: DataFrame, html_col: str = "html", sample: int = 500, longest: int = 50_000) -> Weights:
+    """Weights from the built-in labelled pages and from at most `sample` pages of the table that mark their content with one article element and have at most `longest` characters (documented bounds), those whose text hashes lowest."""
+    rows = pages.select(F.col(f"`{html_col}`").cast("string").alias("html")).filter(F.col("html").contains("</article") & (F.length("html") <= longest))
+    hashed = rows.withColumn("h", F.xxhash64("html"))
+    # hashes alone are ranked; then those pages are read again, one of each hash
+    lowest = [r["h"] for r in hashed.select("h").groupBy("h").agg(F.lit(1)).select("h").orderBy("h").limit(sample).collect()]
+    picked = hashed.filter(F.col("h") <= lowest[-1]).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").collect() if lowest else []
+    marked = [m for r in picked if (m := mark_article(r["html"]))]
     return fit_weights([*LABELLED * max(1, len(marked) // 50), *marked])
 
 
@@ -220,7 +224,7 @@ def extract_text(pages: DataFrame, weights: Weights, id_col: str = "page_id", ur
     Blocks of the best region in page order, joined by an empty line. A page without words, an empty or a null one, has an empty text; text without any tag is one block. Unclosed and stray tags, comments, scripts and quotes with angle brackets inside are read as browsers read them, roughly. Ties go to the region that starts first. Repeated rows are kept; other columns are not read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    return rows.mapInArrow(_extract(pages.sparkSession.sparkContext.broadcast(weights)), TEXTS)
+    return rows.mapInArrow(tidy(_extract(pages.sparkSession.sparkContext.broadcast(weights))), TEXTS)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
