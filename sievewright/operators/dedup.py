@@ -34,25 +34,42 @@ def admit(rows: DataFrame, key: str, excluded: DataFrame, order: Column) -> Data
     return marked.withColumn("status", F.when(F.col("_known"), "excluded").when(F.col("_order") > F.col("_first"), "duplicate").otherwise("accepted")).drop("_known", "_order", "_first")
 
 
+def _edges(radius: int, width: int) -> list[tuple[int, int]]:
+    """Bits of radius + 1 bands, from and to."""
+    n = min(radius + 1, width)
+    return [(width * i // n, width * (i + 1) // n) for i in range(n)]
+
+
+def _mask(a: int, b: int) -> int:
+    """Ones in bits a to b, as a signed 64-bit number."""
+    m = ((1 << b) - 1) ^ ((1 << a) - 1)
+    return m - (1 << 64) if m >> 63 else m
+
+
 def bands(bits: Column, radius: int, width: int = 64) -> Column:
     """radius + 1 slices of the bits as (number, value): two hashes within the radius agree in one of them at least."""
-    n = min(radius + 1, width)
-    edges = [width * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 63 else -1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+    return F.array(*[F.struct(F.lit(i).alias("band"), bits.bitwiseAND(F.lit(_mask(a, b))).alias("value")) for i, (a, b) in enumerate(_edges(radius, width))])
 
 
 def hamming_join(left: DataFrame, right: DataFrame, ident: str, bits: str, radius: int, self_join: bool = False) -> DataFrame:
     """left_id, right_id, distance for all pairs within the radius, each once (left_id < right_id in a self-join).
 
-    An equi-join on bands, so no cross join; a pair that agrees in several bands is kept for the first of them, which needs no distinct. Equal hashes should be one class before (see duplicate_groups): a class is one row here. With a wide radius the bands are short and prune little.
+    An equi-join on bands, so no cross join; a pair that agrees in several bands is kept for the first of them, which needs no distinct. The condition is arithmetic on the two hashes, so it stays in generated code. Equal hashes should be one class before (see duplicate_groups): a class is one row here. With a wide radius the bands are short and prune little.
     """
     a = left.select(F.col(ident).alias("left_id"), F.col(bits).alias("left_bits"), F.explode(bands(F.col(bits), radius)).alias("b")).select("left_id", "left_bits", "b.band", "b.value")
     b = right.select(F.col(ident).alias("right_id"), F.col(bits).alias("right_bits"), F.explode(bands(F.col(bits), radius)).alias("b")).select("right_id", "right_bits", "b.band", "b.value")
-    pairs = a.join(b, ["band", "value"]).withColumn("distance", hamming(F.col("left_bits"), F.col("right_bits"))).filter(F.col("distance") <= radius)
+    differ = F.col("left_bits").bitwiseXOR(F.col("right_bits"))
+    # the work is in the pairs, not in the bytes: adaptive execution would put small inputs into one task
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = a.repartition(n, "band", "value"), b.repartition(n, "band", "value")
+    pairs = a.join(b, ["band", "value"]).filter(F.bit_count(differ) <= radius)
     if self_join:
         pairs = pairs.filter("left_id < right_id")
-    agree = F.zip_with(bands(F.col("left_bits"), radius), bands(F.col("right_bits"), radius), lambda x, y: x["value"] == y["value"])
-    return pairs.filter(F.array_position(agree, True) == F.col("band") + 1).select("left_id", "right_id", F.col("distance").cast("int").alias("distance"))
+    edges = _edges(radius, 64)
+    first = F.when(differ.bitwiseAND(F.lit(_mask(*edges[0]))) == 0, 0)
+    for i, edge in enumerate(edges[1:], 1):
+        first = first.when(differ.bitwiseAND(F.lit(_mask(*edge))) == 0, i)
+    return pairs.filter(first == F.col("band")).select("left_id", "right_id", hamming(F.col("left_bits"), F.col("right_bits")).cast("int").alias("distance"))
 
 
 def hamming_classes_join(rows: DataFrame, ident: str, bits: str, radius: int) -> tuple[DataFrame, DataFrame]:
