@@ -4,12 +4,13 @@ The CGK random walk maps strings of small edit distance to strings of small
 Hamming distance: it copies the character under a cursor and moves the cursor
 on or not, by a random bit for the step and the character. Two walks are made
 over windows of each text, and samples of their coordinates are the keys of an
-LSH table of the benchmark; windows of four sizes up to that of the items are
-used, and each of an item's anchors (its longer words) starts a window, so one
-unharmed stretch of an item is enough to find it. Items shorter than the
-smallest window are looked for by pieces, which is exact. Every pair found is
-then verified by exact edit distance of the whole item, over the part of the text
-around it.
+LSH table of the benchmark. Every character of an item whose walk ends inside
+the item starts a window, and every third character of a text, whatever the
+words are; one stretch of an item that keeps its sampled coordinates is enough
+to find it. Every pair found is then verified by exact edit distance of the
+whole item, over the part of the text around it. Items of at most 96 characters
+have few windows; the edit distance of each, or of both its halves, is followed
+along every text, which is exact.
 
 The benchmark is the stated query set: it goes to the executors in blocks of a
 bounded number of items, and every text is read whole, once for each block.
@@ -29,12 +30,16 @@ from pyspark.sql import types as T
 
 from .common import chosen, documents, fields, table, tidy
 
-#: Window sizes in characters; a walk takes two steps for each.
-SIZES = (24, 48, 96, 192)
-#: Samples of coordinates for each size, half of them from each of two walks, and the coordinates in each.
-REPEATS, SAMPLED = 4, 12
-#: Words of as many characters begin windows; an item that has none of them uses all its words.
-ANCHOR = 6
+#: Characters of a window, roughly; a walk takes two steps for each. A text has a window at each STRIDE characters.
+SIZE, STRIDE = 20, 3
+#: Samples of coordinates, half of them from each of two walks, and the coordinates in each.
+REPEATS, SAMPLED = 4, 14
+#: Items of at most as many characters are looked for without LSH: in one piece up to the bits of a word, else in two halves.
+SHORT, WORD = 96, 64
+#: Windows walked at a time, so that their arrays stay in the processor's cache; characters of a text that are scanned as one row.
+WALKED, SEGMENT = 8192, 512
+#: Characters in a row that are counted to rule pairs out, and the bits of their hash.
+GRAM, GRAM_BITS = 4, 13
 LEAKS = fields(("doc_id", T.LongType()), ("item_id", T.LongType()), ("distance", T.LongType()), ("item_chars", T.LongType()), ("start", T.LongType()))
 
 
@@ -49,38 +54,42 @@ def codes(text: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def walks() -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]:
-    """Bits of the two walks by step and character; for each walk and step the samples (size, repeat, factor) that take it."""
+def walks() -> tuple[np.ndarray, np.ndarray, list[list[list[tuple[int, int]]]]]:
+    """Bits of the two walks by step and character; for each walk and step, up to the last that is sampled, the samples (repeat, factor) that take it."""
     rng = np.random.default_rng(20240229)
-    bits = rng.integers(0, 2, (2, 2 * SIZES[-1], 256), dtype=np.uint8)
-    takes: list[list[tuple[int, int, int]]] = [[[] for _ in range(2 * SIZES[-1])] for _ in range(2)]
-    for s, size in enumerate(SIZES):
-        for r in range(REPEATS):
-            for j in np.sort(rng.choice(2 * size, SAMPLED, replace=False)):
-                takes[r % 2][j].append((s, r, int(rng.integers(1, 1 << 63)) | 1))
-    return bits, rng.integers(1, 1 << 63, (len(SIZES), REPEATS), dtype=np.int64), takes
+    bits = rng.integers(0, 2, (2, 2 * SIZE, 256), dtype=np.uint8)
+    takes: list[list[list[tuple[int, int]]]] = [[[] for _ in range(2 * SIZE)] for _ in range(2)]
+    for r in range(REPEATS):
+        for j in np.sort(rng.choice(2 * SIZE, SAMPLED, replace=False)):
+            takes[r % 2][j].append((r, int(rng.integers(1, 1 << 63)) | 1))
+    return bits, rng.integers(1, 1 << 63, REPEATS, dtype=np.int64), [t[: 1 + max(j for j, x in enumerate(t) if x)] for t in takes]
 
 
-def signatures(text: np.ndarray, starts: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """LSH keys of windows: [window, size, repeat]. top: the largest size of each, as its place in SIZES. text ends with 2 * SIZES[-1] zeros."""
+def signatures(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LSH keys of windows, [repeat, window], and the last character that each repeat's walk has read. text ends with 2 * SIZE zeros."""
     bits, salts, takes = walks()
-    keys = np.broadcast_to(salts.view(np.uint64), (len(starts), *salts.shape)).copy()
-    order = np.argsort(-top, kind="stable")
-    left = [int((top >= s).sum()) for s in range(len(SIZES))]
+    keys = np.repeat(salts.view(np.uint64)[:, None], len(starts), axis=1)
+    read = np.empty((REPEATS, len(starts)), np.int64)
     for w in range(2):
-        at = starts[order].copy()
-        for j in range(2 * SIZES[-1]):
-            n = left[next(s for s, size in enumerate(SIZES) if j < 2 * size)]
-            if not n:
-                break
-            c = text[at[:n]]
-            for s, r, factor in takes[w][j]:
-                m = left[s]
-                keys[:m, s, r] += (c[:m].astype(np.uint64) + np.uint64(1)) * np.uint64(factor)
-            at[:n] += bits[w, j][c]
-    out = np.empty_like(keys)
-    out[order] = keys
-    return out
+        at = starts.copy()
+        for j, taken in enumerate(takes[w]):
+            c = text[at]
+            if taken:
+                wide = c.astype(np.uint64) + np.uint64(1)
+                for r, factor in taken:
+                    keys[r] += wide * np.uint64(factor)
+            if j + 1 == len(takes[w]):
+                read[w::2] = at
+            at += bits[w, j][c]
+    return keys, read
+
+
+def grams(c: np.ndarray) -> np.ndarray:
+    """Hashes of GRAM characters in a row."""
+    h = np.zeros(max(0, len(c) - GRAM + 1), np.uint32)
+    for k in range(GRAM):
+        h = h * np.uint32(2654435761) + c[k : k + len(h)] + np.uint32(1)
+    return (h * np.uint32(2246822519)) >> np.uint32(32 - GRAM_BITS)
 
 
 def edit_distance_within(item: str, text: str, most: int) -> tuple[int, int] | None:
@@ -113,105 +122,149 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]], max_ratio: float):
         self.items = {i: " ".join(normalised(t)) for i, t in items}
         self.most = {i: int(max_ratio * len(t)) for i, t in self.items.items()}
-        # of a short item some of most + 1 pieces stands in the text unchanged
-        self.short = {i: [t[len(t) * k // (self.most[i] + 1) : len(t) * (k + 1) // (self.most[i] + 1)] for k in range(self.most[i] + 1)] for i, t in self.items.items() if 0 < len(t) < SIZES[0]}
-        self.top: dict[str, int] = {}
-        parts, starts, tops, owners, at = [], [], [], [], 0
-        pad = np.zeros(2 * SIZES[-1], np.uint8)
-        for i, text in self.items.items():
-            words = [] if i in self.short else text.split()
-            offsets = np.cumsum([0, *(len(w) + 1 for w in words)])[:-1].tolist() if words else []
-            anchors = [(w, o) for w, o in zip(words, offsets, strict=True) if len(w) >= ANCHOR] or list(zip(words, offsets, strict=True))
-            for w, o in anchors:
-                # windows of the item's size at most, and the smallest in any case
-                top = max([0, *(s for s, size in enumerate(SIZES) if size <= len(text) - o)])
-                self.top[w] = max(self.top.get(w, 0), top)
-                starts.append(at + o)
-                tops.append(top)
-                owners.append((i, o))
-            parts += [codes(text), pad]
-            at += len(text) + len(pad)
-        self.owners = owners
+        # short items as (item, piece, edits allowed in it); one of two halves has at most half of the edits
+        self.pieces: list[tuple[int, str, int]] = []
+        for i, t in self.items.items():
+            if 0 < len(t) <= WORD:
+                self.pieces.append((i, t, self.most[i]))
+            elif len(t) <= SHORT:
+                self.pieces += [(i, half, self.most[i] // 2) for half in (t[: len(t) // 2], t[len(t) // 2 :]) if half]
+        # for each piece and each character of any of them, the places where it stands; 0 is any other character
+        self.alphabet = "".join(sorted({c for _, t, _ in self.pieces for c in t}))
+        self.masks = np.zeros((len(self.pieces), len(self.alphabet) + 1), np.uint64)
+        place = {c: k + 1 for k, c in enumerate(self.alphabet)}
+        for k, (_, t, _) in enumerate(self.pieces):
+            for at, c in enumerate(t):
+                self.masks[k, place[c]] |= np.uint64(1 << at)
+        self.long = [i for i, t in self.items.items() if len(t) > SHORT]
+        self.grams = np.zeros((len(self.long), 1 << GRAM_BITS), bool)
+        found: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
+        pad = np.zeros(2 * SIZE, np.uint8)
+        for e, i in enumerate(self.long):
+            text = codes(self.items[i])
+            self.grams[e, grams(text)] = True
+            starts = np.arange(len(text), dtype=np.int64)
+            keys, read = signatures(np.concatenate([text, pad]), starts)
+            for r in range(REPEATS):
+                inside = np.flatnonzero(read[r] < len(text))
+                k, first = np.unique(keys[r, inside], return_index=True)
+                last = len(inside) - 1 - np.unique(keys[r, inside[::-1]], return_index=True)[1]
+                found[r].append(np.stack([k, np.full(len(k), e, np.uint64), inside[first].astype(np.uint64), inside[last].astype(np.uint64)]))
         self.keys: list[np.ndarray] = []
         self.rows: list[np.ndarray] = []
-        self.maybe = np.zeros(1 << 20, bool)
-        tops_a = np.array(tops, np.int64)
-        if owners:
-            keys = signatures(np.concatenate(parts), np.array(starts, np.int64), tops_a)
-            for s in range(len(SIZES)):
-                has = np.flatnonzero(tops_a >= s)
-                for r in range(REPEATS):
-                    order = np.argsort(keys[has, s, r], kind="stable")
-                    self.keys.append(keys[has, s, r][order])
-                    self.rows.append(has[order])
-                    self.maybe[(keys[has, s, r] >> np.uint64(44)).astype(np.int64)] = True
-
-    def candidates(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int]]:
-        """(document, item, character where the item would start)."""
-        top = self.top
-        parts, starts, tops, owner, places, at = [], [], [], [], [], 0
-        pad = np.zeros(2 * SIZES[-1], np.uint8)
-        for d, words in enumerate(docs):
-            hits = [k for k, w in enumerate(words) if w in top]
-            if not hits:
-                continue
-            offsets = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - np.fromiter(map(len, words), np.int64, len(words)) - 1
-            here = offsets[hits]
-            parts += [codes(" ".join(words)), pad]
-            starts.append(here + at)
-            places.append(here)
-            tops.append(np.fromiter((top[words[k]] for k in hits), np.int64, len(hits)))
-            owner.append(np.full(len(hits), d))
-            at += len(parts[-2]) + len(pad)
-        if not parts:
-            return
-        tops_a, owner_a, place = np.concatenate(tops), np.concatenate(owner), np.concatenate(places)
-        keys = signatures(np.concatenate(parts), np.concatenate(starts), tops_a)
-        seen: set[tuple[int, int, int]] = set()
-        for s in range(len(SIZES)):
+        self.maybe = np.zeros((REPEATS, 1 << 20), bool)
+        for r in range(REPEATS if self.long else 0):
+            rows = np.concatenate(found[r], axis=1)
+            rows = rows[:, np.argsort(rows[0], kind="stable")]
+            self.keys.append(rows[0])
+            self.rows.append(rows[1:].astype(np.int32))  # item, and the first and last place in it with this key
+            self.maybe[r, (rows[0] >> np.uint64(44)).astype(np.int64)] = True
+
+    def candidates(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Document, item, and the least and greatest character where the item would start: columns of one row for each pair of equal keys, in that order."""
+        pad = np.zeros(2 * SIZE, np.uint8)
+        joined = np.concatenate([x for c in texts for x in (c, pad)])
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        offsets = np.cumsum(lengths + len(pad)) - lengths - len(pad)
+        starts = np.concatenate([np.arange(a, a + n, STRIDE) for a, n in zip(offsets.tolist(), lengths.tolist(), strict=True)])
+        out = [np.zeros((4, 0), np.int64)]
+        for at in range(0, len(starts), WALKED):
+            here = starts[at : at + WALKED]
+            keys, _ = signatures(joined, here)
             for r in range(REPEATS):
-                k = keys[:, s, r]
-                rows = np.flatnonzero((tops_a >= s) & self.maybe[(k >> np.uint64(44)).astype(np.int64)])
-                if not len(rows):
-                    continue
-                mine, theirs = self.keys[s * REPEATS + r], self.rows[s * REPEATS + r]
-                a, b = np.searchsorted(mine, k[rows], "left"), np.searchsorted(mine, k[rows], "right")
-                for row, x, y in zip(rows[a < b].tolist(), a[a < b].tolist(), b[a < b].tolist(), strict=True):
-                    for e in theirs[x:y].tolist():
-                        i, o = self.owners[e]
-                        seen.add((int(owner_a[row]), i, int(place[row]) - o))
-        yield from seen
+                rows = np.flatnonzero(self.maybe[r, (keys[r] >> np.uint64(44)).astype(np.int64)])
+                k = keys[r, rows]
+                a, b = np.searchsorted(self.keys[r], k, "left"), np.searchsorted(self.keys[r], k, "right")
+                n = b - a
+                row = np.repeat(here[rows], n)
+                item, first, last = self.rows[r][:, np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                d = np.searchsorted(offsets, row, "right") - 1
+                out.append(np.stack([d, item, row - offsets[d] - last, row - offsets[d] - first]))
+        found = np.concatenate(out, axis=1)
+        return found[:, np.lexsort(found[::-1])]
+
+    def _may_hold(self, e: int, part: np.ndarray) -> bool:
+        """Whether some stretch of a part, as long as a copy may be, has as many of the item's grams as edits leave. An edit takes GRAM of them at most, so no copy is ruled out."""
+        i = self.long[e]
+        least = len(self.items[i]) - GRAM + 1 - GRAM * self.most[i]
+        if least <= 0:
+            return True
+        total = np.cumsum(self.grams[e, part])
+        width = len(self.items[i]) + self.most[i]
+        return len(total) > 0 and int(total.max() if len(total) <= width else max(total[width - 1], (total[width:] - total[:-width]).max())) >= least
 
     def leaks(self, docs: list[list[str]]) -> dict[tuple[int, int], tuple[int, int]]:
         """(document, item) -> (distance, character where the part ends), for all pairs found and verified."""
-        spots: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for d, i, start in self.candidates(docs):
-            spots[d, i].append(start)
-        texts: dict[int, str] = {}
-        found = {}
-        for (d, i), starts in spots.items():
-            text = texts.setdefault(d, " ".join(docs[d]))
-            item, most = self.items[i], self.most[i]
-            best = None
-            done = -1
-            for start in sorted(starts):  # near ones share a stretch of text
-                a, b = max(0, start - 2 * most - 1), start + len(item) + 2 * most + 1
-                if b <= done:
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        texts = [" ".join(words) for words in docs]
+        if self.long and texts:
+            hashed = [codes(t) for t in texts]
+            runs: list[list[int]] = []
+            for d, e, low, high in self.candidates(hashed).T.tolist():  # near ones share a stretch of text
+                if runs and runs[-1][:2] == [d, e] and low <= runs[-1][3] + self.most[self.long[e]]:
+                    runs[-1][3] = max(runs[-1][3], high)
+                else:
+                    runs.append([d, e, low, high])
+            hashes: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint32))
+            for d, e, low, high in runs:
+                i = self.long[e]
+                item, most = self.items[i], self.most[i]
+                a, b = max(0, low - 2 * most - 1), high + len(item) + 2 * most + 1
+                if hashes[0] != d:
+                    hashes = d, grams(hashed[d])
+                if not self._may_hold(e, hashes[1][a : max(a, b - GRAM + 1)]):
                     continue
-                got = edit_distance_within(item, text[a:b], most)
-                done = start + len(item) + 2 * most + 1 if got and not got[0] else b
-                if got and (best is None or (got[0], got[1] + a) < best):
-                    best = (got[0], got[1] + a)
-            if best:
-                found[d, i] = best
-        if self.short:
-            for d, words in enumerate(docs):
-                text = texts.get(d) or " ".join(words)
-                for i, pieces in self.short.items():
-                    if any(p in text for p in pieces) and (got := edit_distance_within(self.items[i], text, self.most[i])):
-                        found[d, i] = got
+                got = edit_distance_within(item, texts[d][a:b], most)
+                if got and ((d, i) not in found or (got[0], got[1] + a) < found[d, i]):
+                    found[d, i] = (got[0], got[1] + a)
+        if self.pieces:
+            self._scan(texts, found)
         return found
 
+    def _scan(self, texts: list[str], found: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Adds the short items: the edit distance of each piece is followed along each text, for many stretches of text at once."""
+        letters = np.frombuffer(self.alphabet.encode("utf-32-le", "surrogatepass"), "<u4")
+        before = max(len(t) + most for _, t, most in self.pieces)  # a part that ends in a stretch begins at most so far before it
+        full = [(d, a, max(0, a - before)) for d, t in enumerate(texts) for a in range(0, len(t), SEGMENT)]
+        for at in range(0, len(full), WALKED):
+            cuts = full[at : at + WALKED]
+            rows = np.zeros((min(SEGMENT + before, max(len(texts[d]) - begin for d, _, begin in cuts)), len(cuts)), np.uint32)
+            for k, (d, a, begin) in enumerate(cuts):
+                c = np.frombuffer(texts[d][begin : a + SEGMENT].encode("utf-32-le", "surrogatepass"), "<u4")
+                place = np.minimum(np.searchsorted(letters, c), len(letters) - 1)
+                rows[: len(c), k] = np.where(letters[place] == c, place + 1, 0)
+            for k, (i, piece, allowed) in enumerate(self.pieces):
+                item, most = self.items[i], self.most[i]
+                score, end = self._least(k, rows)
+                for j in np.flatnonzero(score <= allowed).tolist():
+                    d, a, begin = cuts[j]
+                    got: tuple[int, int] | None = (int(score[j]), int(end[j]))
+                    if len(piece) < len(item):
+                        begin = max(0, begin - len(item) - most)
+                        got = edit_distance_within(item, texts[d][begin : a + SEGMENT + len(item) + most], most)
+                    if got and ((d, i) not in found or (got[0], got[1] + begin) < found[d, i]):
+                        found[d, i] = (got[0], got[1] + begin)
+
+    def _least(self, k: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each column the least distance of piece k from a part of it, and where the first such part ends. A column's zeros at its end match nothing, so they give no less."""
+        n, one = len(self.pieces[k][1]), np.uint64(1)
+        full, last = np.uint64((1 << n) - 1), np.uint64(n - 1)
+        masks = self.masks[k]
+        plus, minus = np.full(rows.shape[1], full), np.zeros(rows.shape[1], np.uint64)
+        score = np.full(rows.shape[1], n, np.int64)
+        best, end = score.copy(), np.zeros(rows.shape[1], np.int64)
+        for j in range(len(rows)):
+            eq = masks[rows[j]]
+            d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+            hp, hm = (minus | ~(d0 | plus)) & full, plus & d0
+            score += ((hp >> last) & one).astype(np.int64) - ((hm >> last) & one).astype(np.int64)
+            hp, hm = (hp << one) & full, (hm << one) & full
+            plus, minus = (hm | ~(d0 | hp)) & full, hp & d0
+            less = score < best
+            best[less] = score[less]
+            end[less] = j + 1
+        return best, end
+
 
 def _find(block):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +277,7 @@ def _find(block):
     return find
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.2, block_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.2, block_items: int = 5_000) -> DataFrame:
     """One row for each document and benchmark item that it holds: doc_id, item_id, distance, item_chars, start.
 
     Texts are compared in lower case with white space turned into single spaces. An item is held where some part of the document is within max_ratio of the item's characters in edits (0.2: a similarity of 0.8); distance is the least found, start is about where that part begins, in characters of the normalised text.
@@ -235,7 +288,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return reduce(DataFrame.unionByName, found)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.2, block_items: int = 20_000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.2, block_items: int = 5_000) -> DataFrame:
     """Rows of docs that hold no benchmark item, all columns as they were. Rows stream through: nothing shuffles."""
 
     def clean(index):

@@ -262,3 +262,46 @@ def test_leaks_against_brute_force(spark):
     blocks = {(x["doc_id"], x["item_id"]): x["distance"] for x in decontaminate.find_leaks(df, bench, block_items=7).collect()}
     assert blocks == got
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def spread_edits(r, text, share):
+    out = list(text)
+    for _ in range(int(share * len(text))):
+        i = r.randrange(len(out))
+        kind = r.randrange(3)
+        if kind == 0:
+            out[i] = r.choice("abcdefghij ")
+        elif kind == 1:
+            del out[i]
+        else:
+            out.insert(i, r.choice("abcdefghij "))
+    return "".join(out)
+
+
+def test_leaks_by_share_of_edits():
+    r = random.Random(21)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(400)]
+    items = [(i, " ".join(r.choices(words, k=60))[:n].strip("x ") + "x") for i, n in enumerate([30, 50, 70, 90, 97, 110, 150, 200, 300, 500] * 8)]
+    index = decontaminate.Index(items, 0.2)
+    for share in (0, 0.05, 0.1, 0.15, 0.18, 0.2):
+        docs = [decontaminate.normalised(" ".join(r.choices(words, k=9)) + " " + spread_edits(r, t, share) + " " + " ".join(r.choices(words, k=9))) for _, t in items]
+        got = index.leaks(docs)
+        held = {(d, i): x for d, (i, t) in enumerate(items) if (x := distance(t, " ".join(docs[d]))) <= int(0.2 * len(t))}
+        assert all(held[k] == got[k][0] for k in held.keys() & got.keys())
+        short = {k for k in held if len(items[k[0]][1]) <= 96}
+        assert short <= got.keys(), share  # exact
+        rest = held.keys() - short
+        assert len(rest & got.keys()) >= (1.0 if share <= 0.05 else 0.9) * len(rest), share
+
+
+def test_leaks_of_items_with_few_words():
+    r = random.Random(22)
+    questions = ["how many legs does a spider have?", "what is the capital of france?", "is it so", "supercalifragilisticexpialidocious-and-so-on", "x" * 40 + "yz" * 20, "".join(r.choices("abcdefghij", k=150)), "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3]
+    items = [(i, " ".join(q.split())) for i, q in enumerate(questions)]
+    index = decontaminate.Index(items, 0.2)
+    for i, q in items:
+        copies = [q, *(q[:k] + "#" + q[k + 1 :] for k in range(0, len(q), 3) if q[k] != " " and len(q) >= 10), *(q[:k] + "#" + q[k:] for k in range(1, len(q), 5) if len(q) >= 10)]
+        for around in ("{}", "and then he said {} to all of them at once", "well,({})!and more text without end", "padding " * 200 + "{}" + " padding" * 200):
+            got = index.leaks([around.format(c).split() for c in copies])
+            assert all((d, i) in got for d in range(len(copies))), (q, around)
+            assert got[0, i][0] == 0 and around.format(q)[: got[0, i][1]].endswith(q)
