@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote center details div
 
 #: What a tag that is never content costs, in times of its share.
 NEVER = 4
+#: A feature that the built-in pages do not have needs as many occurrences outside content to be never content.
+LEAST_SEEN = 5
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(RAW)})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
@@ -87,41 +90,66 @@ class _Piece:
 
 
 def pieces(page: str, weights: Weights) -> list[_Piece]:
-    stack: list[tuple[str, bool]] = []
+    """The runs of a page. An element that is never content is dropped, unless it wraps the page: it holds the only article or main element, or, where there is none, nine in ten of the page's words."""
+    stack: list[tuple[str, int]] = []
     out: list[_Piece] = []
-    dropped = 0
+    never: list[list[int]] = []  # first and one past the last piece of each element that is never content
+    marks: dict[str, list[int]] = {"article": [], "main": []}
+
+    def pop() -> tuple[str, int]:
+        n, e = stack.pop()
+        if e >= 0:
+            never[e][1] = len(out)
+        return n, e
+
     for kind, what in tokens(page):
         if kind == "text":
             n = len(what.split())
             if n or out:
-                out.append(_Piece(what, 0.0 if dropped else float(n), dropped > 0, False))
+                out.append(_Piece(what, float(n), False, False))
             continue
         name = what[0]
         if kind == "open":
             if name in ENDS_PARAGRAPH and any(n == "p" for n, _ in stack):  # an open paragraph ends here
-                while stack:
-                    n, bad = stack.pop()
-                    dropped -= bad
-                    if n == "p":
-                        break
+                while stack and pop()[0] != "p":
+                    pass
             bad = any(f in weights.never for f in what)
             cost = min(weights.tags.get(f, weights.unknown_tag) for f in what)
-            out.append(_Piece(None, cost, dropped > 0 or bad, name not in INLINE))
+            if name in marks:
+                marks[name].append(len(out))
+            if bad:
+                never.append([len(out), len(out) + 1])
+            out.append(_Piece(None, cost, False, name not in INLINE))
             if name not in VOID:
-                stack.append((name, bad))
-                dropped += bad
+                stack.append((name, len(never) - 1 if bad else -1))
         else:
+            closed = -1
             if any(n == name for n, _ in stack):
-                features_bad = False
                 while stack:
-                    n, bad = stack.pop()
-                    dropped -= bad
+                    n, e = pop()
                     if n == name:
-                        features_bad = bad
+                        closed = e
                         break
-                out.append(_Piece(None, weights.tags.get(name, weights.unknown_tag), dropped > 0 or features_bad, name not in INLINE))
-            else:
-                out.append(_Piece(None, weights.tags.get(name, weights.unknown_tag), dropped > 0, name not in INLINE))
+            out.append(_Piece(None, weights.tags.get(name, weights.unknown_tag), False, name not in INLINE))
+            if closed >= 0:
+                never[closed][1] = len(out)
+    while stack:
+        pop()
+    words = [0.0, *accumulate(p.score if p.text is not None else 0.0 for p in out)]
+    only = [m[0] for m in marks.values() if len(m) == 1]
+    opens, ends = Counter[int](), Counter[int]()
+    for a, b in never:
+        wraps = any(a <= m < b for m in only) if any(marks.values()) else words[b] - words[a] >= 0.9 * words[-1] > 0
+        if not wraps:
+            opens[a] += 1
+            ends[b] += 1
+    dropped = 0
+    for i, p in enumerate(out):
+        dropped += opens[i] - ends[i]
+        if dropped:
+            p.dropped = True
+            if p.text is not None:
+                p.score = 0.0
     return out
 
 
@@ -159,14 +187,28 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def _labelled_tokens(page: str) -> Iterator[tuple[tuple[str, ...], bool]]:
-    """Each start tag's features, and whether it stands inside the marked content."""
+    """Each start tag's features, and whether it stands inside the marked content. Elements open where the content begins hold it, so they are neither."""
     inside = False
+    found: list[tuple[tuple[str, ...], bool] | None] = []
+    stack: list[tuple[str, int]] = []
     for kind, what in tokens(page):
         if kind == "text":
             for c in what:
+                if c == "\x02":
+                    for _, at in stack:
+                        found[at] = None
                 inside = True if c == "\x02" else False if c == "\x03" else inside
         elif kind == "open":
-            yield what, inside
+            if what[0] in ENDS_PARAGRAPH and any(n == "p" for n, _ in stack):
+                while stack and stack.pop()[0] != "p":
+                    pass
+            if what[0] not in VOID:
+                stack.append((what[0], len(found)))
+            found.append((what, inside))
+        elif any(n == what[0] for n, _ in stack):
+            while stack and stack.pop()[0] != what[0]:
+                pass
+    yield from (f for f in found if f)
 
 
 def mark_article(page: str) -> str | None:
@@ -180,19 +222,20 @@ def mark_article(page: str) -> str | None:
 
 
 def fit_weights(pages: Iterable[str]) -> Weights:
-    """Weights from labelled pages: the cost of a tag grows with the share of its occurrences outside the content; a feature of which at least 95 in 100 are outside is never content and costs NEVER times that. It costs no more, as an advert amid an article must not cut it in two; its own words count nothing."""
+    """Weights from labelled pages: the cost of a tag grows with the share of its occurrences outside the content; a feature of which at least 95 in 100 are outside, elements around the content not counted, is never content and costs NEVER times that. It costs no more, as an advert amid an article must not cut it in two; its own words count nothing."""
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page in pages:
         for what, is_in in _labelled_tokens(page):
             (inside if is_in else outside).update(set(what))
     wraps = {"html", "body", "main", "article", ".content", ".post", ".entry", ".article", "head", "div", "section", "span", "p", "a", "h", "ul", "li", "ol"}
+    shown = {f for page in LABELLED for what, _ in _labelled_tokens(page) for f in what}
     tags = {}
     never = set()
     for f in inside.keys() | outside.keys():
         share = (outside[f] + 0.02) / (outside[f] + inside[f] + 0.04)
         tags[f] = -0.05 - 0.3 * share
-        if share >= 0.95 and f not in wraps and f not in VOID:
+        if share >= 0.95 and f not in wraps and f not in VOID and (f in shown or outside[f] >= LEAST_SEEN):
             never.add(f)
             tags[f] *= NEVER
     return Weights(tags, frozenset(never))

@@ -118,6 +118,18 @@ def test_extract_text_frame(spark):
     assert html_text.extract_text(df.limit(0), html_text.fit(df.limit(0))).count() == 0
 
 
+def test_wrappers_are_not_dropped():
+    body = "<nav><a href='/'>Home</a></nav><{0}><h1>On bread</h1><p>Flour, water, salt and time make bread that will keep.</p></{1}><div class='comments'><p>Mine burned.</p></div>"
+    plain = body.format("article", "article")
+    pages = [f"<body><div class='wrapper'>{body.format('article class=story', 'article')}</div></body>"] * 20 + [f"<body><div class='once'>x y</div>{plain}</body>"]
+    fitted = html_text.fit_weights([*html_text.LABELLED, *(m for p in pages if (m := html_text.mark_article(p)))])
+    assert not {".wrapper", ".story", ".once"} & fitted.never and {".comments", "nav"} <= fitted.never
+    for w in (html_text.fit_weights(html_text.LABELLED), fitted):
+        for page in [*pages[:1], *(f"<body><div class='{c}'>{plain}</div></body>" for c in ("site", "top", "wrapper sidebar")), "<body><div class='site'><h1>On bread</h1><p>Flour, water, salt and time make bread that will keep.</p></div></body>"]:
+            assert html_text.main_text(page, w).endswith("On bread\n\nFlour, water, salt and time make bread that will keep."), page
+        assert "burned" not in html_text.main_text(f"<body>{plain.replace('Mine', 'Mine ' * 300)}</body>", w)
+
+
 # Classifiers
 
 
