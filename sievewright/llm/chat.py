@@ -3,7 +3,8 @@
 In the rendering of a participant that speaker is the assistant and everyone
 else a user with a name; only the assistant's words are trained on. Built-in
 expressions only: one shuffle by dialogue, which moves each turn once; the
-renderings are made after it.
+renderings are made after it. Participants of dialogues in several parts are
+joined from a small table of their own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Dialogues in parts whose participants may be broadcast, as many rows of a dialogue and a participant; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -20,7 +23,7 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     """One row for each dialogue and participant: conv_id, part, speaker, n_turns, n_own_turns, rendered, mask_runs, n_trained.
 
     A turn is rendered as `<|im_start|>NAME\\nTEXT<|im_end|>\\n`; NAME is `assistant` for the row's speaker, `user name=SPEAKER` for another and the narrator's own name for the narrator, who is no participant. mask_runs has for each turn `M:T`: M characters that are masked, then T that are trained on (text and end mark of the assistant); the runs add up to the whole rendering, and all T to n_trained.
-    Turns go by number, then speaker, then text, nulls first; repeated rows are turns of their own. A null speaker is `unknown`, a null text is empty. A turn without a dialogue id is a dialogue of its own. A dialogue of the narrator alone has no participant and gives no row. A dialogue whose turn numbers reach part_turns is rendered in parts of as many numbers, so no row grows without bound; part is 0 otherwise. An empty table gives an empty result; other columns are not read.
+    Turns go by number, then speaker, then text, nulls first; repeated rows are turns of their own. A null speaker is `unknown`, a null text is empty. A turn without a dialogue id is a dialogue of its own. A dialogue of the narrator alone has no participant and gives no row. A dialogue whose turn numbers reach part_turns is rendered in parts of as many numbers, so no row grows without bound; each part has a row for every participant of the whole dialogue, silent in it or not, and counts and masks are those of the part. part is 0 otherwise. An empty table gives an empty result; other columns are not read.
     """
     rows = turns.select(
         F.col(f"`{conv_col}`").cast("long").alias("conv_id"),
@@ -31,7 +34,12 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     rows = rows.withColumns({"part": F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long"), "alone": F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())})
     dialogues = rows.groupBy("conv_id", "part", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
     speakers = F.filter(F.array_distinct(F.transform("turns", lambda t: t["speaker"])), lambda s: s != narrator)
-    each = dialogues.select("conv_id", "part", "turns", F.explode(speakers).alias("speaker"))
+    # of dialogues in several parts, the participants of all; few of them are joined without moving the turns
+    several = rows.filter("conv_id IS NOT NULL").select("conv_id", "part", "speaker").distinct().groupBy("conv_id")
+    several = several.agg(F.collect_set(F.when(F.col("speaker") != narrator, F.col("speaker"))).alias("everyone"), F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("conv_id", "everyone")
+    size = several.select(F.explode("everyone")).limit(MOST_BROADCAST + 1).count()
+    dialogues = dialogues.join(F.broadcast(several) if size <= MOST_BROADCAST else several, "conv_id", "left")
+    each = dialogues.select("conv_id", "part", "turns", F.explode(F.coalesce("everyone", speakers)).alias("speaker"))
     own = F.col("speaker")
 
     def name(t):

@@ -75,6 +75,16 @@ def test_rotation(spark):
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_rotation_of_a_dialogue_in_parts(spark, monkeypatch):
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "a"), (1, 5, "bob", "b"), (1, 9, "system", "s"), (2, 1, "cy", "c"), (None, 6, "ann", "x"), (3, 1, "system", "S"), (3, 6, "system", "S")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for most in (chat.MOST_BROADCAST, 0):
+        monkeypatch.setattr(chat, "MOST_BROADCAST", most)
+        got = {(r["conv_id"], r["part"], r["speaker"]): (r["n_turns"], r["n_own_turns"], r["n_trained"]) for r in chat.rotate_perspectives(df, part_turns=4).collect()}
+        own = len("a<|im_end|>\n")
+        assert got == {(1, 0, "ann"): (2, 1, own), (1, 0, "bob"): (2, 0, 0), (1, 1, "ann"): (1, 0, 0), (1, 1, "bob"): (1, 1, own), (1, 2, "ann"): (1, 0, 0), (1, 2, "bob"): (1, 0, 0), (2, 0, "cy"): (1, 1, own), (None, 1, "ann"): (1, 1, own)}
+
+
 def test_rotation_is_built_in(spark):
     df = spark.createDataFrame([(1, 0, "a", "b")], "conv_id long, turn long, role string, text string")
     plan = chat.rotate_perspectives(df)._jdf.queryExecution().toString()
