@@ -323,18 +323,18 @@ def acceptance(spark, sf):
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark, sf):
-    return stats.bootstrap(predictions(spark, sf, clean_only=True), "condition", rounds=200)
+    return stats.bootstrap(predictions(spark, sf, clean_only=True), "condition")
 
 
 @query("paired_bootstrap")
 def paired_bootstrap(spark, sf):
-    return stats.paired_bootstrap(both_scores(spark, sf), "condition", "pred", "pred_b", rounds=200)
+    return stats.paired_bootstrap(both_scores(spark, sf), "condition", "pred", "pred_b")
 
 
 @query("cohort_bootstrap")
 def cohort_bootstrap(spark, sf):
     rows = predictions(spark, sf, clean_only=True).withColumn("cohort", F.when(F.col("split") == "train", "seen").otherwise("unseen"))
-    return stats.cohort_bootstrap(rows, "condition", "cohort", ["seen", "unseen"], rounds=200)
+    return stats.cohort_bootstrap(rows, "condition", "cohort", ["seen", "unseen"])
 
 
 @query("platt_fit")

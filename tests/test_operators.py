@@ -352,3 +352,39 @@ def test_platt():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * x)))).astype(float)
     slope, intercept = stats.fit_platt(x, y, temperature_only=True)
     assert abs(slope - 0.5) < 0.08 and intercept == 0
+
+
+def test_registered_bootstraps_use_all_rounds(monkeypatch):
+    import inspect
+
+    from sievewright.plans import evaluation
+
+    rounds = {}
+    for name in ("bootstrap", "paired_bootstrap", "cohort_bootstrap"):
+        declared = inspect.signature(getattr(stats, name))
+
+        def spy(*args, _name=name, _declared=declared, **kwargs):
+            bound = _declared.bind(*args, **kwargs)
+            bound.apply_defaults()
+            rounds[_name] = bound.arguments["rounds"]
+
+        monkeypatch.setattr(stats, name, spy)
+    monkeypatch.setattr(evaluation, "predictions", lambda *a, **k: _Rows())
+    monkeypatch.setattr(evaluation, "both_scores", lambda *a, **k: _Rows())
+    monkeypatch.setattr(evaluation.F, "when", lambda *a: _Rows())
+    monkeypatch.setattr(evaluation.F, "col", lambda *a: _Rows())
+    for name in ("bootstrap_intervals", "paired_bootstrap", "cohort_bootstrap"):
+        getattr(evaluation, name)(None, None)
+    assert rounds == {"bootstrap": 1000, "paired_bootstrap": 1000, "cohort_bootstrap": 1000}
+
+
+class _Rows:
+    """Stands for rows and expressions where none are computed."""
+
+    def __getattr__(self, name):
+        return lambda *args: self
+
+    def __eq__(self, other):
+        return self
+
+    __hash__ = None
