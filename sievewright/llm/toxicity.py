@@ -246,7 +246,7 @@ def fit_chain(texts: list[list[bytes]], toxic: np.ndarray, max_sentences: int =
     return ToxicityModel(kept, float(theta[1]), tuple(moves.tolist()))
 
 
-def fit_sample(sample: list[tuple[int, bytes]]) -> ToxicityModel:
+def fit_sample(sample: list[tuple[int, bytes]], max_sentences: int = 12_000) -> ToxicityModel:
     """A model from (label, text): three of five texts train the chain, the others the curve."""
     y = np.array([label for label, _ in sample], int)
     if not len(y) or y.min() == y.max():
@@ -255,17 +255,17 @@ def fit_sample(sample: list[tuple[int, bytes]]) -> ToxicityModel:
     held = np.arange(len(sample)) % 5 >= 3
     if y[held].min(initial=1) == y[held].max(initial=0) or y[~held].min(initial=1) == y[~held].max(initial=0):
         held = np.ones(len(sample), bool)
-    chain = fit_chain([sample[i][1].split() for i in (np.flatnonzero(~held) if not held.all() else range(len(sample)))], y[~held] if not held.all() else y)
+    chain = fit_chain([sample[i][1].split() for i in (np.flatnonzero(~held) if not held.all() else range(len(sample)))], y[~held] if not held.all() else y, max_sentences)
     texts = [sample[i][1] for i in np.flatnonzero(held)]
     marginal, stops = read(texts, Emissions(chain), chain.moves)
     curve = fit_logistic(document_features(marginal, stops), y[held].astype(float), ridge=0.1)
     return ToxicityModel(chain.weights, chain.bias, chain.moves, curve.tolist())
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, per_label: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """A model from at most per_label labelled texts of each label (a documented bound)."""
-    sample = labelled_sample(docs, labels, label_col, F.lit(True) if usable is None else usable, per_label, id_col, text_col, 32_768)
-    return fit_sample([(label, text) for _, label, text in sample])
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, per_label: int = 2500, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 32_768, max_sentences: int = 12_000) -> ToxicityModel:
+    """A model from at most per_label labelled texts of each label, of a longer text the max_bytes in its middle, and at most max_sentences sentences, half of them with offending words and half without (documented bounds; scoring has none). An offence outside a long text's middle is not learned from."""
+    sample = labelled_sample(docs, labels, label_col, F.lit(True) if usable is None else usable, per_label, id_col, text_col, max_bytes)
+    return fit_sample([(label, text) for _, label, text in sample], max_sentences)
 
 
 def _scored(broadcast):

@@ -193,6 +193,16 @@ def test_classifiers_on_odd_rows(spark):
             assert apply(odd.limit(0), model).count() == 0
 
 
+def test_bounds_of_the_toxicity_fit_are_parameters(spark, monkeypatch):
+    docs, labels = labelled_corpus(60)
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda texts, toxic, max_sentences: seen.append((max(sum(len(w) + 1 for w in t) for t in texts), max_sentences)) or toxicity.ToxicityModel({}, -6.0))
+    toxicity.fit(df, lab, max_bytes=50, max_sentences=10)
+    toxicity.fit(df, lab)
+    assert seen[0][0] <= 51 < seen[1][0] and [s for _, s in seen] == [10, 12_000]
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(0)
     moves = tuple(rng.normal(0, 1, 4).tolist())
