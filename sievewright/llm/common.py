@@ -9,16 +9,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Used by sessions of a single machine that name no folder (tests); a cluster must name one.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, and a local one only where that is unset (as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only a session that runs in one process may leave it unset, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or LOCAL_FALLBACK).rstrip("/")
 
 
@@ -35,6 +39,38 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it; Hadoop writes file:/x for file:///x."""
+    return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+class Scratch:
+    """Written tables of one operator, deleted when its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._paths: list[str] = []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        path = shared_path(self._spark, tag)
+        self._paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, tag: str) -> DataFrame:
+        """df, written; then all that came before is deleted."""
+        out = written(df, tag)
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        conf = self._spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self._paths:
+            where = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self._paths = []
+
+
 def chosen(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own, so that other columns may have any name."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, written
+from .common import Scratch, fields
 
 #: Edges that one task takes, 16 bytes each.
 ONE_TASK = 2_000_000
@@ -67,11 +67,12 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100, one_task: int = ONE_TASK, scratch: Scratch | None = None) -> DataFrame:
     """node, component for every node of an edge: component is the smallest node that edges reach from it.
 
-    Loops and edges with a null are left out; repeated edges count once; no edge gives no row.
+    Loops and edges with a null are left out; repeated edges count once; no edge gives no row. What is written goes by way of scratch, if that is given.
     """
+    written = (scratch or Scratch(edges.sparkSession)).written
     now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
     if now.count() <= one_task:
         return written(now.repartition(1).mapInArrow(_whole, fields(("node", T.LongType()), ("component", T.LongType()))), "components")

@@ -1,41 +1,51 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's set holds a 56-bit hash of each of its distinct 5-word shingles.
-Tokens are ordered by how many documents hold them, rarest first, so two
-similar sets share a token among the first n - ceil(t n) + 1 of either: the
-prefix. That gives two kinds of index keys:
-
-* a rare token of a prefix is a key by itself;
-* where a prefix reaches frequent tokens, single tokens would put everything
-  that holds a common passage into one bucket. There the prefix is extended
-  to all frequent tokens of the set, and the keys are combinations: the
-  frequent tokens are dealt by hash into a few more segments than a similar
-  pair can differ in, and what falls into a segment is one key together.
-  Similar sets whose first shared token is frequent differ in at most
-  (1 - t) / (1 + t) of their summed sizes, so they agree in a whole segment
-  that is not empty. A set too small to have enough such segments also keeps
-  its frequent prefix tokens as single keys.
+Tokens are ordered by frequency class (the power of two of the documents that
+hold them), rarest first, then by hash. A class has a combination width: 1
+where it is rare, else the least k for which documents drawn at random would
+share a k-token combination less than once in the whole corpus, at most
+MOST_WIDTH.
+
+The prefix of a set is extended until it is worth one unit more than the
+tokens that a similar partner may lack. A token of width 1 is worth a unit. The
+tokens of a width k are dealt by hash into groups, and a group is worth its
+tokens in the prefix less k - 1. A partner that lacks as many tokens as it may
+still leaves k of them in some group (pigeonhole), and those are in its own
+prefix where it ends later; so of two similar sets the one whose prefix ends
+first shares with the other a rare token or a combination of k tokens of a
+group. Keys are the rare tokens and all k-combinations inside groups.
+
+How many tokens a partner may lack depends on its size. Sizes are in narrow
+classes; combinations are made for each class that a partner can have and meet
+only that class. A set without tokens enough for a prefix of that worth has all
+its combinations as keys, and its first tokens singly: two such sets share one
+of those.
 
 A token of one document alone can join nothing, so it never gets further than
 the count; a set with fewer shared tokens than any link needs is done there.
 
 Exact copies of a set become one class first. Within a bucket each set is
-first verified against one leader; verified links make components; rows of buckets
-with several components try a few more leaders; then all pairs of a bucket
-that are still in different components are verified, but for those that a
-lower bound of their difference rules out (the bits in which parity bitmaps of
-the sets differ). So
-every link between different components is found, while a group of thousands
-of near copies costs one verification a member.
+first verified against one leader; verified links make components; rows of
+buckets with several components try a few more leaders, for as long as that
+links; then all pairs of a bucket that are still in different components are
+verified, but for those that a lower bound of their difference rules out (the
+bits in which parity bitmaps of the sets differ). So every link between
+different components is found, while a group of thousands of near copies costs
+a few verifications a member.
 
 What moves: packed postings of 7 bytes a token once, and rows of the few
-documents that may link. Every step is written to the shared folder.
+documents that may link. Of a token that many documents of a chunk hold, only
+its count in the chunk moves; so a token of a third of all documents is a row a
+chunk to the task that counts it. Every step is written to the shared folder.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +56,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, give_back, mix64, tidy, written
+from .common import Scratch, chosen, documents, fields, give_back, mix64, tidy
 from .components import components
 
 BITS = 56
@@ -58,12 +68,18 @@ CHUNK_TOKENS = 1 << 20
 FREQUENT = 32
 #: 64-bit words of a set's parity bitmap.
 WORDS = 4
-#: Where open buckets hold more pairs an entry than the first, rows try more leaders before all pairs are verified: each those of so many buckets, for so many rounds.
-PAIRS_AN_ENTRY, TRIES, STAR_ROUNDS = 8, 16, 1
+#: Where open buckets hold more pairs an entry than the first, rows try more leaders before all pairs are verified: each those of so many buckets, for so many rounds at most.
+PAIRS_AN_ENTRY, TRIES, STAR_ROUNDS = 1, 16, 8
+#: Documents of a chunk from which on a token's places stay with the chunk.
+HELD_AT_HOME = 8
+#: Tokens of a combination at most, and the ratio of the bounds of a class of sizes, in percent.
+MOST_WIDTH, SIZE_RATIO = 4, 110
+#: Rows of postings: a chunk's documents; tokens with their places; tokens with counts, of which the places stay; those places.
+HEAD, PLACED, COUNTED, AT_HOME = range(4)
 #: Classes of frequency: powers of two of the documents that hold a token.
 POSTINGS = fields(("part", T.IntegerType()), ("chunk", T.LongType()), ("kind", T.IntegerType()), ("docs", T.BinaryType()), ("tokens", T.BinaryType()), ("extra", T.BinaryType()))
 PROFILE = fields(("row", T.LongType()), ("doc_id", T.LongType()), ("n", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("tokens", T.BinaryType()), ("classes", T.BinaryType()), ("alone", T.LongType()), *((f"b{i}", T.LongType()) for i in range(WORDS)))
-KEYS = fields(("key", T.LongType()), ("row", T.LongType()), ("n", T.LongType()))
+KEYS = fields(("key", T.LongType()), ("row", T.LongType()), ("n", T.LongType()), ("side", T.IntegerType()))
 
 
 class _Words(dict):
@@ -124,7 +140,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes
 
 
 def _postings(n_parts: int, width: int):
-    """Rows of two kinds: 0, a chunk's documents; 1, the tokens of a chunk that fall into a part, with the documents' places."""
+    """Rows of a chunk: its documents, the tokens that fall into each part with the documents' places or, where many hold them, with their number, and the places of these."""
     bounds = (np.arange(1, n_parts, dtype=object) * (1 << BITS) // n_parts).astype(np.uint64)
 
     def flush(chunk: int, ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
@@ -136,14 +152,21 @@ def _postings(n_parts: int, width: int):
                 both[i] = mixed.sum(dtype=np.uint64), mix64(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
         no_id = np.array([x is None for x in ids], np.uint8)
         known = np.array([0 if x is None else x for x in ids], np.int64)
-        yield chunk % n_parts, chunk, 0, known.tobytes() + sizes.tobytes(), both.tobytes(), no_id.tobytes()
+        yield chunk % n_parts, chunk, HEAD, known.tobytes() + sizes.tobytes(), both.tobytes(), no_id.tobytes()
         tokens = np.concatenate(sets)
         order = np.argsort(tokens, kind="stable")
         tokens, place = tokens[order], np.repeat(np.arange(len(sets), dtype="<u2"), sizes)[order]
-        cuts = np.searchsorted(tokens, bounds)
-        for part, (t, p) in enumerate(zip(np.split(tokens, cuts), np.split(place, cuts), strict=True)):
-            if len(t):
-                yield part, chunk, 1, p.tobytes(), _pack(t), None
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        holders = np.diff(np.append(first, len(tokens)))
+        many = holders >= HELD_AT_HOME
+        stays = np.repeat(many, holders)
+        if many.any():
+            yield chunk % n_parts, chunk, AT_HOME, place[stays].tobytes(), _pack(tokens[stays]), None
+        for kind, t, p in ((PLACED, tokens[~stays], place[~stays]), (COUNTED, tokens[first[many]], holders[many].astype("<u2"))):
+            cuts = np.searchsorted(t, bounds)
+            for part, (some, with_them) in enumerate(zip(np.split(t, cuts), np.split(p, cuts), strict=True)):
+                if len(some):
+                    yield part, chunk, kind, with_them.tobytes(), _pack(some), None
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -172,29 +195,31 @@ def _postings(n_parts: int, width: int):
 def _count(group: pa.Table) -> pa.Table:
     """A part's tokens with the documents that hold each: those of two or more go back to their chunks, with the class of that number."""
     kind = np.asarray(group.column("kind"))
-    heads, rows = group.filter(pa.array(kind == 0)), group.filter(pa.array(kind == 1))
-    chunks = np.asarray(rows.column("chunk"))
+    waiting = (kind == PLACED) | (kind == COUNTED)
+    through, rows = group.filter(pa.array(~waiting)), group.filter(pa.array(waiting))
+    chunks, kinds = np.asarray(rows.column("chunk")), np.asarray(rows.column("kind"))
     unpacked = [_unpack(x) for x in rows.column("tokens").to_pylist()]
-    out = [heads]
+    out = [through]
     if unpacked:
         lengths = np.array([len(u) for u in unpacked])
+        extra = rows.column("docs").to_pylist()
         tokens = np.concatenate(unpacked)
+        held = np.concatenate([np.frombuffer(x, "<u2").astype(np.int64) if k == COUNTED else np.ones(n, np.int64) for x, k, n in zip(extra, kinds.tolist(), lengths.tolist(), strict=True)])
         order = np.argsort(tokens, kind="stable")
         run = tokens[order]
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        holders = np.diff(np.concatenate([first, [len(run)]]))
         times = np.empty(len(run), np.int64)
-        times[order] = np.repeat(holders, holders)
-        places, at, made = rows.column("docs").to_pylist(), 0, []
-        for chunk, t, place, n in zip(chunks.tolist(), unpacked, places, lengths.tolist(), strict=True):
+        times[order] = np.repeat(np.add.reduceat(held[order], first), np.diff(np.append(first, len(run))))
+        at, made = 0, []
+        for chunk, k, t, x, n in zip(chunks.tolist(), kinds.tolist(), unpacked, extra, lengths.tolist(), strict=True):
             here = times[at : at + n]
             at += n
             if (many := here > 1).any():
-                made.append((chunk, np.frombuffer(place, "<u2")[many].tobytes(), _pack(t[many]), np.log2(here[many]).astype(np.uint8).tobytes()))
+                made.append((chunk, k, np.frombuffer(x, "<u2")[many].tobytes(), _pack(t[many]), np.log2(here[many]).astype(np.uint8).tobytes()))
         if made:
-            c, d, k, x = zip(*made, strict=True)
+            c, w, d, k, x = zip(*made, strict=True)
             part = group.column("part")[0].as_py()
-            out.append(pa.table([pa.array([part] * len(c), pa.int32()), pa.array(c, pa.int64()), pa.array([1] * len(c), pa.int32()), pa.array(d, pa.binary()), pa.array(k, pa.binary()), pa.array(x, pa.binary())], names=POSTINGS.names))
+            out.append(pa.table([pa.array([part] * len(c), pa.int32()), pa.array(c, pa.int64()), pa.array(w, pa.int32()), pa.array(d, pa.binary()), pa.array(k, pa.binary()), pa.array(x, pa.binary())], names=POSTINGS.names))
     give_back()
     return pa.concat_tables([t.cast(pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("tokens", pa.binary()), ("extra", pa.binary())])) for t in out])
 
@@ -205,14 +230,26 @@ def _assemble(percent: int):
     def assemble(group: pa.Table) -> pa.Table:
         kinds, docs, tokens, extra = (group.column(c).to_pylist() for c in ("kind", "docs", "tokens", "extra"))
         chunk = group.column("chunk")[0].as_py()
-        head = kinds.index(0)
+        head = kinds.index(HEAD)
         ids, sizes = np.frombuffer(docs[head], "<i8").reshape(2, -1)
         hashes = np.frombuffer(tokens[head], "<i8").reshape(-1, 2)
         no_id = np.frombuffer(extra[head], np.uint8) == 1
-        rows = [i for i, k in enumerate(kinds) if k == 1]
-        place = np.concatenate([np.frombuffer(docs[i], "<u2") for i in rows] or [np.zeros(0, "<u2")])
-        token = np.concatenate([_unpack(tokens[i]) for i in rows] or [np.zeros(0, np.uint64)])
-        rank = np.concatenate([np.frombuffer(extra[i], np.uint8) for i in rows] or [np.zeros(0, np.uint8)])
+
+        def of(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows = [i for i, k in enumerate(kinds) if k == kind]
+            return (
+                np.concatenate([np.frombuffer(docs[i], "<u2") for i in rows] or [np.zeros(0, "<u2")]),
+                np.concatenate([_unpack(tokens[i]) for i in rows] or [np.zeros(0, np.uint64)]),
+                np.concatenate([np.frombuffer(extra[i] or b"", np.uint8) for i in rows] or [np.zeros(0, np.uint8)]),
+            )
+
+        place, token, rank = of(PLACED)
+        stayed, held, _ = of(AT_HOME)
+        if len(held):
+            _, counted, class_of = of(COUNTED)
+            by = np.argsort(counted)
+            place, token = np.concatenate([place, stayed]), np.concatenate([token, held])
+            rank = np.concatenate([rank, class_of[by][np.searchsorted(counted[by], held)]])
         order = np.lexsort((token, place))
         token, rank = token[order], rank[order]
         counts = np.bincount(place, minlength=len(ids))
@@ -232,61 +269,121 @@ def _assemble(percent: int):
     return assemble
 
 
-def level(n: np.ndarray, percent: int) -> np.ndarray:
-    """Sizes by level, so that similar sizes are in the same level or the next; exact for whole numbers below 2**53."""
-    edges = level_edges(int(np.max(n, initial=1)), percent)
-    return np.searchsorted(np.array(edges), n, side="right") - 1
-
-
-def level_edges(top: int, percent: int) -> list[int]:
-    """Smallest sizes of the levels: each at least 100 / percent times the one before, rounded up and one more."""
+@lru_cache(maxsize=8)
+def size_edges(top: int) -> np.ndarray:
+    """Smallest sizes of the classes of sizes: each over the one before by a tenth (SIZE_RATIO), by one at least. top is a power of two; the last is beyond it."""
     edges = [1]
     while edges[-1] <= top:
-        edges.append(edges[-1] * 100 // percent + 1)
-    return [*edges, edges[-1] * 100 // percent + 1, (edges[-1] * 100 // percent + 1) * 100 // percent + 1]
+        edges.append(max(edges[-1] + 1, edges[-1] * SIZE_RATIO // 100))
+    return np.array(edges, np.int64)
+
+
+def combination_width(rank: int, frequent: int, n_docs: int) -> int:
+    """Tokens of a combination in the class of tokens that 2**rank to 2**(rank + 1) of n_docs documents hold."""
+    if rank < int(math.log2(frequent)):
+        return 1
+    share = min(1.0, 2.0 ** (rank + 1) / max(2, n_docs))
+    needed = math.log(max(2, n_docs)) / -math.log(share) if share < 1 else MOST_WIDTH
+    return int(min(MOST_WIDTH, max(2, math.ceil(needed))))
+
+
+@lru_cache(maxsize=8)
+def worth(width: int) -> float:
+    """What a group of width - 0.5 tokens on average is worth."""
+    mean = width - 0.5
+    return sum(math.exp(-mean) * mean**p / math.factorial(p) * (p - width + 1) for p in range(width, 40))
+
+
+def least_overlap(a: int, b: int, percent: int) -> int:
+    """Tokens that similar sets of a and b tokens share at least."""
+    return -(-percent * (a + b) // (100 + percent))
+
 
+@lru_cache(maxsize=4096)
+def _choices(n: int, width: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), width)), np.int64).reshape(-1, width)
 
-def index_keys(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int, frequent: int) -> np.ndarray:
-    """Index keys of a set of n tokens, of which `tokens` are held by several documents, `ranks` being the power of two of their number."""
+
+def _combinations(tokens: np.ndarray, group: np.ndarray, width: int, tag: int) -> np.ndarray:
+    """A key for each combination of width tokens of a group. Groups of as many tokens are done together."""
+    by = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[by], prepend=-1))
+    lengths = np.diff(np.append(first, len(by)))
+    mixed = mix64(tokens[by] ^ np.uint64(tag))
+    out = [np.zeros(0, np.uint64)]
+    with np.errstate(over="ignore"):
+        for p in np.unique(lengths[lengths >= width]).tolist():
+            member = mixed[first[lengths == p][:, None] + np.arange(p)]
+            out.append(mix64(member[:, _choices(p, width)].sum(2, dtype=np.uint64) + np.uint64(width)).ravel())
+    return np.concatenate(out)
+
+
+def index_entries(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set of n tokens, of which `tokens` are held by several documents, `ranks` being the power of two of their number; and the side of each: 0 meets all with the key, 1 (of the smaller class of sizes) meets 2 alone."""
     order = np.lexsort((tokens, ranks))
     tokens, ranks = tokens[order], ranks[order]
-    reach = int(prefix_length(n, percent)) - (n - len(tokens))
-    if reach <= 0:
-        return np.zeros(0, np.uint64)
-    common = int(math.log2(frequent))
-    prefix, kind = tokens[:reach], ranks[:reach] >= common
-    keys = [mix64(prefix[~kind])]
-    if kind.any():
-        often = tokens[ranks >= common]
-        edges = level_edges(n, percent)
-        own = int(np.searchsorted(np.array(edges), n, side="right")) - 1
-        enough = True
-        for tag in (own, own + 1):
-            most = 2 * (edges[tag + 1] - 1) * (100 - percent) // (100 + percent)
-            segments = math.ceil(1.35 * (most + 1))
-            salted = mix64(often ^ np.uint64(tag + 1 << BITS))
-            where = salted % np.uint64(segments)
-            by = np.argsort(where, kind="stable")
-            first = np.flatnonzero(np.diff(where[by], prepend=np.uint64(segments)))
-            together = np.add.reduceat(mix64(salted[by] + np.uint64(1)), first)
-            keys.append(mix64(together ^ mix64(where[by][first] + np.uint64(tag << 32))))
-            enough &= len(first) > most
-        if not enough:
-            keys.append(mix64(prefix[kind]))
-    return np.unique(np.concatenate(keys))
-
-
-def _index(percent: int, frequent: int):
+    alone = n - len(tokens)
+    rare = int(np.searchsorted(ranks, int(math.log2(frequent))))
+    often, kinds = tokens[rare:], ranks[rare:]
+    wide = np.array([combination_width(r, frequent, n_docs) for r in range(64)], np.int64)[kinds]
+    edges = size_edges(1 << max(10, (2 * n).bit_length()))
+    own = int(np.searchsorted(edges, n, side="right")) - 1
+    least, most = -(-n * percent // 100), n * 100 // percent
+    single, keys, sides = 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    low = int(np.searchsorted(edges, least, side="right")) - 1
+    for other in range(low, int(np.searchsorted(edges, most, side="right"))):
+        smallest = max(int(edges[other]), least)
+        needed = n - least_overlap(n, smallest, percent) + 1 - alone
+        if needed <= 0 or not len(tokens):
+            continue
+        single = max(single, min(needed, rare))
+        left = needed - rare
+        if left <= 0 or not len(often):
+            continue
+        a, b = sorted((own, other))
+        tag = (a << 20 | b) << 8
+        large, small = int(edges[b]), int(edges[a])
+        units = max(1, large - least_overlap(large, max(small, -(-large * percent // 100)), percent) + 1)
+        group, value = np.empty(len(often), np.int64), np.zeros(len(often), np.int64)
+        for k in np.unique(wide).tolist():
+            at = np.flatnonzero(wide == k)
+            n_groups = max(1, round(units / worth(k)))
+            g = (mix64(often[at] ^ np.uint64((tag | k) << 8 | 1)) % np.uint64(n_groups)).astype(np.int64)
+            by = np.argsort(g, kind="stable")
+            first = np.flatnonzero(np.diff(g[by], prepend=-1))
+            place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+            value[at[by]] = place >= k - 1
+            group[at] = g
+        gained = np.cumsum(value)
+        end = int(np.searchsorted(gained, left)) + 1  # tokens of the prefix
+        here = [_combinations(often[:end][wide[:end] == k], group[:end][wide[:end] == k], k, tag) for k in np.unique(wide[:end]).tolist()]
+        if gained[-1] < left:  # no prefix is worth it: all is index, and the first tokens by themselves
+            here.append(mix64(often[:left] ^ np.uint64(tag | 0xFF)))
+        found = np.unique(np.concatenate(here))
+        keys.append(found)
+        sides.append(np.full(len(found), 0 if own == other else 1 if own == a else 2, np.int32))
+    keys.append(mix64(tokens[:single]))
+    sides.append(np.zeros(single, np.int32))
+    return np.concatenate(keys), np.concatenate(sides)
+
+
+def index_keys(n: int, tokens: np.ndarray, ranks: np.ndarray, percent: int, frequent: int, n_docs: int = 1 << 10) -> np.ndarray:
+    """The keys alone."""
+    return index_entries(n, tokens, ranks, percent, frequent, n_docs)[0]
+
+
+def _index(percent: int, frequent: int, n_docs: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows, sizes = [], [], []
+            keys, sides, rows, sizes = [], [], [], []
             for row, n, t, c in zip(*(batch.column(x).to_pylist() for x in ("row", "n", "tokens", "classes")), strict=True):
-                k = index_keys(n, np.frombuffer(t, "<u8").astype(np.uint64), np.frombuffer(c, np.uint8), percent, frequent)
+                k, side = index_entries(n, np.frombuffer(t, "<u8").astype(np.uint64), np.frombuffer(c, np.uint8), percent, frequent, n_docs)
                 keys.append(k)
+                sides.append(side)
                 rows.append(np.full(len(k), row))
                 sizes.append(np.full(len(k), n))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(sizes))], names=KEYS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sides))], names=KEYS.names)
 
     return index
 
@@ -327,14 +424,19 @@ def _small(df: DataFrame, n_rows: int, row_bytes: int, most: int = 32 << 20) ->
     return F.broadcast(df) if n_rows * row_bytes <= most else df
 
 
+def _meet(a: str, b: str):
+    """Whether rows of these sides of a key meet."""
+    return (F.col(a) == 0) | (F.col(a) != F.col(b))
+
+
 def profiles(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, part_tokens: int = 1 << 19) -> DataFrame:
-    """A written row for each document: row (unique), doc_id, n (set size), h1 and h2 (hash of the set); for those that may link also the tokens that other documents hold, with their classes of frequency."""
+    """A row for each document: row (unique), doc_id, n (set size), h1 and h2 (hash of the set); for those that may link also the tokens that other documents hold, with their classes of frequency."""
     rows = chosen(docs, id_col, text_col)
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, math.ceil(n_bytes / 6 / part_tokens))
     postings = rows.mapInArrow(tidy(_postings(n_parts, width), 128), POSTINGS)
     counted = postings.groupBy("part").applyInArrow(_count, POSTINGS)
-    return written(counted.groupBy("chunk").applyInArrow(_assemble(percent), PROFILE), "profiles")
+    return counted.groupBy("chunk").applyInArrow(_assemble(percent), PROFILE)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -344,13 +446,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(tidy(_linked(percent)), fields(("a", T.LongType()), ("b", T.LongType())))
 
 
-#: What _may_link needs of a row.
+#: What _may_link needs of a row, and a set by its hash.
 SKETCH = ["n", "alone", *(f"b{i}" for i in range(WORDS))]
+SET = ["h1", "h2", "n"]
 
 
 def _open(shared: DataFrame, found: DataFrame, sketches: DataFrame, n_sketches: int) -> DataFrame:
-    """key, row, component and sketch of the rows of buckets that hold more than one component."""
-    now = shared.select("key", "row").join(_small(found.withColumnRenamed("node", "row"), found.count(), 24), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    """key, row, side, component and sketch of the rows of buckets that hold more than one component."""
+    now = shared.select("key", "row", "side").join(_small(found.withColumnRenamed("node", "row"), found.count(), 24), "row", "left").withColumn("component", F.coalesce("component", "row"))
     open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     return now.join(open_keys, "key").join(_small(sketches, n_sketches, 32 + 8 * WORDS), "row")
 
@@ -362,36 +465,49 @@ def _as(rows: DataFrame, prefix: str, *columns: str) -> DataFrame:
 def _more_stars(rest: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs (a, b) of rows of open buckets with leaders of another component: a bucket's leaders are two rows of different components that hash lowest in this turn, and a row tries those of TRIES of its buckets."""
     hashed = rest.withColumn("h", F.xxhash64("row", "key", F.lit(turn)))
-    best = hashed.groupBy("key", "component").agg(F.min(F.struct("h", "row", *SKETCH)).alias("r"))
+    best = hashed.groupBy("key", "component").agg(F.min(F.struct("h", "row", "side", *SKETCH)).alias("r"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("r"))
-    leaders = best.withColumn("k", rank).filter("k <= 2").select("key", "component", "r.row", *[f"r.{c}" for c in SKETCH])
+    leaders = best.withColumn("k", rank).filter("k <= 2").select("key", "component", "r.row", "r.side", *[f"r.{c}" for c in SKETCH])
     mine = hashed.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("h", "key"))).filter(F.col("k") <= TRIES)
-    met = _as(mine, "x_", "row", "component").join(_as(leaders, "y_", "row", "component"), "key").filter((F.col("x_component") != F.col("y_component")) & _may_link("x_", "y_", percent))
+    met = _as(mine, "x_", "row", "side", "component").join(_as(leaders, "y_", "row", "side", "component"), "key").filter((F.col("x_component") != F.col("y_component")) & _meet("x_side", "y_side") & _may_link("x_", "y_", percent))
     return met.select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()
 
 
+def _with_class(meta: DataFrame, classes: DataFrame, n_rows: int, how: str) -> DataFrame:
+    """meta joined with columns of classes by set. Classes of a thousandth of all rows or more are at most a thousand: they are broadcast, so that no task gets all rows of one."""
+    large = F.col("copies") * 1000 >= n_rows
+    hot = meta.join(F.broadcast(classes.filter(large)), SET, "left")
+    rest = hot.filter("copies IS NULL").select(*meta.columns).join(classes.filter(~large), SET, how)
+    return hot.filter("copies IS NOT NULL").unionByName(rest.select(*hot.columns))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
     Two documents link where 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id that links reach, the own one included.
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer words than width is one shingle. A null, empty or blank text has an empty set, links with nothing, and is a component of its own. Rows that repeat an id are documents of their own. A row without an id takes the smallest id of its component, null if there is none. An empty table gives an empty result; other columns are not read.
     """
-    all_docs = profiles(docs, id_col, text_col, percent, width)
-    meta = all_docs.select("row", "doc_id", "n", "h1", "h2")
-    classes = written(meta.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "classes")
+    scratch = Scratch(docs.sparkSession)
+    written = scratch.written
+    all_docs = written(profiles(docs, id_col, text_col, percent, width), "profiles")
+    n_docs = all_docs.count()
+    meta = all_docs.select("row", "doc_id", *SET)
+    some = meta.filter("n > 0")
+    classes = written(some.groupBy(*SET).agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")), "classes")
     # copies of a class but its first row stay out of the index
     eligible = all_docs.filter("tokens IS NOT NULL")
-    copies = meta.join(classes.filter("copies > 1").select("h1", "h2", "n", F.col("row").alias("first")), ["h1", "h2", "n"]).filter("row <> first").select("row")
-    copies = written(copies, "copies")
+    copied = classes.filter("copies > 1").select(*SET, F.col("row").alias("first"), "copies")
+    copies = written(_with_class(eligible.select("row", *SET), copied, n_docs, "inner").filter("row <> first").select("row"), "copies")
     sets = eligible.join(_small(copies, copies.count(), 16), "row", "left_anti")
-    keys = sets.select("row", "n", "tokens", "classes").mapInArrow(tidy(_index(percent, frequent)), KEYS)
-    leaders = keys.groupBy("key").agg(F.min("row").alias("leader"), F.min_by("n", "row").alias("leader_n"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    shared = written(keys.join(leaders, "key"), "buckets")
+    keys = sets.select("row", "n", "tokens", "classes").mapInArrow(tidy(_index(percent, frequent, n_docs)), KEYS)
+    first = F.min(F.when(F.col("side") < 2, F.struct("row", "n")))
+    leaders = keys.groupBy("key").agg(first.alias("first"), F.min("side").alias("s"), F.max("side").alias("t"), F.count(F.lit(1)).alias("members")).filter("members > 1 AND (t = 0 OR s < t)")
+    shared = written(keys.join(leaders.select("key", F.col("first.row").alias("leader"), F.col("first.n").alias("leader_n")), "key"), "buckets")
 
-    first = shared.filter(F.col("row") != F.col("leader")).filter(_similar_sizes("n", "leader_n", percent)).groupBy("row").agg(F.min("leader").alias("a")).select("a", F.col("row").alias("b"))
+    first = shared.filter((F.col("row") != F.col("leader")) & (F.col("side") != 1)).filter(_similar_sizes("n", "leader_n", percent)).groupBy("row").agg(F.min("leader").alias("a")).select("a", F.col("row").alias("b"))
     tried = written(first, "pairs")
     links = written(verified(tried, eligible, percent), "links")
-    found = components(links)
+    found = components(links, scratch=scratch)
     sketches = eligible.select("row", *SKETCH)
     n_sketches = eligible.count()
     rest = written(_open(shared, found, sketches, n_sketches), "open")
@@ -405,24 +521,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tried, links = tried.unionByName(pairs), links.unionByName(got)
         n_got, n_pairs = got.count(), pairs.count()
         if n_got:
-            found = components(links)
-            rest = written(_open(shared, found, sketches, n_sketches), "open")
-        if 10 * n_got < n_pairs or not n_pairs:
+            found = components(links, scratch=scratch)
+            rest = written(_open(rest, found, sketches, n_sketches), "open")
+        if 10 * n_got < n_pairs or 100 * n_got < left["entries"]:
             break
 
     # all pairs that share a bucket and are in different components still
-    met = _as(rest, "x_", "row", "component").join(_as(rest, "y_", "row", "component"), "key").filter((F.col("x_row") < F.col("y_row")) & (F.col("x_component") != F.col("y_component")) & _may_link("x_", "y_", percent))
+    met = _as(rest, "x_", "row", "side", "component").join(_as(rest, "y_", "row", "side", "component"), "key").filter((F.col("x_row") < F.col("y_row")) & (F.col("x_component") != F.col("y_component")) & _meet("x_side", "y_side") & _may_link("x_", "y_", percent))
     pairs = met.select(F.col("x_row").alias("a"), F.col("y_row").alias("b")).distinct()
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(pairs, eligible, percent), "links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(links.unionByName(more), scratch=scratch)
 
     # back to all documents: by class, then by component
     of_class = classes.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("docs")).filter("docs > 1").drop("docs")
-    named = of_class.join(least, "component").select("h1", "h2", "n", "component_id")
-    return meta.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = of_class.join(least, "component").select(*SET, "component_id", "copies")
+    every = _with_class(some.drop("row"), named, n_docs, "left").select("doc_id", "n", "component_id").unionByName(meta.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    return scratch.result(every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "joined")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,3 +122,63 @@ def test_components(spark):
         got = components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task)
         assert dict(map(tuple, got.collect())) == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _pairs_that_meet(entries):
+    """Key pairs of sets, as the join makes them."""
+    by_key = {}
+    for row, (keys, sides) in enumerate(entries):
+        for k, side in zip(keys.tolist(), sides.tolist(), strict=True):
+            by_key.setdefault(k, []).append((row, side))
+    return [(a, b) for rows in by_key.values() for i, (a, s) in enumerate(rows) for b, t in rows[:i] if s == 0 or s != t]
+
+
+def test_similar_sets_meet_whatever_the_widths():
+    """The pigeonhole holds for every number of documents (so for every width) and for small and large sets."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for trial in range(600):
+        n = int(rng.integers(1, 600)) if trial % 3 == 0 else int(rng.integers(1, 40))
+        universe = rng.choice(1 << 50, 2 * n + 50, replace=False).astype(np.uint64)
+        rank = dict(zip(universe.tolist(), rng.choice([1, 4, 5, 7, 9, 12], len(universe), p=rng.dirichlet(np.ones(6) / 2)).tolist(), strict=True))
+        x = set(universe[:n].tolist())
+        out = int(rng.integers(0, n // 5 + 1))
+        y = set(list(x)[out:]) | set(universe[n : n + int(rng.integers(0, n // 5 + 2))].tolist())
+        if not y or 100 * len(x & y) < 80 * len(x | y):
+            continue
+        met += 1
+        n_docs = int(rng.choice([40, 1000, 10**6, 10**10]))
+        entries = []
+        for s in (x, y):
+            shared = np.array(sorted(t for t in s if t in (x & y) or rank[t] > 4), np.uint64)
+            entries.append(nj.index_entries(len(s), shared, np.array([rank[int(t)] for t in shared], np.uint8), 80, 32, n_docs))
+        assert _pairs_that_meet(entries), (trial, len(x), len(y), n_docs)
+    assert met > 200
+
+
+@pytest.mark.parametrize("passage", [30, 50])
+def test_sets_that_share_a_passage_hardly_meet(passage):
+    """A thousand sets of 100 tokens with one passage in all and every other token in 40 of them: none link, so few key pairs are made."""
+    rng = np.random.default_rng(passage)
+    own = 100 - passage
+    common = np.arange(1, passage + 1, dtype=np.uint64) * np.uint64(1 << 40)
+    others = rng.permutation(np.repeat(np.arange(1000 * own // 40, dtype=np.uint64), 40) + np.uint64(1 << 52)).reshape(1000, own)
+    entries = []
+    for row in others:
+        tokens = np.unique(np.concatenate([common, row]))
+        ranks = np.where(tokens < np.uint64(1 << 52), 9, 5).astype(np.uint8)
+        entries.append(nj.index_entries(len(tokens), tokens, ranks, 80, 32, 1000))
+    assert len(_pairs_that_meet(entries)) < 10 * 1000
+
+
+def test_widths_grow_with_the_class():
+    assert [nj.combination_width(r, 32, 10**6) for r in (1, 4, 5, 9, 13, 19)] == [1, 1, 2, 3, 4, 4]
+    assert nj.combination_width(9, 32, 1000) == nj.MOST_WIDTH
+
+
+def test_tokens_of_a_whole_chunk_are_counted_right(spark):
+    """A token that many documents of a chunk hold travels as a count; profiles are as for the others."""
+    docs = [(i, f"a b c d e f{i}") for i in range(300)] + [(1000 + i, f"p{i // 2} q r s t") for i in range(4)]
+    rows = nj.profiles(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "doc_id", "text", 40, 5).collect()
+    ranks = {r["doc_id"]: (list(r["classes"] or b""), r["alone"]) for r in rows}
+    assert all(ranks[i] == ([8], 1) for i in range(300)) and all(ranks[1000 + i] == ([1], 0) for i in range(4))
