@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,30 +36,42 @@ def admit(rows: DataFrame, key: str, excluded: DataFrame, order: Column) -> Data
     return marked.withColumn("status", F.when(F.col("_known"), "excluded").when(F.col("_order") > F.col("_first"), "duplicate").otherwise("accepted")).drop("_known", "_order", "_first")
 
 
-def _edges(radius: int, width: int) -> list[tuple[int, int]]:
-    """Bits of radius + 1 bands, from and to."""
-    n = min(radius + 1, width)
-    return [(width * i // n, width * (i + 1) // n) for i in range(n)]
+#: Bits of a key at least, and keys of a hash at most.
+LEAST_BITS, MOST_KEYS = 8, 100
 
 
-def _mask(a: int, b: int) -> int:
-    """Ones in bits a to b, as a signed 64-bit number."""
-    m = ((1 << b) - 1) ^ ((1 << a) - 1)
-    return m - (1 << 64) if m >> 63 else m
-
-
-def bands(bits: Column, radius: int, width: int = 64) -> Column:
-    """radius + 1 slices of the bits as (number, value): two hashes within the radius agree in one of them at least."""
-    return F.array(*[F.struct(F.lit(i).alias("band"), bits.bitwiseAND(F.lit(_mask(a, b))).alias("value")) for i, (a, b) in enumerate(_edges(radius, width))])
+def key_masks(radius: int, n_rows: int, width: int = 64) -> list[int]:
+    """Masks of the keys under which two hashes within the radius meet, as signed 64-bit numbers.
 
+    Of radius + k bands two such hashes agree in k at least, so each k bands together are a key. k is the least for which keys have as many values as there are rows, so that the candidates of a hash do not grow with the table; a radius that leaves keys of under LEAST_BITS bits is refused.
+    """
+    for k in range(1, width - radius):
+        m = radius + k
+        if math.comb(m, k) > MOST_KEYS and k > 1:
+            m, k = m - 1, k - 1
+            break
+        if width // m * k >= max(LEAST_BITS, math.log2(max(2, n_rows))):
+            break
+    if width // m * k < LEAST_BITS:
+        raise ValueError(f"a radius of {radius} leaves bands of {width // m} bits; keys of at least {LEAST_BITS} are needed")
+    edges = [(width * i // m, width * (i + 1) // m) for i in range(m)]
+    masks = [sum((1 << b) - (1 << a) for a, b in some) for some in combinations(edges, k)]
+    return [x - (1 << 64) if x >> 63 else x for x in masks]
+
+
+def hamming_join(left: DataFrame, right: DataFrame, ident: str, bits: str, radius: int, self_join: bool = False, apart: str | None = None) -> DataFrame:
+    """left_id, right_id, distance for all pairs within the radius, each once (left_id < right_id in a self-join); apart: a column in which the two must differ, such as the split.
+
+    An equi-join on keys of bands (see key_masks), so no cross join; a pair that agrees in several keys is kept for the first of them, which needs no distinct. The condition is arithmetic on the two hashes, so it stays in generated code. Equal hashes should be one class before (see hamming_classes_join): a class is one row here.
+    """
+    masks = key_masks(radius, left.count() if self_join else max(left.count(), right.count()))
 
-def hamming_join(left: DataFrame, right: DataFrame, ident: str, bits: str, radius: int, self_join: bool = False) -> DataFrame:
-    """left_id, right_id, distance for all pairs within the radius, each once (left_id < right_id in a self-join).
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        columns = [F.col(ident).alias(f"{name}_id"), F.col(bits).alias(f"{name}_bits"), *([F.col(apart).alias(f"{name}_apart")] if apart else [])]
+        keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col(bits).bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)])
+        return rows.select(*columns, F.explode(keys).alias("b")).select("*", "b.band", "b.value").drop("b")
 
-    An equi-join on bands, so no cross join; a pair that agrees in several bands is kept for the first of them, which needs no distinct. The condition is arithmetic on the two hashes, so it stays in generated code. Equal hashes should be one class before (see duplicate_groups): a class is one row here. With a wide radius the bands are short and prune little.
-    """
-    a = left.select(F.col(ident).alias("left_id"), F.col(bits).alias("left_bits"), F.explode(bands(F.col(bits), radius)).alias("b")).select("left_id", "left_bits", "b.band", "b.value")
-    b = right.select(F.col(ident).alias("right_id"), F.col(bits).alias("right_bits"), F.explode(bands(F.col(bits), radius)).alias("b")).select("right_id", "right_bits", "b.band", "b.value")
+    a, b = side(left, "left"), side(right, "right")
     differ = F.col("left_bits").bitwiseXOR(F.col("right_bits"))
     # the work is in the pairs, not in the bytes: adaptive execution would put small inputs into one task
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -65,18 +79,21 @@ def hamming_join(left: DataFrame, right: DataFrame, ident: str, bits: str, radiu
     pairs = a.join(b, ["band", "value"]).filter(F.bit_count(differ) <= radius)
     if self_join:
         pairs = pairs.filter("left_id < right_id")
-    edges = _edges(radius, 64)
-    first = F.when(differ.bitwiseAND(F.lit(_mask(*edges[0]))) == 0, 0)
-    for i, edge in enumerate(edges[1:], 1):
-        first = first.when(differ.bitwiseAND(F.lit(_mask(*edge))) == 0, i)
+    if apart:
+        pairs = pairs.filter("left_apart <> right_apart")
+    first = F.when(differ.bitwiseAND(F.lit(masks[0])) == 0, 0)
+    for i, m in enumerate(masks[1:], 1):
+        first = first.when(differ.bitwiseAND(F.lit(m)) == 0, i)
     return pairs.filter(first == F.col("band")).select("left_id", "right_id", hamming(F.col("left_bits"), F.col("right_bits")).cast("int").alias("distance"))
 
 
-def hamming_classes_join(rows: DataFrame, ident: str, bits: str, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(membership, pairs): each row's class, the least id of its equal hashes, and pairs of classes within the radius. Copies cost no pairs."""
-    classes = rows.groupBy(bits).agg(F.min(ident).alias("class_id"))
-    membership = rows.join(classes, bits).select(F.col(ident), "class_id")
-    return membership, hamming_join(classes.withColumnRenamed("class_id", ident), classes.withColumnRenamed("class_id", ident), ident, bits, radius, self_join=True)
+def hamming_classes_join(rows: DataFrame, ident: str, bits: str, radius: int, apart: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(membership, pairs): each row's class, the least id of its equal hashes (of its own split, with apart), and pairs of classes within the radius. Copies cost no pairs."""
+    key = [bits, *([apart] if apart else [])]
+    classes = rows.groupBy(*key).agg(F.min(ident).alias("class_id"))
+    membership = rows.join(classes, key).select(F.col(ident), "class_id")
+    classes = classes.withColumnRenamed("class_id", ident)
+    return membership, hamming_join(classes, classes, ident, bits, radius, self_join=True, apart=apart)
 
 
 def near_duplicate_victims(pairs: DataFrame, priority: DataFrame, ident: str) -> DataFrame:

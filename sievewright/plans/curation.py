@@ -69,12 +69,19 @@ def pairwise_overlap(spark, sf):
     return joins.pairwise_overlap(manifest(spark, sf), "split", SPLITS, "sha256")
 
 
-BITS = "bits AS (SELECT vec_id, list_transform(embedding, lambda x: x > list_sort(embedding[2:64])[32]) AS b FROM embeddings)"
-HAMMING = "pairs AS (SELECT l.vec_id AS left_id, r.vec_id AS right_id, len(list_filter(list_zip(l.b, r.b), lambda z: z[1] <> z[2]))::INTEGER AS distance FROM bits l JOIN bits r ON l.vec_id < r.vec_id)"
+#: Hashes of the vectors; one in ten is a copy of the one before with up to five of its last bits flipped.
+BITS = """raw AS (SELECT vec_id, list_transform(embedding, lambda x: x > list_sort(embedding[2:64])[32]) AS b FROM embeddings),
+bits AS (SELECT vec_id, b FROM raw WHERE vec_id % 10 <> 3 UNION ALL
+         SELECT vec_id + 1, list_transform(b, lambda x, i: CASE WHEN i > 64 - (vec_id // 10) % 6 THEN NOT x ELSE x END) FROM raw WHERE vec_id % 10 = 2)"""
+HAMMING = "pairs AS (SELECT l.vec_id AS left_id, r.vec_id AS right_id, len(list_filter(list_zip(l.b, r.b), lambda z: z[1] <> z[2]))::INTEGER AS distance FROM bits l JOIN bits r ON l.vec_id <> r.vec_id)"
+RADIUS = 4
 
 
 def _hashes(spark, sf):
-    return t(spark, sf, "embeddings").select("vec_id", S.phash_bits(F.col("embedding")).alias("bits"))
+    rows = t(spark, sf, "embeddings").select("vec_id", S.phash_bits(F.col("embedding")).alias("bits"))
+    flipped = F.call_function("shiftleft", F.lit(1).cast("long"), (F.floor(F.col("vec_id") / 10) % 6).cast("int")) - 1
+    copies = rows.filter("vec_id % 10 = 2").select((F.col("vec_id") + 1).alias("vec_id"), F.col("bits").bitwiseXOR(flipped).alias("bits"))
+    return rows.filter("vec_id % 10 <> 3").unionByName(copies)
 
 
 @query("phash_bits", sql(BITS, select="SELECT vec_id, array_to_string(list_transform(b, lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS bits FROM bits"))
@@ -82,27 +89,30 @@ def phash_bits(spark, sf):
     return _hashes(spark, sf).select("vec_id", F.lpad(F.bin("bits"), 64, "0").alias("bits"))
 
 
-@query("hamming_pairs", sql(BITS, HAMMING, select="SELECT left_id, right_id, distance FROM pairs WHERE distance <= 20"))
+@query("hamming_pairs", sql(BITS, HAMMING, "c AS (SELECT min(vec_id) AS vec_id FROM bits GROUP BY b, vec_id % 3)", select=f"SELECT left_id, right_id, distance FROM pairs WHERE left_id < right_id AND distance <= {RADIUS} AND left_id % 3 <> right_id % 3 AND left_id IN (SELECT vec_id FROM c) AND right_id IN (SELECT vec_id FROM c)"))
 def hamming_pairs(spark, sf):
-    hashes = _hashes(spark, sf)
-    return dedup.hamming_join(hashes, hashes, "vec_id", "bits", 20, self_join=True)
+    """Pairs across splits; equal hashes of a split are one row."""
+    hashes = _hashes(spark, sf).withColumn("split", F.col("vec_id") % 3)
+    return dedup.hamming_classes_join(hashes, "vec_id", "bits", RADIUS, apart="split")[1]
 
 
 @query("near_dup_victims", sql(BITS, HAMMING, "p AS (SELECT vec_id, vec_id % 3 AS priority, " + digest_sql("43", "vec_id") + " AS digest FROM embeddings)", select="""
 SELECT victim, count(*) AS conflicts, string_agg(other || ':' || distance, ',' ORDER BY other || ':' || distance) AS conflict_list FROM (
   SELECT CASE WHEN l.priority > r.priority OR (l.priority = r.priority AND l.digest > r.digest) THEN left_id ELSE right_id END AS victim,
          CASE WHEN l.priority > r.priority OR (l.priority = r.priority AND l.digest > r.digest) THEN right_id ELSE left_id END AS other, distance
-  FROM pairs JOIN p l ON l.vec_id = left_id JOIN p r ON r.vec_id = right_id WHERE distance <= 20) GROUP BY victim"""))
+  FROM pairs JOIN p l ON l.vec_id = left_id JOIN p r ON r.vec_id = right_id WHERE left_id < right_id AND distance <= 4) GROUP BY victim"""))
 def near_dup_victims(spark, sf):
     hashes = _hashes(spark, sf)
     priority = hashes.select("vec_id", (F.col("vec_id") % 3).alias("priority"), stable_digest(43, F.col("vec_id")).alias("digest"))
-    return dedup.near_duplicate_victims(dedup.hamming_join(hashes, hashes, "vec_id", "bits", 20, self_join=True), priority, "vec_id")
+    return dedup.near_duplicate_victims(dedup.hamming_join(hashes, hashes, "vec_id", "bits", RADIUS, self_join=True), priority, "vec_id")
 
 
-@query("additions_vs_frozen", sql(BITS, HAMMING, select="SELECT right_id AS addition, left_id AS other, distance FROM pairs WHERE distance <= 20 AND right_id >= 250"))
+@query("additions_vs_frozen", sql(BITS, HAMMING, select=f"SELECT right_id AS addition, left_id AS other, distance FROM pairs WHERE distance <= {RADIUS} AND right_id % 4 = 3 AND (left_id % 4 <> 3 OR left_id < right_id)"))
 def additions_vs_frozen(spark, sf):
+    """Each addition (one in four) with the frozen rows and the earlier additions near it."""
     hashes = _hashes(spark, sf)
-    return dedup.hamming_join(hashes, hashes.filter("vec_id >= 250"), "vec_id", "bits", 20).filter("left_id < right_id").select(F.col("right_id").alias("addition"), F.col("left_id").alias("other"), "distance")
+    pairs = dedup.hamming_join(hashes, hashes.filter("vec_id % 4 = 3"), "vec_id", "bits", RADIUS).filter("left_id <> right_id AND (left_id % 4 <> 3 OR left_id < right_id)")
+    return pairs.select(F.col("right_id").alias("addition"), F.col("left_id").alias("other"), "distance")
 
 
 @query("reserved_overlap", "SELECT b.item_id, count(d.doc_id) AS documents FROM benchmark b LEFT JOIN documents d ON sha256(d.text) = sha256(b.text) GROUP BY b.item_id")
@@ -111,10 +121,11 @@ def reserved_overlap(spark, sf):
     return t(spark, sf, "benchmark").withColumn("d", F.sha2("text", 256)).join(held, "d", "left").groupBy("item_id").agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))
 
 
-@query("reserved_nearest", sql(BITS, HAMMING, select="SELECT vec_id, min(distance) AS nearest FROM (SELECT right_id AS vec_id, distance FROM pairs WHERE left_id < 50 AND right_id >= 50) GROUP BY vec_id HAVING min(distance) <= 20"))
+@query("reserved_nearest", sql(BITS, HAMMING, select=f"SELECT right_id AS vec_id, min(distance) AS nearest FROM pairs WHERE left_id % 20 = 2 AND right_id % 20 <> 2 GROUP BY right_id HAVING min(distance) <= {RADIUS}"))
 def reserved_nearest(spark, sf):
+    """Rows near the reserved set, one row in twenty."""
     hashes = _hashes(spark, sf)
-    near = dedup.hamming_join(hashes.filter("vec_id < 50"), hashes.filter("vec_id >= 50"), "vec_id", "bits", 20)
+    near = dedup.hamming_join(hashes.filter("vec_id % 20 = 2"), hashes.filter("vec_id % 20 <> 2"), "vec_id", "bits", RADIUS)
     return near.groupBy(F.col("right_id").alias("vec_id")).agg(F.min("distance").alias("nearest"))
 
 

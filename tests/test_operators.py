@@ -280,6 +280,35 @@ def test_hamming_join_finds_planted_pairs(spark):
     assert {v["victim"] for v in victims.collect()} == {100, 104}
 
 
+def test_hamming_join_across_splits(spark):
+    base = [(i, (i * 0x9E3779B97F4A7C15) % (1 << 63)) for i in range(40)]
+    rows = [(i, b, i % 2) for i, b in base] + [(100 + i, b ^ 3, i % 2) for i, b in base[:10]] + [(200 + i, b ^ 5, 1 - i % 2) for i, b in base[:10]] + [(300 + i, b, 1 - i % 2) for i, b in base[:3]] + [(400 + i, b, i % 2) for i, b in base[:3]]
+    df = spark.createDataFrame(rows, "id long, bits long, split int")
+    got = {(x["left_id"], x["right_id"]) for x in dedup.hamming_join(df, df, "id", "bits", 4, self_join=True, apart="split").collect()}
+    assert got == {(a, c) for a, b, s in rows for c, d, u in rows if a < c and (b ^ d).bit_count() <= 4 and s != u}
+    membership, pairs = dedup.hamming_classes_join(df, "id", "bits", 4, apart="split")
+    of = dict(map(tuple, membership.collect()))
+    assert of[400] == 0 and of[300] == 300
+    linked = {(x["left_id"], x["right_id"]) for x in pairs.collect()}
+    assert {tuple(sorted((of[a], of[c]))) for a, c in got} == linked
+    with pytest.raises(ValueError, match="bands of 3 bits"):
+        dedup.hamming_join(df, df, "id", "bits", 20)
+
+
+def test_hamming_keys_grow_with_the_table():
+    """Keys have as many values as there are rows, so random hashes meet about as often at any size, and hashes within the radius always do."""
+    r = random.Random(5)
+    for n in (100, 10**4, 10**6, 10**9):
+        masks = dedup.key_masks(4, n)
+        assert len(masks) <= dedup.MOST_KEYS
+        for m in masks:
+            assert n / 2 ** (m & (1 << 64) - 1).bit_count() <= 1, n
+        for _ in range(300):
+            flips = sum(1 << b for b in r.sample(range(64), 4))
+            assert any(flips & m & (1 << 64) - 1 == 0 for m in masks)
+    assert [len(dedup.key_masks(4, n)) for n in (1000, 10**6, 10**8, 10**9)] == [5, 15, 35, 70]
+
+
 def test_coverage(spark):
     a = spark.createDataFrame([(f"k{i}",) for i in range(10)], "k string")
     b = spark.createDataFrame([(f"k{i}",) for i in range(3, 12)], "k string")
