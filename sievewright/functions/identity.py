@@ -53,9 +53,10 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKC")
 
 
-def canonical_generator_id(value: Column) -> Column:
-    """Lower-case identity with slashes between its parts; of a hub address the path only. For input that is not ASCII, apply nfkc first."""
-    plain = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit("")), F.lit(" \t\n\r\x0b\x0c")))
+def canonical_generator_id(value: Column, ascii_only: bool = False) -> Column:
+    """Lower-case identity with slashes between its parts; of a hub address the path only. Compatibility characters count as what they stand for; ascii_only leaves that step, which runs in Python, out of the plan where no value needs it."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    plain = F.lower(F.trim(text if ascii_only else nfkc(text), F.lit(" \t\n\r\x0b\x0c")))
     plain = F.regexp_replace(F.regexp_replace(plain, r"^https?://huggingface\.co/", ""), r"\\", "/")
     parts = F.transform(F.split(plain, "/"), lambda p: F.regexp_replace(F.regexp_replace(p, r"[^a-z0-9.+-]+", "-"), r"^[-.]+|[-.]+$", ""))
     return F.array_join(F.filter(parts, lambda p: p != ""), "/")

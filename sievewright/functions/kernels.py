@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,20 +30,43 @@ def dct_matrix(n: int) -> np.ndarray:
     return np.where(k == 0, math.sqrt(1 / n), math.sqrt(2 / n)) * np.cos(np.pi * (2 * x + 1) * k / (2 * n))
 
 
-def lanczos_resize(image: np.ndarray, height: int, width: int, a: int = 3) -> np.ndarray:
-    """Separable Lanczos resampling with the kernel widened when shrinking."""
+def _resampled(image: np.ndarray, height: int, width: int, kernel: Callable[[np.ndarray], np.ndarray], reach: float) -> np.ndarray:
+    """Separable resampling of a plane with a kernel of that reach, widened when shrinking."""
 
     def weights(n_in: int, n_out: int) -> np.ndarray:
         scale = n_in / n_out
         wide = max(1.0, scale)
         centre = (np.arange(n_out) + 0.5) * scale
         d = (np.arange(n_in)[None, :] + 0.5 - centre[:, None]) / wide
-        w = np.where(np.abs(d) < a, np.sinc(d) * np.sinc(d / a), 0.0)
+        w = np.where(np.abs(d) < reach, kernel(d), 0.0)
         return w / w.sum(1, keepdims=True)
 
     return weights(image.shape[0], height) @ image @ weights(image.shape[1], width).T
 
 
+def lanczos_resize(image: np.ndarray, height: int, width: int, a: int = 3) -> np.ndarray:
+    return _resampled(image, height, width, lambda d: np.sinc(d) * np.sinc(d / a), a)
+
+
+def _cubic(d: np.ndarray, a: float = -0.5) -> np.ndarray:
+    x = np.abs(d)
+    return np.where(x < 1, ((a + 2) * x - (a + 3)) * x * x + 1, a * (((x - 5) * x + 8) * x - 4))
+
+
+def cubic_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    return _resampled(image, height, width, _cubic, 2)
+
+
+def linear_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    return _resampled(image, height, width, lambda d: 1 - np.abs(d), 1)
+
+
+def by_plane(image: np.ndarray, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """work on each plane of an image, clipped to [0, 1]."""
+    image = np.asarray(image, float)
+    return np.clip(work(image) if image.ndim == 2 else np.stack([work(image[..., c]) for c in range(image.shape[2])], -1), 0, 1)
+
+
 def perceptual_hash(image: np.ndarray, size: int = 8, factor: int = 4) -> int:
     """64 bits, row by row, highest first: is a low-frequency coefficient over the median of all but the first."""
     m = dct_matrix(size * factor)
@@ -88,13 +112,37 @@ def nearest_pixel_residual(image: np.ndarray, factor: int = 2) -> np.ndarray:
     return g - np.repeat(np.repeat(small, factor, 0), factor, 1)[: g.shape[0], : g.shape[1]]
 
 
-def residual_filters(n: int = 5, count: int = 30, seed: int = 0) -> np.ndarray:
-    """A bank of filters with zero mean and absolute values that sum to one, from a seed."""
-    bank = np.random.default_rng(seed).standard_normal((count, n, n))
-    bank -= bank.mean((1, 2), keepdims=True)
+# One-dimensional kernels, impulse and smoothing first, then differences of rising order; 3 x 3 residual kernels.
+LINES = ((0, 0, 1, 0, 0), (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16), (0, -1, 0, 1, 0), (0, 1, -2, 1, 0), (-1, 2, 0, -2, 1), (1, -4, 6, -4, 1))
+SMALL_FILTERS = (
+    ((0, -1, 0), (-1, 4, -1), (0, -1, 0)),
+    ((-1, -1, -1), (-1, 8, -1), (-1, -1, -1)),
+    ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1)),
+    ((-1, -2, -1), (0, 0, 0), (1, 2, 1)),
+    ((1, -2, 1), (-2, 4, -2), (1, -2, 1)),
+    ((-1, 2, -1), (2, -4, 2), (-1, 2, -1)),
+    ((0, 1, 0), (1, -4, 1), (0, 1, 0)),
+    ((1, 0, -1), (0, 0, 0), (-1, 0, 1)),
+)
+
+
+def _balanced(bank: np.ndarray) -> np.ndarray:
+    """Zero mean, and absolute values that sum to one."""
+    bank = bank - bank.mean((1, 2), keepdims=True)
     return bank / np.abs(bank).sum((1, 2), keepdims=True)
 
 
+def residual_filters(count: int = 30) -> np.ndarray:
+    """The first `count` outer products of two of LINES, row by row, without those of the first two alone."""
+    lines = np.array(LINES, float)
+    down, across = np.nonzero(np.maximum.outer(np.arange(len(lines)), np.arange(len(lines))) >= 2)
+    return _balanced(lines[down[:count], :, None] * lines[across[:count], None, :])
+
+
+def small_filters() -> np.ndarray:
+    return _balanced(np.array(SMALL_FILTERS, float))
+
+
 def heat_map(values: np.ndarray) -> np.ndarray:
     """Clipped to the 1 and 99 percent quantiles and stretched to [0, 1]."""
     low, high = np.quantile(values, [0.01, 0.99])
@@ -134,13 +182,13 @@ def gaussian_noise(image: np.ndarray, sigma: float, seed: int) -> np.ndarray:
     return np.clip(image + np.random.default_rng(seed).normal(0, sigma, np.shape(image)), 0, 1)
 
 
-def resize_round_trip(image: np.ndarray, scale: float) -> np.ndarray:
-    image = np.asarray(image, float)
-    planes = image[..., None] if image.ndim == 2 else image
-    h, w = planes.shape[:2]
-    small = (max(1, round(h * scale)), max(1, round(w * scale)))
-    out = np.stack([lanczos_resize(lanczos_resize(planes[..., c], *small), h, w) for c in range(planes.shape[2])], -1)
-    return np.clip(out[..., 0] if image.ndim == 2 else out, 0, 1)
+RESIZES = {"bilinear": linear_resize, "bicubic": cubic_resize, "lanczos": lanczos_resize}
+
+
+def resize_round_trip(image: np.ndarray, scale: float, interpolation: str = "bicubic") -> np.ndarray:
+    h, w = np.shape(image)[:2]
+    small, resize = (max(1, round(h * scale)), max(1, round(w * scale))), RESIZES[interpolation]
+    return by_plane(image, lambda plane: resize(resize(plane, *small), h, w))
 
 
 def color_jitter(image: np.ndarray, brightness: float = 1.0, contrast: float = 1.0, saturation: float = 1.0) -> np.ndarray:
@@ -149,33 +197,136 @@ def color_jitter(image: np.ndarray, brightness: float = 1.0, contrast: float = 1
     return out if out.ndim == 2 else np.clip(gray(out)[..., None] + (out - gray(out)[..., None]) * saturation, 0, 1)
 
 
-def center_crop(image: np.ndarray, fraction: float) -> np.ndarray:
+def center_crop(image: np.ndarray, ratio: float) -> np.ndarray:
     """The middle part, brought back to the whole size."""
-    image = np.asarray(image, float)
-    planes = image[..., None] if image.ndim == 2 else image
-    h, w = planes.shape[:2]
-    ch, cw = max(1, round(h * fraction)), max(1, round(w * fraction))
-    part = planes[(h - ch) // 2 : (h - ch) // 2 + ch, (w - cw) // 2 : (w - cw) // 2 + cw]
-    out = np.clip(np.stack([lanczos_resize(part[..., c], h, w) for c in range(part.shape[2])], -1), 0, 1)
-    return out[..., 0] if image.ndim == 2 else out
-
-
-def block_quantise(image: np.ndarray, step: float) -> np.ndarray:
-    """Rounds the DCT coefficients of 8 x 8 blocks: the loss of a JPEG round trip, without its coding."""
-    image = np.asarray(image, float)
-    planes = image[..., None] if image.ndim == 2 else image
-    h, w, c = planes.shape
-    padded = np.pad(planes, ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge")
+    h, w = np.shape(image)[:2]
+    ch, cw = max(1, round(h * ratio)), max(1, round(w * ratio))
+    top, left = round((h - ch) / 2), round((w - cw) / 2)
+    return by_plane(image, lambda plane: cubic_resize(plane[top : top + ch, left : left + cw], h, w))
+
+
+# The standard's example tables of quantisation, for brightness and for colour; YCbCr of RGB.
+BRIGHT_STEPS = (
+    (16, 11, 10, 16, 24, 40, 51, 61),
+    (12, 12, 14, 19, 26, 58, 60, 55),
+    (14, 13, 16, 24, 40, 57, 69, 56),
+    (14, 17, 22, 29, 51, 87, 80, 62),
+    (18, 22, 37, 56, 68, 109, 103, 77),
+    (24, 35, 55, 64, 81, 104, 113, 92),
+    (49, 64, 78, 87, 103, 121, 120, 101),
+    (72, 92, 95, 98, 112, 100, 103, 99),
+)
+COLOUR_STEPS = ((17, 18, 24, 47), (18, 21, 26, 66), (24, 26, 56, 99), (47, 66, 99, 99))
+YCBCR = ((0.299, 0.587, 0.114), (-0.168736, -0.331264, 0.5), (0.5, -0.418688, -0.081312))
+
+
+def quantisation(quality: int, colour: bool) -> np.ndarray:
+    """The 8 x 8 steps of a quality from 1 to 100; colour steps outside their table are 99."""
+    if not 1 <= quality <= 100:
+        raise ValueError(f"a JPEG quality is from 1 to 100, not {quality}")
+    base = np.full((8, 8), 99)
+    if colour:
+        base[:4, :4] = COLOUR_STEPS
+    else:
+        base[:] = BRIGHT_STEPS
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    return np.clip((base * scale + 50) // 100, 1, 255)
+
+
+def _coded(plane: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """A plane of bytes after its blocks' coefficients were rounded to the steps. What a file holds are these whole numbers, coded without loss."""
+    h, w = plane.shape
+    padded = np.pad(plane - 128.0, ((0, -h % 8), (0, -w % 8)), mode="edge")
     m = dct_matrix(8)
-    blocks = padded.reshape(padded.shape[0] // 8, 8, padded.shape[1] // 8, 8, c).transpose(0, 2, 4, 1, 3)
-    weight = step * (1 + np.add.outer(np.arange(8), np.arange(8)))
-    back = m.T @ (np.round(m @ blocks @ m.T / weight) * weight) @ m
-    out = np.clip(back.transpose(0, 3, 1, 4, 2).reshape(padded.shape)[:h, :w], 0, 1)
-    return out[..., 0] if image.ndim == 2 else out
+    blocks = padded.reshape(padded.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+    back = m.T @ (np.round(m @ blocks @ m.T / steps) * steps) @ m
+    return np.clip(np.round(back.swapaxes(1, 2).reshape(padded.shape)[:h, :w] + 128), 0, 255)
+
+
+def jpeg_round_trip(image: np.ndarray, quality: int, subsampling: int = 2) -> np.ndarray:
+    """What baseline JPEG makes of an image: bytes of brightness and colour, colour planes at half the width (subsampling 1) or half of both sides (2), rounded DCT coefficients, and back."""
+    if subsampling not in (0, 1, 2):
+        raise ValueError(f"subsampling is 0, 1 or 2, not {subsampling}")
+    image = np.round(np.clip(np.asarray(image, float), 0, 1) * 255)
+    if image.ndim == 2:
+        return _coded(image, quantisation(quality, False)) / 255
+    h, w = image.shape[:2]
+    planes = np.round(image @ np.array(YCBCR).T + (0, 128, 128))
+    down, across = (2 if subsampling == 2 else 1), (2 if subsampling else 1)
+    out = [_coded(planes[..., 0], quantisation(quality, False))]
+    for c in (1, 2):
+        wide = np.pad(planes[..., c], ((0, -h % down), (0, -w % across)), mode="edge")
+        small = np.round(wide.reshape(wide.shape[0] // down, down, wide.shape[1] // across, across).mean((1, 3)))
+        out.append(np.repeat(np.repeat(_coded(small, quantisation(quality, True)), down, 0), across, 1)[:h, :w])
+    rgb = (np.stack(out, -1) - (0, 128, 128)) @ np.linalg.inv(np.array(YCBCR)).T
+    return np.clip(np.round(rgb), 0, 255) / 255
+
+
+def harmonised(image: np.ndarray, size: int, quality: int = 90, subsampling: int = 2) -> np.ndarray:
+    """An image of any source through the same pixels: a square of that size, then a JPEG round trip, which covers the traces of the codec it came from."""
+    if size <= 0:
+        raise ValueError(f"a size is positive, not {size}")
+    return jpeg_round_trip(by_plane(image, lambda plane: cubic_resize(plane, size, size)), quality, subsampling)
+
+
+def training_quality(seed: int, row: int, qualities: tuple[int, ...] = (70, 80, 90, 95)) -> int:
+    """A row's JPEG quality for training, by its number alone, so never by its label."""
+    if not qualities or not all(1 <= q <= 100 for q in qualities):
+        raise ValueError(f"qualities are from 1 to 100, and there is one at least, not {qualities}")
+    return qualities[int.from_bytes(hashlib.sha256(f"quality:{seed}:{row}".encode()).digest()[:8], "little") % len(qualities)]
+
+
+# Ranges of the six transforms' strengths in training, and of those that a user may set, in the order in which they are applied.
+SIX_PROFILE = "full_training_range_v1"
+SIX_RANGES = {"ratio": (0.75, 0.95), "scale": (0.25, 0.75), "brightness": (0.8, 1.2), "contrast": (0.8, 1.2), "saturation": (0.8, 1.2), "blur": (0.1, 2.5), "noise": (0.005, 0.10), "quality": (30, 95)}
+CHAIN_SEED = 20260827
+CHAIN_RANGES = {
+    "center_crop": {"ratio": (0.75, 1.0)},
+    "resize": {"scale": (0.25, 1.0)},
+    "color_jitter": {"brightness": (0.8, 1.2), "contrast": (0.8, 1.2), "saturation": (0.8, 1.2)},
+    "gaussian_blur": {"sigma": (0.0, 2.5)},
+    "gaussian_noise": {"sigma": (0.0, 0.10)},
+    "jpeg": {"quality": (30, 100)},
+}
+
+
+def random_six(seed: int, profile: str = SIX_PROFILE) -> list[dict]:
+    """All six transforms, each with a strength drawn from its range by the seed alone, in a fixed order."""
+    if profile != SIX_PROFILE:
+        raise ValueError(f"Unknown strict_random_six profile: {profile}")
+    rng = np.random.default_rng(seed)
+    x = {k: float(rng.uniform(*r)) for k, r in SIX_RANGES.items()}
+    return [
+        {"name": "center_crop", "params": {"ratio": x["ratio"]}},
+        {"name": "resize", "params": {"scale": x["scale"], "interpolation": ("bilinear", "bicubic")[int(rng.integers(2))]}},
+        {"name": "color_jitter", "params": {k: x[k] for k in ("brightness", "contrast", "saturation")}},
+        {"name": "gaussian_blur", "params": {"sigma": x["blur"]}},
+        {"name": "gaussian_noise", "params": {"sigma": x["noise"], "seed": int(rng.integers(1 << 31))}},
+        {"name": "jpeg", "params": {"quality": round(x["quality"])}},
+    ]
+
+
+def chain(controls: dict[str, dict]) -> list[dict]:
+    """The steps of a chain that a user puts together: of the transforms in controls, in the fixed order, with values checked against their ranges."""
+    unknown = controls.keys() - CHAIN_RANGES.keys()
+    if unknown:
+        raise ValueError(f"unknown transforms: {sorted(unknown)}")
+    steps = []
+    for name, ranges in CHAIN_RANGES.items():
+        if name in controls:
+            params = dict(controls[name])
+            for key, value in params.items():
+                if key not in ranges or not ranges[key][0] <= value <= ranges[key][1]:
+                    raise ValueError(f"{name}: {key} = {value} is not in {ranges.get(key)}")
+            steps.append({"name": name, "params": params | ({"seed": CHAIN_SEED} if name == "gaussian_noise" else {})})
+    return steps
 
 
 def apply_transform(image: np.ndarray, name: str, params: dict, row: int = 0) -> np.ndarray:
-    """A condition's transform by name; noise takes its seed plus the row's number, a composite applies its parts in turn."""
+    """A condition's transform by name; noise and the random six take their seed plus the row's number, a composite applies its parts in turn."""
+    if name == "strict_random_six":
+        params = {"transforms": random_six(int(params.get("seed", 0)) + row, params.get("profile", SIX_PROFILE))}
+        row = 0
     if "transforms" in params:
         for part in params["transforms"]:
             image = apply_transform(image, part["name"], part.get("params", {}), row)
@@ -183,17 +334,17 @@ def apply_transform(image: np.ndarray, name: str, params: dict, row: int = 0) ->
     if name == "clean":
         return np.asarray(image, float)
     if name == "gaussian_blur":
-        return gaussian_blur(image, float(params["sigma"]))
+        return gaussian_blur(image, float(params["sigma"])) if float(params["sigma"]) > 0 else np.asarray(image, float)
     if name == "gaussian_noise":
         return gaussian_noise(image, float(params["sigma"]), int(params.get("seed", 0)) + row)
     if name == "resize":
-        return resize_round_trip(image, float(params["scale"]))
+        return resize_round_trip(image, float(params["scale"]), params.get("interpolation", "bicubic"))
     if name == "color_jitter":
         return color_jitter(image, **{k: float(v) for k, v in params.items()})
     if name == "center_crop":
-        return center_crop(image, float(params["fraction"]))
+        return center_crop(image, float(params["ratio"] if "ratio" in params else params["fraction"]))
     if name == "jpeg":
-        return block_quantise(image, (101 - float(params["quality"])) / 2000)
+        return jpeg_round_trip(image, int(params["quality"]), int(params.get("subsampling", 2)))
     raise ValueError(f"unknown transform {name}")
 
 

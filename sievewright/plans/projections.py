@@ -54,7 +54,7 @@ CANONICAL = r"""array_to_string(list_filter(list_transform(string_split(replace(
 @query("canonical_id", f"SELECT p_partkey, {CANONICAL.replace('NAME', chr(39) + ' https://huggingface.co/' + chr(39) + ' || p_brand || chr(92) || p_name || ' + chr(39) + '//x_Y. ' + chr(39))} AS canonical FROM part")
 def canonical_id(spark, sf):
     raw = F.concat(F.lit(" https://huggingface.co/"), F.col("p_brand"), F.lit("\\"), F.col("p_name"), F.lit("//x_Y. "))
-    return t(spark, sf, "part").select("p_partkey", I.canonical_generator_id(raw).alias("canonical"))
+    return t(spark, sf, "part").select("p_partkey", I.canonical_generator_id(raw, ascii_only=True).alias("canonical"))
 
 
 NAMED = "CASE user_id % 7 WHEN 0 THEN 'landscapesHQ' WHEN 1 THEN 'FF-HQ 1024' WHEN 2 THEN 'Vision set' WHEN 3 THEN 'raise_1k' WHEN 4 THEN 'LAION 5B' WHEN 5 THEN 'ms coco' ELSE event_type END"

@@ -18,6 +18,10 @@ def test_generator_identity(spark):
     assert got == ["some-lab/big-model-2", "author/model-a", "x", "", "author/model-a", "author/model-b"]
 
 
+def test_identity_of_compatibility_characters(spark):
+    assert column(spark, ["Ｓｔａｂｌｅ／Model①", " ﬁne Model ", None], I.canonical_generator_id) == ["stable/model1", "fine-model", ""]
+
+
 def test_nfkc(spark):
     assert column(spark, ["ﬁ①", "plain"], lambda c: I.canonical_generator_id(I.nfkc(c))) == ["fi1", "plain"]
 
@@ -100,6 +104,66 @@ def test_transforms_keep_the_size_and_repeat():
         kernels.apply_transform(base, "nope", {})
 
 
+def test_strict_random_six_repeats_by_seed_and_row():
+    base = image(4, 24)
+    params = {"seed": 20260828, "profile": "full_training_range_v1"}
+    first, second, other = (kernels.apply_transform(base, "strict_random_six", params, row) for row in (11, 11, 12))
+    assert first.shape == base.shape and (first == second).all() and (first != other).any()
+    for seed in range(200):
+        steps = kernels.random_six(seed)
+        assert [s["name"] for s in steps] == list(kernels.CHAIN_RANGES)
+        assert 0.75 <= steps[0]["params"]["ratio"] <= 0.95 and 0.25 <= steps[1]["params"]["scale"] <= 0.75 and 30 <= steps[5]["params"]["quality"] <= 95
+    with pytest.raises(ValueError, match="Unknown strict_random_six profile"):
+        kernels.apply_transform(base, "strict_random_six", {"seed": 1, "profile": "unknown"})
+
+
+def test_jpeg_round_trip():
+    assert kernels.quantisation(50, False)[0].tolist() == [16, 11, 10, 16, 24, 40, 51, 61] and kernels.quantisation(50, True)[4].tolist() == [99] * 8
+    assert kernels.quantisation(100, False).tolist() == [[1] * 8] * 8 and kernels.quantisation(25, False)[0, 0] == 32 and kernels.quantisation(75, False)[0, 0] == 8
+    base = image(6, 30)
+    errors = [np.abs(kernels.jpeg_round_trip(base, q, 0) - np.round(base * 255) / 255).mean() for q in (100, 90, 50, 10)]
+    assert errors == sorted(errors) and errors[0] < 0.006 < errors[3]
+    flat = np.full((17, 19, 3), 100 / 255)
+    assert (kernels.jpeg_round_trip(flat, 100) == flat).all()
+    # brightness steps of a gray image: a flat block of 8 x 8 with value v has one coefficient, 8 (v - 128)
+    assert kernels.jpeg_round_trip(np.full((8, 8), 100 / 255), 50)[0, 0] * 255 == 128 + round(8 * (100 - 128) / 16) * 16 / 8
+    stripes = np.zeros((16, 16, 3))
+    stripes[:, ::2] = (1, 0, 0)
+    narrow, half = (kernels.jpeg_round_trip(stripes, 100, s) for s in (0, 2))
+    assert np.abs(narrow - stripes).max() < 0.05 < np.abs(half - stripes).max()
+    for bad in (0, 101):
+        with pytest.raises(ValueError):
+            kernels.jpeg_round_trip(base, bad)
+
+
+def test_harmonised_images_have_one_format():
+    for source in (image(7, 40), kernels.jpeg_round_trip(image(8, 33), 30)):
+        first, second = (kernels.harmonised(source, 24, 90) for _ in range(2))
+        assert first.shape == (24, 24, 3) and (first == second).all() and (np.round(first * 255) == first * 255).all()
+    drawn = [kernels.training_quality(1, row) for row in range(400)]
+    assert set(drawn) == {70, 80, 90, 95} and drawn == [kernels.training_quality(1, row) for row in range(400)]
+    for bad in ((), (0,), (101,)):
+        with pytest.raises(ValueError):
+            kernels.training_quality(1, 1, bad)
+    with pytest.raises(ValueError):
+        kernels.harmonised(image(7, 8), 0)
+
+
+def test_resampling_of_even_planes():
+    x = np.full((9, 7), 0.25)
+    for resize in kernels.RESIZES.values():
+        assert np.allclose(resize(x, 5, 11), 0.25) and np.allclose(resize(kernels.gray(image(1, 6)), 6, 6), kernels.gray(image(1, 6)))
+
+
+def test_chain_has_a_fixed_order_and_ranges():
+    steps = kernels.chain({"jpeg": {"quality": 70}, "gaussian_noise": {"sigma": 0.02}, "center_crop": {"ratio": 0.8}, "gaussian_blur": {"sigma": 0.0}})
+    assert [s["name"] for s in steps] == ["center_crop", "gaussian_blur", "gaussian_noise", "jpeg"] and steps[2]["params"] == {"sigma": 0.02, "seed": 20260827}
+    assert kernels.apply_transform(image(3, 16), "chain", {"transforms": steps}).shape == (16, 16, 3) and kernels.chain({}) == []
+    for bad in ({"jpeg": {"quality": 29}}, {"resize": {"scale": 1.1}}, {"color_jitter": {"hue": 1}}, {"sharpen": {}}):
+        with pytest.raises(ValueError):
+            kernels.chain(bad)
+
+
 def test_augmentation_shares():
     n = [len(kernels.augmentation_policy(1, i, ("a", "b", "c"))) for i in range(4000)]
     assert abs(n.count(0) / 4000 - 0.25) < 0.03 and abs(n.count(2) / 4000 - 0.25) < 0.03
@@ -109,6 +173,12 @@ def test_patches_filters_and_maps():
     low, high = kernels.extreme_patches(np.hstack([np.full((16, 16), 0.5), kernels.gray(image(5, 16))]), 2)
     assert set(low.tolist()) <= {0, 1, 4, 5} and set(high.tolist()) <= {2, 3, 6, 7}
     bank = kernels.residual_filters()
+    assert bank.shape == (30, 5, 5) and kernels.small_filters().shape == (8, 3, 3)
+    for b in (bank, kernels.small_filters()):
+        assert np.allclose(b.sum((1, 2)), 0) and np.allclose(np.abs(b).sum((1, 2)), 1)
+    # the first: an impulse down, the first difference across; then its mean, zero, is taken off, and it is scaled
+    assert bank[0][2].tolist() == [0, -0.5, 0, 0.5, 0] and not bank[0][[0, 1, 3, 4]].any()
+    assert np.allclose(bank[1][2], [0, 0.25, -0.5, 0.25, 0]) and np.allclose(bank[8], bank[0].T)
     assert np.allclose(bank.sum((1, 2)), 0) and np.allclose(np.abs(bank).sum((1, 2)), 1)
     assert kernels.nearest_pixel_residual(np.full((5, 7), 0.3)).max() == 0
     heat = kernels.heat_map(np.arange(1000.0))
