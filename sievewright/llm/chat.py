@@ -3,53 +3,61 @@
 In the rendering of a participant that speaker is the assistant and everyone
 else a user with a name; only the assistant's words are trained on. Built-in
 expressions only: one shuffle by dialogue, which moves each turn once; the
-renderings are made after it. Participants of dialogues in several parts are
-joined from a small table of their own.
+renderings are made after it, a row at a time.
+
+A text cannot forge a turn: a mark inside it gets a backslash, which unescaped()
+takes away again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Dialogues in parts whose participants may be broadcast, as many rows of a dialogue and a participant; more are joined by a shuffle.
-MOST_BROADCAST = 200_000
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrator: str = "system", part_turns: int = 4096) -> DataFrame:
-    """One row for each dialogue and participant: conv_id, part, speaker, n_turns, n_own_turns, rendered, mask_runs, n_trained.
+def escaped(text: Column) -> Column:
+    """text with one more backslash in whatever looks like a mark."""
+    return F.regexp_replace(text, r"<\|(\\*)im_", r"<|\\$1im_")
+
+
+def unescaped(text: Column) -> Column:
+    """The text that escaped() was given."""
+    return F.regexp_replace(text, r"<\|\\(\\*)im_", "<|$1im_")
+
+
+def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", narrator: str = "system") -> DataFrame:
+    """One row for each dialogue and participant: conv_id, speaker, n_turns, n_own_turns, rendered, mask_runs, n_trained.
 
-    A turn is rendered as `<|im_start|>NAME\\nTEXT<|im_end|>\\n`; NAME is `assistant` for the row's speaker, `user name=SPEAKER` for another and the narrator's own name for the narrator, who is no participant. mask_runs has for each turn `M:T`: M characters that are masked, then T that are trained on (text and end mark of the assistant); the runs add up to the whole rendering, and all T to n_trained.
-    Turns go by number, then speaker, then text, nulls first; repeated rows are turns of their own. A null speaker is `unknown`, a null text is empty. A turn without a dialogue id is a dialogue of its own. A dialogue of the narrator alone has no participant and gives no row. A dialogue whose turn numbers reach part_turns is rendered in parts of as many numbers, so no row grows without bound; each part has a row for every participant of the whole dialogue, silent in it or not, and counts and masks are those of the part. part is 0 otherwise. An empty table gives an empty result; other columns are not read.
+    A turn is rendered as `<|im_start|>NAME\\nTEXT<|im_end|>\\n`; NAME is `assistant` for the row's speaker, `user name=SPEAKER` for another and the narrator's own name for the narrator, who is no participant. Marks in a text or a name are escaped, and line ends in a name are `\\n` in two characters. mask_runs has for each turn `M:T`: M characters that are masked, then T that are trained on (text and end mark of the assistant); the runs add up to the whole rendering, and all T to n_trained.
+    Every participant of the dialogue gets the whole of it, however long. Turns go by number, then speaker, then text, nulls first; repeated rows are turns of their own. A null speaker is `unknown`, a null text is empty. A turn without a dialogue id is a dialogue of its own. A dialogue of the narrator alone has no participant and gives no row. An empty table gives an empty result; other columns are not read.
+    A rendering is one value, so a dialogue's turns meet in one task, and 2 GB of UTF-8, Spark's limit of a value, is the longest rendering; a longer one fails, it is not cut.
     """
     rows = turns.select(
         F.col(f"`{conv_col}`").cast("long").alias("conv_id"),
         F.col(f"`{turn_col}`").cast("long").alias("turn"),
         F.coalesce(F.col(f"`{speaker_col}`").cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-    )
-    rows = rows.withColumns({"part": F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long"), "alone": F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())})
-    dialogues = rows.groupBy("conv_id", "part", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
+    ).withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    dialogues = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
     speakers = F.filter(F.array_distinct(F.transform("turns", lambda t: t["speaker"])), lambda s: s != narrator)
-    # of dialogues in several parts, the participants of all; few of them are joined without moving the turns
-    several = rows.filter("conv_id IS NOT NULL").select("conv_id", "part", "speaker").distinct().groupBy("conv_id")
-    several = several.agg(F.collect_set(F.when(F.col("speaker") != narrator, F.col("speaker"))).alias("everyone"), F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("conv_id", "everyone")
-    size = several.select(F.explode("everyone")).limit(MOST_BROADCAST + 1).count()
-    dialogues = dialogues.join(F.broadcast(several) if size <= MOST_BROADCAST else several, "conv_id", "left")
-    each = dialogues.select("conv_id", "part", "turns", F.explode(F.coalesce("everyone", speakers)).alias("speaker"))
+    each = dialogues.select("conv_id", "turns", F.explode(speakers).alias("speaker"))
     own = F.col("speaker")
 
+    def shown(speaker):
+        return F.replace(F.replace(escaped(speaker), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+
     def name(t):
-        return F.when(t["speaker"] == own, "assistant").when(t["speaker"] == narrator, F.lit(narrator)).otherwise(F.concat(F.lit("user name="), t["speaker"]))
+        return F.when(t["speaker"] == own, "assistant").when(t["speaker"] == narrator, F.lit(narrator)).otherwise(F.concat(F.lit("user name="), shown(t["speaker"])))
 
     def head(t):
         return F.concat(F.lit(START), name(t), F.lit("\n"))
 
     def body(t):
-        return F.concat(t["text"], F.lit(END + "\n"))
+        return F.concat(escaped(t["text"]), F.lit(END + "\n"))
 
     def trained(t):
         return F.when(t["speaker"] == own, F.length(body(t))).otherwise(0)
@@ -59,7 +67,6 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
 
     return each.select(
         "conv_id",
-        "part",
         "speaker",
         F.size("turns").cast("long").alias("n_turns"),
         F.size(F.filter("turns", lambda t: t["speaker"] == own)).cast("long").alias("n_own_turns"),
@@ -73,19 +80,24 @@ def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def _escaped_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '<\|(\\*)im_', '<|\\\1im_', 'g')"
+
+
 SQL = f"""
 WITH t AS (
   SELECT CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, conv_id, turn, coalesce(role, 'unknown') AS speaker,
-         coalesce(text, '') AS text, coalesce(floor(turn / 4096.0), 0)::BIGINT AS part FROM conversations),
-s AS (SELECT DISTINCT conv_id, part, alone, speaker FROM t WHERE speaker <> 'system'),
+         coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, alone, speaker FROM t WHERE speaker <> 'system'),
 p AS (
-  SELECT s.conv_id, s.part, s.alone, s.speaker, t.turn, t.speaker AS said_by, t.text, t.speaker = s.speaker AS own,
-         '{START}' || CASE WHEN t.speaker = s.speaker THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user name=' || t.speaker END || chr(10) AS head,
-         t.text || '{END}' || chr(10) AS body
-  FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.part = s.part AND t.alone IS NOT DISTINCT FROM s.alone)
-SELECT conv_id, part, speaker, count(*) AS n_turns, count_if(own) AS n_own_turns,
+  SELECT s.conv_id, s.alone, s.speaker, t.turn, t.speaker AS said_by, t.text, t.speaker = s.speaker AS own,
+         '{START}' || CASE WHEN t.speaker = s.speaker THEN 'assistant' WHEN t.speaker = 'system' THEN 'system'
+           ELSE 'user name=' || replace(replace({_escaped_sql("t.speaker")}, chr(13), '\\r'), chr(10), '\\n') END || chr(10) AS head,
+         {_escaped_sql("t.text")} || '{END}' || chr(10) AS body
+  FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.alone IS NOT DISTINCT FROM s.alone)
+SELECT conv_id, speaker, count(*) AS n_turns, count_if(own)::BIGINT AS n_own_turns,
        string_agg(head || body, '' ORDER BY turn NULLS FIRST, said_by, text) AS rendered,
        string_agg(CASE WHEN own THEN length(head) || ':' || length(body) ELSE (length(head) + length(body)) || ':0' END, ' ' ORDER BY turn NULLS FIRST, said_by, text) AS mask_runs,
        sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS n_trained
-FROM p GROUP BY conv_id, part, alone, speaker
+FROM p GROUP BY conv_id, alone, speaker
 """
