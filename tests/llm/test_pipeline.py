@@ -114,5 +114,5 @@ def test_odd_documents_pass_every_stage(spark):
                 assert now.columns == docs.columns
         got = now.select("doc_id").distinct().collect()
         assert {r["doc_id"] for r in got} == (set() if empty else {None, 3, 5, 6}), got
-    model = compression.CompressionModel(b"", b"", [5.0, 0.0, 0.0, 0.0])
+    model = compression.CompressionModel(b"", b"", [5.0, 0.0, 0.0])
     assert compression.accepted(docs, model).count() == len(odd)
