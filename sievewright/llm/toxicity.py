@@ -4,10 +4,10 @@ Labels are of documents, so tokens are labelled from a distance: a token is
 toxic where it stands in a toxic text and its word, or a beginning of it, is
 seen in toxic texts far more often than elsewhere. On such sentences a
 two-state chain is trained by gradient ascent on its likelihood. Forward and
-backward passes over every sentence of a text give each token's marginal;
-their noisy-or and their maximum, through a logistic curve fitted on other
-labelled texts, give the score of the document, and the tokens over one half
-give its offending offsets.
+backward passes over every sentence of a text, however long, give each token's
+marginal; their noisy-or and their sum, through a logistic curve fitted on other
+labelled texts and moved to the labels' true shares, give the score of the
+document, and the tokens over one half give its offending offsets.
 
 Everything is learned from a bounded sample of labelled rows.
 """
@@ -28,13 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chosen, documents, fields, mix64, table, tidy
-from .compression import fit_logistic, labelled_sample, remainder
+from .compression import fit_logistic, label_share, labelled_sample, remainder, to_share
 
 SCORED = T.StructType(fields(("doc_id", T.LongType()), ("score", T.DoubleType())).fields + [T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
-#: Longest chain; a sentence of more tokens is read as several.
-LONGEST = 64
-#: Marginals under this are no evidence.
-FAINT = 0.15
 #: Lengths of the beginnings of a word that are features.
 BEGINNINGS = (3, 4, 5, 6)
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -64,15 +60,12 @@ class ToxicityModel:
 
 
 def chains(ends: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Where chains begin: at a document's first token, behind a sentence's end, and after LONGEST tokens. stops: tokens up to the end of each document."""
-    n = len(ends)
-    begin = np.zeros(n + 1, bool)
+    """Where chains begin: at a document's first token and behind a sentence's end. stops: tokens up to the end of each document."""
+    begin = np.zeros(len(ends) + 1, bool)
     begin[0] = True
     begin[np.flatnonzero(ends) + 1] = True
     begin[stops] = True
-    at = np.flatnonzero(begin[:n])
-    place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    return np.flatnonzero(place % LONGEST == 0)
+    return np.flatnonzero(begin[:-1])
 
 
 def forward_backward(emission: np.ndarray, starts: np.ndarray, moves: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,19 +112,18 @@ class Emissions(dict):
 
 
 def document_features(marginal: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Per document: 1, log odds of the noisy-or of its tokens, log odds of its largest marginal. A token under FAINT counts as surely clean, so that unknown words of a long or a very short text add up to nothing; an empty document is as one of such tokens."""
+    """Per document: 1, log odds of the noisy-or of its tokens, sum of its marginals over the root of their number. A document without tokens has the least log odds and no sum."""
     x = np.zeros((len(stops), 3))
     x[:, 0] = 1
-    x[:, 1:] = -8
+    x[:, 1] = -12
     lengths = np.diff(stops, prepend=0)
     some = np.flatnonzero(lengths)
     if len(some):
         begin = (stops - lengths)[some]
-        p = np.clip(np.where(marginal < FAINT, 0, marginal), 1e-9, 1 - 1e-9)
+        p = np.clip(marginal, 1e-12, 1 - 1e-12)
         none = np.add.reduceat(np.log1p(-p), begin)
-        most = np.maximum.reduceat(p, begin)
-        x[some, 1] = np.clip(np.log(np.maximum(-np.expm1(none), 1e-12)) - none, -8, 8)
-        x[some, 2] = np.clip(np.log(most) - np.log1p(-most), -8, 8)
+        x[some, 1] = np.clip(np.log(np.maximum(-np.expm1(none), 1e-12)) - none, -12, 12)
+        x[some, 2] = np.add.reduceat(p, begin) / np.sqrt(lengths[some] + 1)
     return x
 
 
@@ -199,7 +191,7 @@ def fit_chain(texts: list[list[bytes]], toxic: np.ndarray, max_sentences: int =
     for segments, named, y in zip(texts, words, toxic.tolist(), strict=True):
         start = 0
         for i, s in enumerate(segments):
-            if s[-1] in b".!?" or i - start == LONGEST - 1 or i == len(segments) - 1:
+            if s[-1] in b".!?" or i == len(segments) - 1:
                 run = named[start : i + 1]
                 tags = [int(bool(y) and not markers.isdisjoint(word_features(w))) for w in run]
                 sentences[any(tags)].append((run, tags))
@@ -246,8 +238,8 @@ def fit_chain(texts: list[list[bytes]], toxic: np.ndarray, max_sentences: int =
     return ToxicityModel(kept, float(theta[1]), tuple(moves.tolist()))
 
 
-def fit_sample(sample: list[tuple[int, bytes]], max_sentences: int = 12_000) -> ToxicityModel:
-    """A model from (label, text): three of five texts train the chain, the others the curve."""
+def fit_sample(sample: list[tuple[int, bytes]], max_sentences: int = 12_000, share: float | None = None) -> ToxicityModel:
+    """A model from (label, text): three of five texts train the chain, the others the curve. share: of label 1 where the model is used, that of the sample if None."""
     y = np.array([label for label, _ in sample], int)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
@@ -258,14 +250,15 @@ def fit_sample(sample: list[tuple[int, bytes]], max_sentences: int = 12_000) ->
     chain = fit_chain([sample[i][1].split() for i in (np.flatnonzero(~held) if not held.all() else range(len(sample)))], y[~held] if not held.all() else y, max_sentences)
     texts = [sample[i][1] for i in np.flatnonzero(held)]
     marginal, stops = read(texts, Emissions(chain), chain.moves)
-    curve = fit_logistic(document_features(marginal, stops), y[held].astype(float), ridge=0.1)
+    curve = to_share(fit_logistic(document_features(marginal, stops), y[held].astype(float), ridge=0.1), y[held], share)
     return ToxicityModel(chain.weights, chain.bias, chain.moves, curve.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, per_label: int = 2500, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 32_768, max_sentences: int = 12_000) -> ToxicityModel:
     """A model from at most per_label labelled texts of each label, of a longer text the max_bytes in its middle, and at most max_sentences sentences, half of them with offending words and half without (documented bounds; scoring has none). An offence outside a long text's middle is not learned from."""
-    sample = labelled_sample(docs, labels, label_col, F.lit(True) if usable is None else usable, per_label, id_col, text_col, max_bytes)
-    return fit_sample([(label, text) for _, label, text in sample], max_sentences)
+    usable = F.lit(True) if usable is None else usable
+    sample = labelled_sample(docs, labels, label_col, usable, per_label, id_col, text_col, max_bytes)
+    return fit_sample([(label, text) for _, label, text in sample], max_sentences, label_share(labels, label_col, usable, id_col))
 
 
 def _scored(broadcast):
