@@ -7,13 +7,15 @@ sequences: the low bits of each value packed, the high bits in unary, and a
 sample of the places of set bits, from which select(i) is found by looking at
 a few words. No table of 64-bit offsets is kept.
 
-Files are written by executors straight to the shared folder, first under a
-name of the attempt and then renamed, so a task that is run again replaces
-what it wrote before.
+Files are written by executors straight to the shared folder, under a name of
+their own for each attempt. The manifest names those of the attempt that Spark
+committed, so a task that is run again neither needs to replace a file nor can
+leave half of one behind; an attempt that fails deletes what it wrote.
 """
 
 from __future__ import annotations
 
+import contextlib
 import io
 import struct
 import uuid
@@ -24,12 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chosen, documents, fields, shared_path, tidy, written
+from .common import chosen, documents, fields, file_system, shared_path, tidy, written
 from .tokens import tokenizer
 
 MAGIC = b"SWEF"
@@ -74,7 +75,7 @@ class EliasFano:
         for _ in range(left):
             word &= word - 1
         high = word_at * 64 + (word & -word).bit_length() - 1 - i
-        return high << self.low_bits | self._low(np.array([i]))[0].item()
+        return high << self.low_bits | self._low_of(i)
 
     def _low(self, index: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -82,6 +83,11 @@ class EliasFano:
         at = index[:, None] * self.low_bits + np.arange(self.low_bits)
         return (((self.low[at // 8] >> (at % 8)) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(1)
 
+    def _low_of(self, i: int) -> int:
+        first = i * self.low_bits
+        word = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
+        return (word >> (first % 8)) & ((1 << self.low_bits) - 1)
+
     def values(self) -> np.ndarray:
         """All of them."""
         places = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
@@ -96,19 +102,14 @@ class EliasFano:
         return cls(n, low_bits, np.frombuffer(f.read(a), np.uint8), np.frombuffer(f.read(8 * b), "<u8"), np.frombuffer(f.read(4 * c), "<u4"))
 
 
-def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path in it; Hadoop writes file:/x for file:///x."""
-    return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-
-
 class ShardWriter:
     """Writes the two files of a shard; documents come in order of id."""
 
     def __init__(self, folder: str, shard: int, width: int):
-        self._fs, where = _at(folder)
+        self._fs, where = file_system(folder)
         self._fs.create_dir(where, recursive=True)
-        self._final, self.width = f"{where}/{shard:08d}", width
-        self._part = f"{self._final}.{uuid.uuid4().hex}"
+        name, self.width = f"{shard:08d}-{uuid.uuid4().hex}", width
+        self.path, self._part = f"{folder}/{name}", f"{where}/{name}"
         self._ids = self._fs.open_output_stream(f"{self._part}.ids")
         self._docs: list[int] = []
         self._ends: list[int] = []
@@ -130,16 +131,22 @@ class ShardWriter:
             f.write(MAGIC + struct.pack("<iqq", self.width, self._nulls, first))
             f.write(EliasFano.of(np.array(self._ends, np.int64)).to_bytes())
             f.write(EliasFano.of(np.array(self._docs, np.int64) - first).to_bytes())
-        for kind in ("ids", "idx"):
-            self._fs.move(f"{self._part}.{kind}", f"{self._final}.{kind}")
         return len(self._ends), self._n
 
+    def discard(self) -> None:
+        """Deletes what this attempt has written."""
+        with contextlib.suppress(OSError):
+            self._ids.close()
+        for kind in ("ids", "idx"):
+            with contextlib.suppress(OSError):
+                self._fs.delete_file(f"{self._part}.{kind}")
+
 
 class Shard:
     """A shard's files: doc_ids, ends and the ids of a document."""
 
     def __init__(self, path: str):
-        self._fs, self._path = _at(path)
+        self._fs, self._path = file_system(path)
         with self._fs.open_input_stream(f"{self._path}.idx") as f:
             head = f.read(24)
             if head[:4] != MAGIC:
@@ -151,8 +158,12 @@ class Shard:
     def n_docs(self) -> int:
         return self.ends.n
 
+    def doc_id(self, i: int) -> int | None:
+        """Id of document i, by select."""
+        return None if i < self._nulls else self._docs.select(i - self._nulls) + self._first
+
     def doc_ids(self) -> list[int | None]:
-        return [None] * self._nulls + (self._docs.values() + self._first).tolist()
+        return [self.doc_id(i) for i in range(self.n_docs)]
 
     def bounds(self, i: int) -> tuple[int, int]:
         """Where document i starts and ends, by select."""
@@ -165,11 +176,12 @@ class Shard:
             return np.frombuffer(f.read((b - a) * self.width), f"<u{self.width}").astype("<u4")
 
     def each(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """Every document in order: id, start, ids."""
+        """Every document in order: id, start, ids. Where each ends is found by select."""
         at = 0
         with self._fs.open_input_stream(f"{self._path}.ids") as f:
-            for doc, end in zip(self.doc_ids(), self.ends.values().tolist(), strict=True):
-                yield doc, at, np.frombuffer(f.read((end - at) * self.width), f"<u{self.width}").astype("<u4")
+            for i in range(self.n_docs):
+                end = self.ends.select(i)
+                yield self.doc_id(i), at, np.frombuffer(f.read((end - at) * self.width), f"<u{self.width}").astype("<u4")
                 at = end
 
 
@@ -191,16 +203,24 @@ def _encode(path: str, end_id: int, width: int, cuts: list[int]):
 
 def _write(folder: str, width: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, shard, done = None, None, []
-        for batch in batches:
-            for s, doc, ids in zip(*(batch.column(c).to_pylist() for c in ENCODED.names), strict=True):
-                if s != shard:
-                    if writer:
-                        done.append((shard, f"{folder}/{shard:08d}", *writer.close()))
-                    writer, shard = ShardWriter(folder, s, width), s
-                writer.add(doc, ids)
-        if writer:
-            done.append((shard, f"{folder}/{shard:08d}", *writer.close()))
+        writers: list[ShardWriter] = []
+        done: list[tuple[int, str, int, int]] = []
+        shard = None
+        try:
+            for batch in batches:
+                for s, doc, ids in zip(*(batch.column(c).to_pylist() for c in ENCODED.names), strict=True):
+                    if s != shard:
+                        if writers:
+                            done.append((shard, writers[-1].path, *writers[-1].close()))
+                        writers.append(ShardWriter(folder, s, width))
+                        shard = s
+                    writers[-1].add(doc, ids)
+            if writers:
+                done.append((shard, writers[-1].path, *writers[-1].close()))
+        except BaseException:
+            for writer in writers:
+                writer.discard()
+            raise
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=MANIFEST.names)
 
