@@ -86,29 +86,29 @@ def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "words": [words.tolist()]})
 
 
-def repeat_filter(dg: DataFrame, n_rows: int, bits_per_key: int, max_filter_bytes: int) -> tuple[DataFrame, int]:
+def repeat_filter(dg: DataFrame, n_rows: int, bits_per_key: int) -> tuple[DataFrame, int]:
     """The plane of bits that two keys or more have set, a row for each block, and the number of blocks.
 
-    It takes bits_per_key bits for each row, but never more than max_filter_bytes in all; beyond that more rows shuffle, and results stay the same.
+    It takes bits_per_key bits for each row, so it tells as much at any size.
     """
-    most = max(1, max_filter_bytes * 8 >> BLOCK_BITS)
-    n_blocks = max(1, min(most, -(-n_rows * bits_per_key >> BLOCK_BITS)))
+    n_blocks = max(1, -(-n_rows * bits_per_key >> BLOCK_BITS))
     marks = dg.select("h1", "h2").mapInArrow(tidy(_marks(n_blocks), 10_000), fields(("block", T.LongType()), ("once", T.BinaryType()), ("twice", T.BinaryType())))
     planes = marks.groupBy("block").applyInPandas(_merge, fields(("block", T.LongType()), ("words", T.ArrayType(T.LongType()))))
     return planes, n_blocks
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_key: int = 16, max_filter_bytes: int = 64 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_key: int = 16, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without ASCII white space. Of equal texts the row with the most code points stays, then the smallest id; a null id comes after all others.
-    A null text counts as empty, so all null, empty and blank texts are one group. Rows that repeat an id and a text are all counted and all marked kept where their id is the one kept. An empty table gives an empty result. Other columns are not read.
+    The filter is broadcast up to max_broadcast_bytes; a larger one is dealt by block, and digest rows are sent to their block (AQE splits a block that many rows hit). A null text counts as empty, so all null, empty and blank texts are one group. Rows that repeat an id and a text are all counted and all marked kept where their id is the one kept. An empty table gives an empty result. Other columns are not read.
     """
     dg = written(digests(docs, id_col, text_col), "digests")
     n_rows = dg.count()
-    planes, n_blocks = repeat_filter(dg, n_rows, bits_per_key, max_filter_bytes)
+    planes, n_blocks = repeat_filter(dg, n_rows, bits_per_key)
     planes = written(planes, "planes")
-    probe = dg.withColumn("block", F.col("h1") % F.lit(n_blocks)).join(F.broadcast(planes), "block", "left")
+    planes = F.broadcast(planes) if n_blocks << BLOCK_BITS - 3 <= max_broadcast_bytes else planes
+    probe = dg.withColumn("block", F.col("h1") % F.lit(n_blocks)).join(planes, "block", "left")
     hits = [F.getbit(F.element_at("words", ((at := F.shiftrightunsigned("h2", 16 * i).bitwiseAND(F.lit(0xFFFF))) / 64).cast("int") + 1), (at % 64).cast("int")) == 1 for i in range(PROBES)]
     flagged = hits[0]
     for hit in hits[1:]:

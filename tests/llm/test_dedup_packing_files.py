@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,8 +50,8 @@ def test_dedup_against_brute_force(spark):
     for i, t in rows:
         groups.setdefault(norm[i], []).append((-len(t or ""), i))
     want = sorted((i, min(groups[norm[i]])[1], len(groups[norm[i]]), min(groups[norm[i]])[1] == i, hashlib.sha256(norm[i].encode()).hexdigest()) for i, _ in rows)
-    for bits in (16, 1):  # with a filter that is far too small more rows shuffle, and nothing else changes
-        got = exact_dedup.exact_dedup(frame(spark, rows).repartition(5), bits_per_key=bits, max_filter_bytes=8192)
+    for bits, most in ((16, 64 << 20), (1, 8192), (4096, 0)):  # with a filter that is far too small more rows shuffle, one of many blocks is not broadcast; nothing else changes
+        got = exact_dedup.exact_dedup(frame(spark, rows).repartition(5), bits_per_key=bits, max_broadcast_bytes=most)
         assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())) == want
 
 
@@ -63,7 +64,7 @@ def test_dedup_odd_rows(spark):
 def test_few_rows_pass_the_filter(spark):
     rows = [(i, f"text {i}") for i in range(2000)] + [(5000, "text 7")]
     dg = exact_dedup.digests(frame(spark, rows))
-    planes, n = exact_dedup.repeat_filter(dg, 2001, 16, 1 << 20)
+    planes, n = exact_dedup.repeat_filter(dg, 2001, 16)
     words = {r["block"]: np.array(r["words"], np.int64).view(np.uint64) for r in planes.collect()}
     hit = 0
     for r in dg.collect():
@@ -115,6 +116,13 @@ def test_packing(spark, plain):
     assert used / sum({x["sequence_id"]: x["padded_to"] for x in rows}.values()) > 0.95
 
 
+def test_equal_rows_are_dealt_to_many_groups(spark):
+    """A thousand empty texts without an id, a third of all rows, make no large group."""
+    docs = [(None, None)] * 1000 + [(i, f"text {i}") for i in range(2000)]
+    rows = packing.pack(frame(spark, docs).repartition(4), PATH, window=64, group_rows=100).withColumn("g", packing.F.col("sequence_id") % 30).groupBy("g").count().collect()
+    assert len(rows) == 30 and max(r["count"] for r in rows) < 200
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=80))
 def test_best_fit_is_the_plain_one(lengths):
@@ -170,3 +178,36 @@ def test_token_files_round_trip(spark, plain, tmp_path, per_shard):
 def test_token_files_empty(spark, tmp_path):
     manifest = token_files.write_token_files(frame(spark, []), f"file://{tmp_path}/none", PATH)
     assert manifest.count() == 0 and token_files.read_token_files(manifest).count() == 0
+
+
+def test_a_write_that_is_run_again(spark, plain, tmp_path):
+    """Every task fails after it has written; the next attempt writes files of its own, and the manifest names those alone."""
+    import os
+
+    folder, marks = f"file://{tmp_path}/again", str(tmp_path)
+    write = token_files._write(folder, 2)
+
+    def once(batches):
+        out = list(write(batches))
+        shards = [s for b in out for s in b.column("shard").to_pylist()]
+        mark = f"{marks}/tried-{shards}"
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("lost")
+        yield from out
+
+    rows = [(0, i, np.arange(i + 1, dtype="<u2").tobytes()) for i in range(5)]
+    try:
+        manifest = spark.createDataFrame(rows, token_files.ENCODED).coalesce(1).mapInArrow(once, token_files.MANIFEST).collect()
+    except Exception:  # local tasks are tried once
+        manifest = spark.createDataFrame(rows, token_files.ENCODED).coalesce(1).mapInArrow(once, token_files.MANIFEST).collect()
+    assert len(manifest) == 1 and [(d, a, len(t)) for d, a, t in token_files.Shard(manifest[0]["path"]).each()] == [(0, 0, 1), (1, 1, 2), (2, 3, 3), (3, 6, 4), (4, 10, 5)]
+    assert len({f.split(".")[0] for f in os.listdir(f"{tmp_path}/again")}) == 2
+
+    def broken(batches):
+        yield from batches
+        raise OSError("the stream breaks off")
+
+    with pytest.raises(OSError):
+        list(token_files._write(f"file://{tmp_path}/broken", 2)(broken(iter([pa.RecordBatch.from_pylist([{"shard": 0, "doc_id": 1, "ids": b"ab"}], schema=pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())]))]))))
+    assert os.listdir(f"{tmp_path}/broken") == []
