@@ -18,11 +18,24 @@ from sievewright.llm.common import table, written
 MOST_BROADCAST = 32 << 20
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, broadcast where their number proves them small."""
+    return F.broadcast(rows) if rows.count() * 16 <= MOST_BROADCAST else rows
+
+
 def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is not among ids; a row without an id stays. The ids are counted: where they are few, the texts do not move."""
-    ids = written(ids.select("doc_id").filter("doc_id IS NOT NULL"), "dropped")
-    small = F.broadcast(ids) if ids.count() * 16 <= MOST_BROADCAST else ids
-    return docs.join(small, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of docs whose id is not among ids. The ids are counted: where they are few, the texts do not move."""
+    return docs.join(_few(written(ids, "dropped")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _by_id(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that their id tells from all others, and the rest, which repeat an id or have none; None if there is no such row."""
+    repeated = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs, None
+    some = _few(repeated)
+    odd = docs.join(some, docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi")
+    return docs.filter("doc_id IS NOT NULL").join(_few(repeated.filter("doc_id IS NOT NULL")), "doc_id", "left_anti").select(*docs.columns), odd.select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +45,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts. Rows that repeat an id go only where none of them is kept."""
-    judged = exact_dedup.exact_dedup(docs)
-    return _drop(docs, judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept"))
+    """One row of each group of equal texts, though rows may repeat an id or have none: of those that could stay alike, one with the longest text, then the least hash of it."""
+    judged = written(exact_dedup.exact_dedup(docs), "judged")
+    plain, odd = _by_id(docs)
+    kept = _drop(plain, judged.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    if odd is None:
+        return kept
+    text = F.coalesce("text", F.lit(""))
+    keyed = odd.withColumn("_sha", F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256))
+    stays = judged.filter("kept").select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")).distinct()
+    could = keyed.join(stays, "_sha").filter(F.col("doc_id").eqNullSafe(F.col("_keep")))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    return kept.unionByName(could.groupBy("_sha").agg(F.min_by(row, F.struct(-F.length(text), F.xxhash64(text))).alias("r")).select("r.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones, that with the smallest id. Rows that repeat an id go only where none of them is kept."""
-    judged = ngram_join.jaccard_join(docs).filter("doc_id IS NOT NULL")
-    return _drop(docs, judged.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("kept")).filter("NOT kept"))
+    """One row of each component of similar documents, that with the smallest id; one without an id stays only where no member has one. Rows that repeat an id are told apart by a hash of id and text; such rows with one text are one."""
+    plain, odd = _by_id(docs)
+    if odd is None:
+        judged = ngram_join.jaccard_join(docs)
+        return _drop(docs, judged.filter("component_id <> doc_id").select("doc_id"))
+    odd = written(odd.withColumn("_key", F.xxhash64("doc_id", "text")).dropDuplicates(["_key"]), "odd")
+    every = plain.select(F.col("doc_id").alias("_key"), "text").unionByName(odd.select("_key", "text"))
+    judged = ngram_join.jaccard_join(every, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    # ids of the odd rows; all others are keys themselves
+    ids = odd.select("_key", F.lit(True).alias("odd"), F.col("doc_id").alias("own"))
+    named = judged.join(_few(ids), "_key", "left").withColumn("id", F.when(F.col("odd"), F.col("own")).otherwise(F.col("_key")))
+    first = named.groupBy("component_id").agg(F.min_by("_key", F.struct(F.col("id").isNull(), "id", "_key")).alias("first"))
+    gone = written(named.join(first, "component_id").filter("_key <> first").select("_key", "odd"), "gone")
+    kept = _drop(plain, gone.filter("odd IS NULL").select(F.col("_key").alias("doc_id")))
+    return kept.unionByName(odd.join(_few(gone.filter("odd").select("_key")), "_key", "left_anti").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
