@@ -48,22 +48,23 @@ def hierarchical_mass(rows: DataFrame, family_mass: dict[str, float], generator_
     return keyed.join(masses, ["_label", "_family", "_member"]).drop("_label", "_family", "_member").withColumn("weight", F.col("row_mass") / views)
 
 
-def weighted_draw(rows: DataFrame, key: str, weight: str, n: int, seed: int | str) -> DataFrame:
-    """n draws with replacement: uniform numbers from digests, each matched to the row whose stretch of the running weight holds it.
+def weighted_draw(rows: DataFrame, key: str, weight: str, n: int, seed: int | str, bucket_rows: int = 100_000) -> DataFrame:
+    """draw, key: n draws with replacement, uniform numbers from digests, each matched to the row whose stretch of the running weight holds it.
 
-    Rows and draws are cut into cells of the unit interval, so the match is an equi-join on the cell and not a nested loop; the running weight is summed per bucket of a hash and then across buckets.
+    Rows lie in order of a bucket, the first hex digits of their key's digest, and then of the key. There are so many digits, two at least, that a bucket has about bucket_rows rows; the running weight is summed inside buckets and then across them. The unit interval is cut into as many cells as there are rows, 4096 at least, so that a draw meets a few rows by an equi-join on the cell.
     """
     from ..functions.identity import stable_digest, uniform
 
-    # a bounded number of buckets, each with its own running sum; the order of rows is by bucket and key
-    bucketed = rows.select(key, F.col(weight).cast("double").alias("_w"), F.pmod(F.xxhash64(key), F.lit(256)).alias("_b")).filter("_w > 0")
+    n_rows = rows.count()
+    digits = max(2, math.ceil(math.log(max(1, n_rows / bucket_rows), 16)))
+    bucketed = rows.select(key, F.col(weight).cast("double").alias("_w"), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits).alias("_b")).filter("_w > 0")
     before = bucketed.groupBy("_b").agg(F.sum("_w").alias("_s"))
-    order = Window.orderBy("_b")
-    before = before.select("_b", (F.sum("_s").over(order) - F.col("_s")).alias("_start"), F.sum("_s").over(Window.partitionBy()).alias("_total"))
+    before = before.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_start"), F.sum("_s").over(Window.partitionBy()).alias("_total"))
     inside = F.sum("_w").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     high = (F.col("_start") + F.col("_in")) / F.col("_total")
-    runs = bucketed.withColumn("_in", inside).join(F.broadcast(before), "_b").select(key, (high - F.col("_w") / F.col("_total")).alias("low"), high.alias("high"))
-    cells = 4096
+    small = 16**digits <= 1 << 20
+    runs = bucketed.withColumn("_in", inside).join(F.broadcast(before) if small else before, "_b").select(key, (high - F.col("_w") / F.col("_total")).alias("low"), high.alias("high"))
+    cells = max(4096, n_rows)
     runs = runs.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
     draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform(stable_digest(seed, F.col("id"))) * 0.9999999999).alias("u")).withColumn("_cell", F.floor(F.col("u") * cells))
     return draws.join(runs, "_cell").filter("u >= low AND u < high").select("draw", key)

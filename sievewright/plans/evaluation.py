@@ -117,14 +117,34 @@ def tpr_at_fpr(spark, sf):
     return rounded(metrics.tpr_at_fpr(predictions(spark, sf), ["condition_index"], 0.05))
 
 
-@query("roc_grid")
+def _grid_sql(points: str, first: str, first_y: str, last_y: str) -> str:
+    """A curve of the clean condition on 201 even steps: at each the point there, or the line between its neighbours."""
+    return sql(
+        *CLEAN_BASE,
+        frame_sql("condition_index"),
+        CORNERS,
+        f"""
+found AS (SELECT x, min(y) AS lo, max(y) AS hi FROM ({points}) GROUP BY x),
+curve AS (SELECT * FROM found UNION ALL SELECT 0, {first}, {first} WHERE NOT EXISTS (SELECT 1 FROM found WHERE x = 0)),
+ends AS (SELECT {first_y} AS first_y, {last_y} AS last_y FROM frame),
+near AS (SELECT range AS i, max(x) FILTER (WHERE x < range / 200.0 - 1e-12) AS x0, arg_max(hi, x) FILTER (WHERE x < range / 200.0 - 1e-12) AS y0,
+                min(x) FILTER (WHERE x >= range / 200.0 - 1e-12) AS x1, arg_min(lo, x) FILTER (WHERE x >= range / 200.0 - 1e-12) AS y1, arg_min(hi, x) FILTER (WHERE x >= range / 200.0 - 1e-12) AS top
+         FROM range(201), curve GROUP BY range)""",
+        select="""
+SELECT 'clean' AS condition, i::INTEGER AS step, round(i / 200.0, 6) AS x,
+       round(CASE WHEN i = 0 THEN first_y WHEN i = 200 THEN last_y WHEN abs(x1 - i / 200.0) <= 1e-12 THEN top ELSE y0 + (i / 200.0 - x0) * (y1 - y0) / (x1 - x0) END::DOUBLE, 6) AS y
+FROM near, ends""",
+    )
+
+
+@query("roc_grid", _grid_sql("SELECT fpr AS x, tpr AS y FROM corner", "0", "0", "max(1)"))
 def roc_grid(spark, sf):
-    return metrics.roc_grid(predictions(spark, sf, clean_only=True), ["condition"])
+    return rounded(metrics.roc_grid(predictions(spark, sf, clean_only=True), ["condition"]))
 
 
-@query("pr_grid")
+@query("pr_grid", _grid_sql("SELECT cum_tp / total_p AS x, max(cum_tp / (cum_tp + cum_fp)) AS y FROM frame GROUP BY cum_tp / total_p", "1", "1", "max(total_p / (total_p + total_n))"))
 def pr_grid(spark, sf):
-    return metrics.pr_grid(predictions(spark, sf, clean_only=True), ["condition"])
+    return rounded(metrics.pr_grid(predictions(spark, sf, clean_only=True), ["condition"]))
 
 
 @query("sliced_recall", sql(*BASE, select="SELECT condition_index, generator_id, count(*) AS n, round(avg((pred >= 0.5)::INT), 6) AS recall, round(avg(pred), 6) AS mean_score FROM predictions WHERE label = 1 GROUP BY ALL"))
@@ -349,10 +369,23 @@ def temperature_fit(spark, sf):
     return stats.fit_views(rows, ["architecture"], temperature_only=True)
 
 
-@query("quality_features")
+@query("quality_features", sql("""
+px AS (SELECT vec_id, y, x, least(abs(embedding[8 * y + x + 1]), 1)::DOUBLE AS v FROM embeddings, (SELECT range AS y FROM range(8)), (SELECT range AS x FROM range(8))),
+steps AS (SELECT range - 1 AS s FROM range(3)),
+around AS (SELECT n.vec_id, sum(w) / 9 AS local, abs(sum(w) FILTER (WHERE abs(down) + abs(across) = 1) - 4 * any_value(p.v)) AS laplacian, any_value(p.v) AS v
+           FROM (SELECT vec_id, y, x, v FROM px) p JOIN (SELECT a.vec_id, a.y, a.x, b.v AS w, h.s AS down, k.s AS across FROM px a, steps h, steps k, px b
+                 WHERE b.vec_id = a.vec_id AND b.y = CASE a.y + h.s WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE a.y + h.s END AND b.x = CASE a.x + k.s WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE a.x + k.s END) n
+           ON n.vec_id = p.vec_id AND n.y = p.y AND n.x = p.x GROUP BY n.vec_id, p.y, p.x),
+slope AS (SELECT a.vec_id, (avg(abs(b.v - a.v)) FILTER (WHERE b.y = a.y) + avg(abs(b.v - a.v)) FILTER (WHERE b.x = a.x)) / 2 AS gradient
+          FROM px a JOIN px b ON a.vec_id = b.vec_id AND (b.y = a.y AND b.x = a.x + 1 OR b.x = a.x AND b.y = a.y + 1) GROUP BY a.vec_id),
+facts AS (SELECT vec_id, avg(laplacian) AS laplacian, avg(abs(v - local)) AS noise, stddev_pop(v) AS deviation FROM around GROUP BY vec_id)""", select="""
+SELECT vec_id, round(ln(1 + 100 * gradient), 6) AS gradient_energy, round(ln(1 + 100 * laplacian), 6) AS laplacian_energy, round(0::DOUBLE, 6) AS blockiness,
+       round(ln(1 + 100 * noise), 6) AS residual_noise, round(ln(1 + laplacian / greatest(gradient, 1e-6)), 6) AS resolution_proxy, round(ln(1 + 10 * deviation), 6) AS dynamic_range FROM facts JOIN slope USING (vec_id)"""))
 def quality_features(spark, sf):
+    """Of vectors as images of 8 x 8; none of these has a block edge inside."""
     rows = t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.least(F.greatest(F.abs(x), F.lit(0.0)), F.lit(1.0))).alias("pixels"))
-    return rows.select("vec_id", kernels.quality_features_udf("pixels", F.lit(8)).alias("features"))
+    made = rows.select("vec_id", kernels.quality_features_udf("pixels", F.lit(8)).alias("f"))
+    return rounded(made.select("vec_id", *[F.element_at("f", i).alias(name) for i, name in enumerate(kernels.QUALITY_FEATURES, 1)]))
 
 
 @query("perceptual_hash")

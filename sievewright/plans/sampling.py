@@ -167,7 +167,10 @@ def hierarchical_mass(spark, sf):
     return massed.select("sample_id", F.round("row_mass", 9).alias("row_mass"), F.round("weight", 9).alias("weight"))
 
 
-@query("weighted_draw")
+@query("weighted_draw", sql(MANIFEST, """
+w AS (SELECT sample_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY label, generator_id) AS w, substr(sha256(sample_id), 1, 2) AS b FROM manifest),
+runs AS (SELECT sample_id, (sum(w) OVER (ORDER BY b, sample_id) - w) / sum(w) OVER () AS low, sum(w) OVER (ORDER BY b, sample_id) / sum(w) OVER () AS high FROM w),
+draws AS (SELECT range AS draw, ('0x' || substring(""" + digest_sql("17", "range") + """, 1, 8))::BIGINT / 4294967295.0 * 0.9999999999 AS u FROM range(500))""", select="SELECT draw, sample_id FROM draws JOIN runs ON u >= low AND u < high"))
 def weighted_draw(spark, sf):
     rows = weights.inverse_frequency(manifest(spark, sf), "label", "generator_id")
     return weights.weighted_draw(rows, "sample_id", "weight", 500, 17)

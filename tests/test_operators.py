@@ -280,6 +280,32 @@ def test_hamming_join_finds_planted_pairs(spark):
     assert {v["victim"] for v in victims.collect()} == {100, 104}
 
 
+def test_fits_of_all_groups_at_once(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for g, (slope, shift, n) in {"a": (2.0, 0.5, 400), "b": (0.3, -1.0, 300), "c": (40.0, 0.0, 60), "one": (1.0, 0.0, 1)}.items():
+        x = np.round(r.normal(0, 2, n), 2)
+        y = (r.random(n) < 1 / (1 + np.exp(-(slope * x + shift)))).astype(int)
+        rows += [(g, float(a), int(b)) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame([*rows, ("a", None, 1), ("a", 0.0, None)], "g string, logit double, label int").repartition(5)
+    for only in (False, True):
+        got = {x["g"]: x for x in stats.fit_views(df, ["g"], temperature_only=only).collect()}
+        assert {g: x["n"] for g, x in got.items()} == {"a": 400, "b": 300, "c": 60, "one": 1}
+        for g in "abc":
+            own = [(a, b) for k, a, b in rows if k == g]
+            x, y = np.array([a for a, _ in own]), np.array([float(b) for _, b in own])
+
+            def loss(a, b, x=x, y=y):
+                return np.mean(np.logaddexp(0, a * x + b) - y * (a * x + b))
+
+            slope, intercept = stats.fit_platt(x, y, only)
+            assert loss(got[g]["slope"], got[g]["intercept"]) <= loss(slope, intercept) + (1e-7 if g != "c" else 1e-3)  # c is parted without error, so its slope has no bound
+            if g != "c":
+                assert abs(got[g]["slope"] - slope) < 1e-3 and abs(got[g]["intercept"] - intercept) < 1e-3
+            assert not only or got[g]["intercept"] == 0
+    assert stats.fit_views(df.limit(0), ["g"]).count() == 0
+
+
 def test_hamming_join_across_splits(spark):
     base = [(i, (i * 0x9E3779B97F4A7C15) % (1 << 63)) for i in range(40)]
     rows = [(i, b, i % 2) for i, b in base] + [(100 + i, b ^ 3, i % 2) for i, b in base[:10]] + [(200 + i, b ^ 5, 1 - i % 2) for i, b in base[:10]] + [(300 + i, b, 1 - i % 2) for i, b in base[:3]] + [(400 + i, b, i % 2) for i, b in base[:3]]
