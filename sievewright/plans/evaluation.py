@@ -316,8 +316,7 @@ def metric_reconcile(spark, sf):
 
 @query("snapshot_sql", sql(MANIFEST, select="SELECT architecture, count(*) AS rows, sum(byte_size)::BIGINT AS bytes FROM manifest GROUP BY architecture HAVING count(*) > 10"))
 def snapshot_sql(spark, sf):
-    manifest(spark, sf).createOrReplaceTempView("sievewright_manifest")
-    return spark.sql("SELECT architecture, count(*) AS rows, sum(byte_size) AS bytes FROM sievewright_manifest GROUP BY architecture HAVING count(*) > 10")
+    return spark.sql("SELECT architecture, count(*) AS rows, sum(byte_size) AS bytes FROM {manifest} GROUP BY architecture HAVING count(*) > 10", manifest=manifest(spark, sf))
 
 
 @query("slice_overlay", sql(*CLEAN_BASE, select="SELECT 'base' AS report, split, count(*) AS rows FROM predictions WHERE split <> 'validation' GROUP BY split UNION ALL SELECT 'overlay', split, count(*) FROM predictions WHERE split = 'validation' GROUP BY split"))
