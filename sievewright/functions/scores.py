@@ -83,7 +83,8 @@ def smooth_l1(d: Column) -> Column:
 def phash_bits(values: Column) -> Column:
     """The 64 bits of a hash, as a long: is a value over the median of all but the first."""
     middle = F.element_at(F.array_sort(F.slice(values, 2, 63)), 32)
-    bits = F.array_join(F.transform(values, lambda x: F.when(x > middle, "1").otherwise("0")), "")
+    # the median is bound once: inside the inner function alone it would be sorted out again for every value
+    bits = F.element_at(F.transform(F.array(middle), lambda m: F.array_join(F.transform(values, lambda x: F.when(x > m, "1").otherwise("0")), "")), 1)
     return F.conv(bits, 2, -10).cast("long")
 
 
