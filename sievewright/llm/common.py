@@ -21,7 +21,7 @@ LOCAL_FALLBACK = "file:///tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Only a session that runs in one process may leave it unset, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or LOCAL_FALLBACK).rstrip("/")
 
