@@ -1,9 +1,9 @@
 """Ranking and threshold metrics of scored labels, per group, from one cumulative frame.
 
 Every curve metric starts from rows (group, score, positives, negatives): a
-partial aggregation that a map task does before anything shuffles. The running
-sums are a window over distinct scores, so ties count once and the window
-holds as many rows as there are distinct scores, not predictions.
+partial aggregation that a map task does before anything shuffles, so ties
+count once. Running sums are made inside stretches of the score, and what
+stands in the stretches above is added; so no task needs a whole group.
 """
 
 from __future__ import annotations
@@ -16,12 +16,26 @@ from pyspark.sql import functions as F
 from ..functions.identity import ratio
 
 
+#: Stretches of the score from 0 to 1; scores beyond have stretches of the same width.
+STRETCHES = 64
+
+
 def score_frame(scored: DataFrame, by: Sequence[str], score: str = "pred", label: str = "label") -> DataFrame:
     """by, score, tp, fp (rows of the score), cum_tp, cum_fp (of it and higher ones), total_p, total_n. Rows without a score or label are left out."""
-    steps = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) == 0).alias("fp"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*by)
-    return steps.withColumns({"cum_tp": F.sum("tp").over(down), "cum_fp": F.sum("fp").over(down), "total_p": F.sum("tp").over(everything), "total_n": F.sum("fp").over(everything)})
+    keys = list(by)
+    steps = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) == 0).alias("fp"))
+    steps = steps.withColumn("_stretch", F.floor(F.col("score") * STRETCHES))
+    # a row for each group and stretch
+    above = Window.partitionBy(*keys).orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    sums = steps.groupBy(*keys, "_stretch").agg(F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"))
+    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_stretch").alias("_at"), F.coalesce(F.sum("_tp").over(above), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_fp").over(above), F.lit(0)).alias("_fp0"), F.sum("_tp").over(every).alias("total_p"), F.sum("_fp").over(every).alias("total_n"))
+    down = Window.partitionBy(*keys, "_stretch").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = steps.withColumns({"cum_tp": F.sum("tp").over(down), "cum_fp": F.sum("fp").over(down)})
+    same = F.col("_stretch") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return inside.join(sums, same).select(*keys, "score", "tp", "fp", (F.col("cum_tp") + F.col("_tp0")).alias("cum_tp"), (F.col("cum_fp") + F.col("_fp0")).alias("cum_fp"), "total_p", "total_n")
 
 
 def auroc_of(tp: str = "tp", fp: str = "fp", cum_tp: str = "cum_tp", p: str = "total_p", n: str = "total_n") -> Column:
