@@ -2,40 +2,25 @@
 
 Every curve metric starts from rows (group, score, positives, negatives): a
 partial aggregation that a map task does before anything shuffles, so ties
-count once. Running sums are made inside stretches of the score, and what
-stands in the stretches above is added; so no task needs a whole group.
+count once. Running sums and neighbours come from `scan`, so no task needs a whole group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import ratio
+from .scan import scanned
 
 
-#: Stretches of the score from 0 to 1; scores beyond have stretches of the same width.
-STRETCHES = 64
-
-
-def score_frame(scored: DataFrame, by: Sequence[str], score: str = "pred", label: str = "label") -> DataFrame:
-    """by, score, tp, fp (rows of the score), cum_tp, cum_fp (of it and higher ones), total_p, total_n. Rows without a score or label are left out."""
+def score_frame(scored: DataFrame, by: Sequence[str], score: str = "pred", label: str = "label", after: Mapping[str, str] | None = None) -> DataFrame:
+    """by, score, tp, fp (rows of the score), cum_tp, cum_fp (of it and higher ones), total_p, total_n; after names columns of the next lower score. Rows without a score or label are left out."""
     keys = list(by)
     steps = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) == 0).alias("fp"))
-    steps = steps.withColumn("_stretch", F.floor(F.col("score") * STRETCHES))
-    # a row for each group and stretch
-    above = Window.partitionBy(*keys).orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*keys)
-    sums = steps.groupBy(*keys, "_stretch").agg(F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"))
-    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_stretch").alias("_at"), F.coalesce(F.sum("_tp").over(above), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_fp").over(above), F.lit(0)).alias("_fp0"), F.sum("_tp").over(every).alias("total_p"), F.sum("_fp").over(every).alias("total_n"))
-    down = Window.partitionBy(*keys, "_stretch").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    inside = steps.withColumns({"cum_tp": F.sum("tp").over(down), "cum_fp": F.sum("fp").over(down)})
-    same = F.col("_stretch") == F.col("_at")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return inside.join(sums, same).select(*keys, "score", "tp", "fp", (F.col("cum_tp") + F.col("_tp0")).alias("cum_tp"), (F.col("cum_fp") + F.col("_fp0")).alias("cum_fp"), "total_p", "total_n")
+    return scanned(steps, keys, ["score"], running={"cum_tp": "tp", "cum_fp": "fp"}, totals={"total_p": "tp", "total_n": "fp"}, after=after, descending=True, at_most=scored)
 
 
 def auroc_of(tp: str = "tp", fp: str = "fp", cum_tp: str = "cum_tp", p: str = "total_p", n: str = "total_n") -> Column:
@@ -108,12 +93,8 @@ def balanced_threshold(scored: DataFrame, by: Sequence[str], score: str = "pred"
 
 def roc_points(scored: DataFrame, by: Sequence[str], score: str = "pred", label: str = "label") -> DataFrame:
     """Points of the ROC curve that are corners: those in the middle of an evenly spaced straight run are dropped, as common implementations do. (0, 0) is not among the rows."""
-    order = Window.partitionBy(*by).orderBy(F.desc("score"))
-    frame = score_frame(scored, by, score, label)
-    before = {c: F.coalesce(F.lag(c).over(order), F.lit(0)) for c in ("cum_tp", "cum_fp")}
-    after = {c: F.lead(c).over(order) for c in ("cum_tp", "cum_fp")}
-    straight = (after["cum_fp"] - 2 * F.col("cum_fp") + before["cum_fp"] == 0) & (after["cum_tp"] - 2 * F.col("cum_tp") + before["cum_tp"] == 0)
-    marked = frame.withColumn("straight", F.coalesce(straight, F.lit(False)))
+    frame = score_frame(scored, by, score, label, after={"tp_after": "tp", "fp_after": "fp"})
+    marked = frame.withColumn("straight", F.coalesce((F.col("tp_after") == F.col("tp")) & (F.col("fp_after") == F.col("fp")), F.lit(False)))
     return marked.filter(~F.col("straight")).select(*by, "score", F.try_divide("cum_fp", F.col("total_n").cast("double")).alias("fpr"), F.try_divide("cum_tp", F.col("total_p").cast("double")).alias("tpr"))
 
 
@@ -123,11 +104,11 @@ def tpr_at_fpr(scored: DataFrame, by: Sequence[str], target: float, score: str =
     return points.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("fpr") <= target, F.col("tpr"))), F.lit(0.0)).alias("tpr_at_fpr"))
 
 
-def curve_on_grid(points: DataFrame, by: Sequence[str], x: str, y: str, first: tuple[float, float], n: int = 201) -> DataFrame:
+def curve_on_grid(points: DataFrame, by: Sequence[str], x: str, y: str, first: tuple[float, float], n: int = 201, at_most: DataFrame | int | None = None) -> DataFrame:
     """Linear interpolation of points on n even steps from 0 to 1, as a join of each step with the stretch it lies in. Of points with the same x the last y counts. first: the point before all."""
-    order = Window.partitionBy(*by).orderBy(x, "y_low")
     ends = points.groupBy(*by, F.col(x).alias(x)).agg(F.min(y).alias("y_low"), F.max(y).alias("y_high"))
-    stretch = ends.select(*by, F.coalesce(F.lag(x).over(order), F.lit(first[0])).alias("x0"), F.coalesce(F.lag("y_high").over(order), F.lit(first[1])).alias("y0"), F.col(x).alias("x1"), F.col("y_low").alias("y1"), F.col("y_high").alias("y1_top"))
+    placed = scanned(ends, by, [x], before={"_x0": x, "_y0": "y_high"}, at_most=at_most)
+    stretch = placed.select(*by, F.coalesce("_x0", F.lit(first[0])).alias("x0"), F.coalesce("_y0", F.lit(first[1])).alias("y0"), F.col(x).alias("x1"), F.col("y_low").alias("y1"), F.col("y_high").alias("y1_top"))
     step = 1.0 / (n - 1)
     # a stretch makes its own grid steps: no join, no pairs that are thrown away
     low, high = F.ceil((F.col("x0") + 1e-12) / step), F.floor((F.col("x1") + 1e-12) / step)
@@ -139,7 +120,7 @@ def curve_on_grid(points: DataFrame, by: Sequence[str], x: str, y: str, first: t
 
 def roc_grid(scored: DataFrame, by: Sequence[str], n: int = 201) -> DataFrame:
     """ROC curve on an even grid, from (0, 0) to (1, 1)."""
-    grid = curve_on_grid(roc_points(scored, by), by, "fpr", "tpr", (0.0, 0.0), n)
+    grid = curve_on_grid(roc_points(scored, by), by, "fpr", "tpr", (0.0, 0.0), n, scored)
     start = scored.select(*by).distinct().select(*by, F.lit(0).alias("step"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     return grid.filter("step > 0").withColumn("y", F.when(F.col("step") == n - 1, 1.0).otherwise(F.col("y"))).unionByName(start)
 
@@ -149,7 +130,7 @@ def pr_grid(scored: DataFrame, by: Sequence[str], n: int = 201) -> DataFrame:
     frame = score_frame(scored, by).filter("total_p > 0")
     points = frame.select(*by, (F.col("cum_tp") / F.col("total_p")).alias("recall"), (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"), (F.col("total_p") / (F.col("total_p") + F.col("total_n"))).alias("base"))
     best = points.groupBy(*by, "recall").agg(F.max("precision").alias("precision"))
-    grid = curve_on_grid(best, by, "recall", "precision", (0.0, 1.0), n)
+    grid = curve_on_grid(best, by, "recall", "precision", (0.0, 1.0), n, scored)
     base = points.groupBy(*by).agg(F.max("base").alias("base"))
     inner = grid.filter((F.col("step") > 0) & (F.col("step") < n - 1))
     ends = base.select(*by, F.explode(F.array(F.struct(F.lit(0).alias("step"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y")), F.struct(F.lit(n - 1).alias("step"), F.lit(1.0).alias("x"), F.col("base").alias("y")))).alias("e")).select(*by, "e.step", "e.x", "e.y")
@@ -162,8 +143,7 @@ def pooled_auroc(scored: DataFrame, group: str, by: Sequence[str] = (), score: s
     The running number of negatives below each score is found once for each `by` and joined to the positives by score.
     """
     every = scored.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 0).alias("neg"))
-    up = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = every.withColumns({"below": F.coalesce(F.sum("neg").over(up), F.lit(0)), "total_n": F.sum("neg").over(Window.partitionBy(*by))})
+    below = scanned(every, by, ["score"], running={"upto": "neg"}, totals={"total_n": "neg"}, at_most=scored).withColumn("below", F.col("upto") - F.col("neg"))
     positives = scored.filter(F.col(label) == 1).groupBy(*by, group, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("pos"))
     joined = positives.join(below, [*by, "score"])
     return joined.groupBy(*by, group).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), (F.sum("pos") * F.max("total_n")).cast("double")).alias("auroc"))

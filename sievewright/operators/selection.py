@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import stable_digest
+from .scan import scanned
 
 
 def top_n_per_group(rows: DataFrame, group: str | Sequence[str], n: int | Column, *order: Column | str, most: int | None = None) -> DataFrame:
@@ -108,30 +109,20 @@ def representative(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return rows.groupBy(group).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(group, *[f"_r.{c}" for c in rest])
 
 
-def global_rank(rows: DataFrame, key: str, n_buckets: int = 256) -> DataFrame:
-    """rows with `position`, counted from 0 in order of a unique key, without bringing all rows to one task.
-
-    Bounds are taken from the keys that hash lowest; rows are ranked inside their bucket, and the counts of the buckets before it are added.
-    """
-    bounds = sorted(r[0] for r in rows.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key)).limit(n_buckets - 1).collect())
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    dealt = rows.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first()))
-    return dealt.withColumn("_in", inside).join(F.broadcast(offsets), "_bucket").withColumn("position", (F.col("_offset") + F.col("_in") - 1).cast("long")).drop("_bucket", "_in", "_offset")
+def global_rank(rows: DataFrame, key: str, n_rows: int | None = None) -> DataFrame:
+    """rows with `position`, counted from 0 in order of a unique key (null first), without bringing all rows to one task. n_rows: their number, if it is known."""
+    return scanned(rows, [], [key], rank="position", at_most=n_rows)
 
 
 def contiguous_shards(rows: DataFrame, n_shards: int, key: str) -> DataFrame:
     """Shard of each row in order of a unique key, where shard i holds positions N * i div k up to N * (i + 1) div k."""
-    n = max(1, rows.count())
-    return global_rank(rows, key).withColumn("shard", F.floor(((F.col("position") + 1) * n_shards - 1) / F.lit(n)).cast("int"))
+    n = rows.count()
+    return global_rank(rows, key, n).withColumn("shard", F.floor(((F.col("position") + 1) * n_shards - 1) / F.lit(max(1, n))).cast("int"))
 
 
 def byte_cap(rows: DataFrame, by: Sequence[str], size: str, cap: int, *order: str) -> DataFrame:
-    """Rows of each group until their sizes pass the cap."""
-    running = F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running_bytes", running).filter(F.col("running_bytes") <= cap)
+    """Rows of each group, in an order that is unique in it, until their sizes pass the cap."""
+    return scanned(rows, by, order, running={"running_bytes": size}).filter(F.col("running_bytes") <= cap)
 
 
 def whole_group_holdout(groups: list[tuple[str, str, int]], target: int, seed: int) -> list[str]:

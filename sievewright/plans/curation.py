@@ -10,6 +10,7 @@ from ..functions import scores as S
 from ..functions.identity import stable_digest
 from ..operators import audit, compare, dedup, joins, repair
 from ..operators.audit import Check, where
+from ..operators.scan import exact_percentiles
 from .analogues import CONDITIONS, MANIFEST, SOURCE, digest_sql, manifest, pred_sql, predictions, source_rows, sql, t
 from .registry import query
 
@@ -327,8 +328,9 @@ def split_profile(spark, sf):
     rows = manifest(spark, sf)
     dup = rows.groupBy("split", "sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("split").agg(F.count(F.lit(1)).alias("dup_groups"))
     size = F.col("byte_size")
-    profile = rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("generator_id").alias("generators"), F.count_distinct("architecture").alias("architectures"), F.sum(size).alias("bytes"), F.round(F.avg(size), 6).alias("mean_bytes"), F.round(F.median(size), 6).alias("median_bytes"), F.round(F.percentile(size, 0.95), 6).alias("p95_bytes"), F.concat(F.min(size).cast("string"), F.lit("-"), F.max(size).cast("string")).alias("size_range"))
-    return profile.join(F.broadcast(dup), "split", "left").withColumn("dup_groups", F.coalesce("dup_groups", F.lit(0)))
+    profile = rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("generator_id").alias("generators"), F.count_distinct("architecture").alias("architectures"), F.sum(size).alias("bytes"), F.round(F.avg(size), 6).alias("mean_bytes"), F.concat(F.min(size).cast("string"), F.lit("-"), F.max(size).cast("string")).alias("size_range"))
+    middle = exact_percentiles(rows, ["split"], "byte_size", {"median_bytes": 0.5, "p95_bytes": 0.95}).select("split", F.round("median_bytes", 6).alias("median_bytes"), F.round("p95_bytes", 6).alias("p95_bytes"))
+    return profile.join(middle, "split", "left").join(dup, "split", "left").withColumn("dup_groups", F.coalesce("dup_groups", F.lit(0)))
 
 
 @query("category_share", sql(MANIFEST, select="SELECT split, architecture, count(*) AS rows, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY split), 6) AS share_percent FROM manifest GROUP BY split, architecture"))
