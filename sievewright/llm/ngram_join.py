@@ -52,12 +52,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, chosen, documents, fields, give_back, mix64, tidy
-from .components import components
+from .links import SET, linked_components, named_by_component, small, with_class
 
 BITS = 56
 #: Documents of a chunk at most, so that a place in it takes two bytes.
@@ -68,8 +68,6 @@ CHUNK_TOKENS = 1 << 20
 FREQUENT = 32
 #: 64-bit words of a set's parity bitmap.
 WORDS = 4
-#: Where open buckets hold more pairs an entry than the first, rows try more leaders before all pairs are verified: each those of so many buckets, for so many rounds at most.
-PAIRS_AN_ENTRY, TRIES, STAR_ROUNDS = 1, 16, 8
 #: Documents of a chunk from which on a token's places stay with the chunk.
 HELD_AT_HOME = 8
 #: Tokens of a combination at most, and the ratio of the bounds of a class of sizes, in percent.
@@ -388,29 +386,6 @@ def _index(percent: int, frequent: int, n_docs: int):
     return index
 
 
-def _linked(percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb"))
-            ta, tb = (batch.column(c) for c in ("ta", "tb"))
-            out = []
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(ta[i].as_buffer(), "<u8"), np.frombuffer(tb[i].as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                if 100 * same >= percent * (na[i] + nb[i] - same):
-                    out.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
-
-    return verify
-
-
-def _similar_sizes(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
-
 def _may_link(a: str, b: str, percent: int):
     """A condition that every pair that links meets: sizes are near enough, and so are the sets by a lower bound of their difference, the bits in which their bitmaps differ and the tokens that each holds alone. a, b: prefixes of the columns n, alone and b0, b1, ..."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
@@ -420,15 +395,6 @@ def _may_link(a: str, b: str, percent: int):
     return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def _small(df: DataFrame, n_rows: int, row_bytes: int, most: int = 32 << 20) -> DataFrame:
-    return F.broadcast(df) if n_rows * row_bytes <= most else df
-
-
-def _meet(a: str, b: str):
-    """Whether rows of these sides of a key meet."""
-    return (F.col(a) == 0) | (F.col(a) != F.col(b))
-
-
 def profiles(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, part_tokens: int = 1 << 19) -> DataFrame:
     """A row for each document: row (unique), doc_id, n (set size), h1 and h2 (hash of the set); for those that may link also the tokens that other documents hold, with their classes of frequency."""
     rows = chosen(docs, id_col, text_col)
@@ -439,46 +405,8 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, percent: int, width: i
     return counted.groupBy("chunk").applyInArrow(_assemble(percent), PROFILE)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. pairs are distinct."""
-    left = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(tidy(_linked(percent)), fields(("a", T.LongType()), ("b", T.LongType())))
-
-
-#: What _may_link needs of a row, and a set by its hash.
+#: What _may_link needs of a row.
 SKETCH = ["n", "alone", *(f"b{i}" for i in range(WORDS))]
-SET = ["h1", "h2", "n"]
-
-
-def _open(shared: DataFrame, found: DataFrame, sketches: DataFrame, n_sketches: int) -> DataFrame:
-    """key, row, side, component and sketch of the rows of buckets that hold more than one component."""
-    now = shared.select("key", "row", "side").join(_small(found.withColumnRenamed("node", "row"), found.count(), 24), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    return now.join(open_keys, "key").join(_small(sketches, n_sketches, 32 + 8 * WORDS), "row")
-
-
-def _as(rows: DataFrame, prefix: str, *columns: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{prefix}{c}") for c in (*columns, *SKETCH)])
-
-
-def _more_stars(rest: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows of open buckets with leaders of another component: a bucket's leaders are two rows of different components that hash lowest in this turn, and a row tries those of TRIES of its buckets."""
-    hashed = rest.withColumn("h", F.xxhash64("row", "key", F.lit(turn)))
-    best = hashed.groupBy("key", "component").agg(F.min(F.struct("h", "row", "side", *SKETCH)).alias("r"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("r"))
-    leaders = best.withColumn("k", rank).filter("k <= 2").select("key", "component", "r.row", "r.side", *[f"r.{c}" for c in SKETCH])
-    mine = hashed.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("h", "key"))).filter(F.col("k") <= TRIES)
-    met = _as(mine, "x_", "row", "side", "component").join(_as(leaders, "y_", "row", "side", "component"), "key").filter((F.col("x_component") != F.col("y_component")) & _meet("x_side", "y_side") & _may_link("x_", "y_", percent))
-    return met.select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()
-
-
-def _with_class(meta: DataFrame, classes: DataFrame, n_rows: int, how: str) -> DataFrame:
-    """meta joined with columns of classes by set. Classes of a thousandth of all rows or more are at most a thousand: they are broadcast, so that no task gets all rows of one."""
-    large = F.col("copies") * 1000 >= n_rows
-    hot = meta.join(F.broadcast(classes.filter(large)), SET, "left")
-    rest = hot.filter("copies IS NULL").select(*meta.columns).join(classes.filter(~large), SET, how)
-    return hot.filter("copies IS NOT NULL").unionByName(rest.select(*hot.columns))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, frequent: int = FREQUENT) -> DataFrame:
@@ -497,48 +425,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # copies of a class but its first row stay out of the index
     eligible = all_docs.filter("tokens IS NOT NULL")
     copied = classes.filter("copies > 1").select(*SET, F.col("row").alias("first"), "copies")
-    copies = written(_with_class(eligible.select("row", *SET), copied, n_docs, "inner").filter("row <> first").select("row"), "copies")
-    sets = eligible.join(_small(copies, copies.count(), 16), "row", "left_anti")
+    copies = written(with_class(eligible.select("row", *SET), copied, n_docs, "inner").filter("row <> first").select("row"), "copies")
+    sets = eligible.join(small(copies, copies.count(), 16), "row", "left_anti")
     keys = sets.select("row", "n", "tokens", "classes").mapInArrow(tidy(_index(percent, frequent, n_docs)), KEYS)
     first = F.min(F.when(F.col("side") < 2, F.struct("row", "n")))
     leaders = keys.groupBy("key").agg(first.alias("first"), F.min("side").alias("s"), F.max("side").alias("t"), F.count(F.lit(1)).alias("members")).filter("members > 1 AND (t = 0 OR s < t)")
     shared = written(keys.join(leaders.select("key", F.col("first.row").alias("leader"), F.col("first.n").alias("leader_n")), "key"), "buckets")
 
-    first = shared.filter((F.col("row") != F.col("leader")) & (F.col("side") != 1)).filter(_similar_sizes("n", "leader_n", percent)).groupBy("row").agg(F.min("leader").alias("a")).select("a", F.col("row").alias("b"))
-    tried = written(first, "pairs")
-    links = written(verified(tried, eligible, percent), "links")
-    found = components(links, scratch=scratch)
-    sketches = eligible.select("row", *SKETCH)
-    n_sketches = eligible.count()
-    rest = written(_open(shared, found, sketches, n_sketches), "open")
-    for turn in range(STAR_ROUNDS):
-        cells = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = cells.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("entries")).first()
-        if left["pairs"] <= PAIRS_AN_ENTRY * left["entries"]:
-            break
-        pairs = written(_more_stars(rest, turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        got = written(verified(pairs, eligible, percent), "links")
-        tried, links = tried.unionByName(pairs), links.unionByName(got)
-        n_got, n_pairs = got.count(), pairs.count()
-        if n_got:
-            found = components(links, scratch=scratch)
-            rest = written(_open(rest, found, sketches, n_sketches), "open")
-        if 10 * n_got < n_pairs or 100 * n_got < left["entries"]:
-            break
-
-    # all pairs that share a bucket and are in different components still
-    met = _as(rest, "x_", "row", "side", "component").join(_as(rest, "y_", "row", "side", "component"), "key").filter((F.col("x_row") < F.col("y_row")) & (F.col("x_component") != F.col("y_component")) & _meet("x_side", "y_side") & _may_link("x_", "y_", percent))
-    pairs = met.select(F.col("x_row").alias("a"), F.col("y_row").alias("b")).distinct()
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(pairs, eligible, percent), "links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more), scratch=scratch)
-
-    # back to all documents: by class, then by component
-    of_class = classes.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("docs")).filter("docs > 1").drop("docs")
-    named = of_class.join(least, "component").select(*SET, "component_id", "copies")
-    every = _with_class(some.drop("row"), named, n_docs, "left").select("doc_id", "n", "component_id").unionByName(meta.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    found = linked_components(shared, eligible, SKETCH, lambda a, b: _may_link(a, b, percent), percent, scratch)
+    every = named_by_component(meta, classes, found, n_docs)
     return scratch.result(every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "joined")
 
 

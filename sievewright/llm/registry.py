@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, compression, decontaminate, exact_dedup, html_text, ngram_join, packing, token_files, toxicity, url_filter
+from . import chat, compression, decontaminate, exact_dedup, html_text, merkle, minmax, ngram_join, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_quality": compression.op8_quality,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_minmax_dedup": minmax.op11_minmax_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op2_url_filter": url_filter.SQL,
     "op3_chat_rotation": chat.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op11_minmax_dedup": minmax.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
