@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, compression, decontaminate, exact_dedup, html_text, merkle, minmax, ngram_join, packing, token_files, toxicity, url_filter
+from . import align, chat, compression, decontaminate, exact_dedup, html_text, merkle, minmax, ngram_join, packing, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_minmax_dedup": minmax.op11_minmax_dedup,
+    "op12_token_alignment": align.op12_token_alignment,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
