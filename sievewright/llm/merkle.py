@@ -155,7 +155,7 @@ SQL = f"""
 WITH RECURSIVE leaves AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS id
   FROM (SELECT doc_id, lang, sha256({_preimage_sql("n_chars")}) AS leaf,
-               CASE WHEN crc % 7 = 0 THEN sha256({_preimage_sql("n_chars + 1")}) ELSE sha256({_preimage_sql("n_chars")}) END AS seen
+               CASE WHEN doc_id IS NOT NULL AND crc % 7 = 0 THEN sha256({_preimage_sql("n_chars + 1")}) ELSE sha256({_preimage_sql("n_chars")}) END AS seen
         FROM (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
                                         lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc
               FROM documents))),

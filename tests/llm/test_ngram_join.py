@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from sievewright.llm import links
 from sievewright.llm import ngram_join as nj
 from sievewright.llm.components import components
 
@@ -60,7 +61,7 @@ def test_same_components_as_all_pairs(spark, seed, frequent):
 
 
 def test_more_star_rounds_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(nj, "PAIRS_AN_ENTRY", 0)
+    monkeypatch.setattr(links, "PAIRS_AN_ENTRY", 0)
     docs = corpus(5, 100, 5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, nj.jaccard_join(df, frequent=4).collect())) == brute(docs)
