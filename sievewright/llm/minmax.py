@@ -13,7 +13,10 @@ similarity 0.8 share none of the BANDS keys with probability
 (1 - 0.8**ROWS)**BANDS, under 4e-9. A bit of each value goes with a row as a
 sketch: sets of that similarity differ in a tenth of these bits, and a pair
 that differs in MOST_DIFFER of them, six standard deviations more, is left
-out. Every other candidate is verified on the full sets (links.py).
+out. So is one whose parity bitmaps (is the number of tokens that hash to a bit
+odd?) differ in more bits than the sets may in tokens, which is exact and tells
+small sets apart best. Every other candidate is verified on the full sets
+(links.py).
 
 Exact copies of a set become one class first, of which one row has keys.
 """
@@ -36,12 +39,12 @@ from .ngram_join import _each, _pack, _unpack, _Words, shingle_set
 #: Values of a key, and keys of a document: half of minima, half of maxima.
 ROWS, BANDS = 6, 64
 PERMUTATIONS = ROWS * BANDS // 2
-#: 64-bit words of a sketch, a bit for each value.
-WORDS = ROWS * BANDS // 64
+#: 64-bit words of a sketch, a bit for each value, and of a parity bitmap.
+WORDS, PARITY = ROWS * BANDS // 64, 6
 #: Differing bits of a sketch from which on a pair is left out; (1 - 0.8) / 2 of the bits are expected at similarity 0.8.
 MOST_DIFFER = 80
-SIGNED = fields(("row", T.LongType()), ("doc_id", T.LongType()), ("n", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("tokens", T.BinaryType()), ("keys", T.ArrayType(T.LongType())), *((f"s{i}", T.LongType()) for i in range(WORDS)))
-SKETCH = ["n", *(f"s{i}" for i in range(WORDS))]
+SIGNED = fields(("row", T.LongType()), ("doc_id", T.LongType()), ("n", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("tokens", T.BinaryType()), ("keys", T.ArrayType(T.LongType())), *((f"{c}{i}", T.LongType()) for c, words in (("s", WORDS), ("b", PARITY)) for i in range(words)))
+SKETCH = ["n", *(f"s{i}" for i in range(WORDS)), *(f"b{i}" for i in range(PARITY))]
 
 
 def _functions(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +82,15 @@ def sketches(signature: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
+def parity_bitmaps(mixed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parity bitmap of each set, in 64-bit words. mixed: mixed tokens of the sets one after the other."""
+    at = (mixed >> np.uint64(40)) % np.uint64(64 * PARITY)
+    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * (64 * PARITY) + at.astype(np.int64), minlength=len(sizes) * 64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sizes), -1), axis=1, bitorder="little").view("<i8")
+
+
 def _signed(width: int):
-    """Set size, hash of the set, packed tokens, keys and sketch of each document."""
+    """Set size, hash of the set, packed tokens, keys, sketch and parity bitmap of each document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
@@ -92,7 +102,7 @@ def _signed(width: int):
                 sets.append(shingle_set(text.lower().split(), width, cache))
             sizes = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(sizes)
-            hashes, sketch = np.zeros((len(sets), 2), np.uint64), np.zeros((len(sets), WORDS), np.int64)
+            hashes, sketch = np.zeros((len(sets), 2), np.uint64), np.zeros((len(sets), WORDS + PARITY), np.int64)
             keys = np.zeros(0, np.uint64)
             if len(some):
                 tokens = np.concatenate([sets[i] for i in some])
@@ -102,12 +112,12 @@ def _signed(width: int):
                     hashes[some, 0] = np.add.reduceat(mixed, starts)
                     hashes[some, 1] = np.add.reduceat(mix64(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
                 signature = signatures(tokens, starts)
-                sketch[some] = sketches(np.ascontiguousarray(signature))
+                sketch[some] = np.concatenate([sketches(np.ascontiguousarray(signature)), parity_bitmaps(mixed, sizes[some])], 1)
                 keys = band_keys(signature).ravel()
             ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
             arrays = [pa.array(row + np.arange(len(sets))), pa.array(ids, pa.int64()), pa.array(sizes), pa.array(hashes[:, 0].copy().view(np.int64)), pa.array(hashes[:, 1].copy().view(np.int64)), pa.array([_pack(s) or None for s in sets], pa.binary()), listed]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(sketch[:, i].copy()) for i in range(WORDS)], names=SIGNED.names)
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(sketch[:, i].copy()) for i in range(WORDS + PARITY)], names=SIGNED.names)
             row += len(sets)
 
     return sign
@@ -117,13 +127,18 @@ def _unpacked(data: pa.Scalar) -> np.ndarray:
     return _unpack(data.as_py())
 
 
+def _differing(a: str, b: str, name: str, words: int) -> Column:
+    bits = [F.bit_count(F.col(f"{a}{name}{i}").bitwiseXOR(F.col(f"{b}{name}{i}"))) for i in range(words)]
+    return sum(bits[1:], bits[0])
+
+
 def _may_link(percent: int):
-    """A condition on two rows: sizes are near enough, and so are the sketches."""
+    """A condition on two rows: sizes are near enough, parity bitmaps do not rule a link out, and sketches are near enough."""
 
     def condition(a: str, b: str) -> Column:
         na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-        differ = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
-        return (na * 100 >= nb * percent) & (nb * 100 >= na * percent) & (differ < MOST_DIFFER)
+        near = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+        return near & (_differing(a, b, "b", PARITY) * (100 + percent) <= (na + nb) * (100 - percent)) & (_differing(a, b, "s", WORDS) < MOST_DIFFER)
 
     return condition
 
