@@ -35,7 +35,7 @@ from .links import small
 from .tokens import _byte_alphabet
 
 #: Bytes of text that are aligned at once, and documents and links of a chunk, but for a last document.
-BATCH_BYTES, CHUNK_DOCS, CHUNK_LINKS = 1 << 20, 4096, 1 << 22
+BATCH_BYTES, CHUNK_DOCS, CHUNK_LINKS = 1 << 20, 4096, 1 << 20
 #: Signs from which on Unicode's classes differ between versions and libraries.
 _LATE = re.compile("[^\x00-\u02ff\u2010-\u2027\u20ac]")
 #: Splits a text as byte-level BPE does. A fixed value of the file's format.
@@ -59,8 +59,9 @@ class Tokens:
     byte_level: a file of the tokenizers library with byte-level BPE, which gets a space before the text; its merges run in tiktoken where every sign of a text is of a class that no version of Unicode disputes, in the library itself otherwise. pieces: a sentencepiece model, which adds the space.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], of_id: list[bytes]):
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], of_id: list[bytes], exact: bool = False):
         self.encode, self.of_id = encode, of_id
+        self.exact = exact  # the tokens of any text are its bytes after a space
         self.lengths = np.array([len(b) for b in of_id], np.int64)
 
 
@@ -79,11 +80,13 @@ def byte_level(path: str) -> Tokens:
     ranks = {b: i for i, b in enumerate(of_id) if i not in special}
     fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        spaced = [" " + t for t in texts]
-        return [library.encode(t, add_special_tokens=False).ids if _LATE.search(t) else fast.encode_ordinary(t) for t in spaced]
+    def one(text: str) -> np.ndarray:
+        if _LATE.search(text):
+            return np.array(library.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        return fast.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
 
-    return Tokens(encode, of_id)
+    # bytes are merged and never changed, unless a file normalises texts first
+    return Tokens(lambda texts: list(map(one, texts)), of_id, exact=library.normalizer is None)
 
 
 def pieces(path: str) -> Tokens:
@@ -91,7 +94,7 @@ def pieces(path: str) -> Tokens:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     of_id = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))]
-    return Tokens(lambda texts: model.encode(texts, num_threads=1), of_id)
+    return Tokens(lambda texts: [np.array(x, np.int64) for x in model.encode(texts, num_threads=1)], of_id)
 
 
 _LOADED: dict[str, Tokens] = {}
@@ -121,49 +124,52 @@ class Merge:
 def merged(texts: list[str], side_a: Tokens, side_b: Tokens) -> Merge:
     """Aligns texts. One that is empty, or whose tokens of a side are not a space and its bytes, has no tokens."""
     ids_a, ids_b = side_a.encode(texts), side_b.encode(texts)
-    of_a, of_b = side_a.of_id.__getitem__, side_b.of_id.__getitem__
+    none = np.zeros(0, np.int64)
     for i, text in enumerate(texts):
         whole = b" " + text.encode()
-        if not text or b"".join(map(of_a, ids_a[i])) != whole or b"".join(map(of_b, ids_b[i])) != whole:
-            ids_a[i], ids_b[i] = [], []
+        if not text or any(b"".join(map(side.of_id.__getitem__, ids.tolist())) != whole for side, ids in ((side_a, ids_a[i]), (side_b, ids_b[i])) if not side.exact):
+            ids_a[i], ids_b[i] = none, none
     n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    a, b = (np.fromiter((t for x in ids for t in x), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+    a, b = (np.concatenate([none, *ids]) for ids in (ids_a, ids_b))
     end_a, end_b = np.cumsum(side_a.lengths[a]), np.cumsum(side_b.lengths[b])
     # both are rising, so the place of an end among the other side's is one step of two pointers
     at = np.searchsorted(end_b, end_a)
-    both = end_b[np.minimum(at, len(end_b) - 1)] == end_a if len(end_b) else np.zeros(len(end_a), bool)
-    shared = end_a[both]
-    only = np.ones(len(end_b), bool)
-    only[at[both]] = False
+    both_a = end_b[np.minimum(at, len(end_b) - 1)] == end_a if len(end_b) else np.zeros(len(end_a), bool)
+    both_b = np.zeros(len(end_b), bool)
+    both_b[at[both_a]] = True
     # the union in order: an A end stands after all A ends before it and all B ends that are less and no A end
-    before = np.concatenate([[0], np.cumsum(only)])
-    ends = np.empty(len(end_a) + int(only.sum()), np.int64)
-    place_a = np.arange(len(end_a)) + before[at]
+    place_a = np.arange(len(end_a)) + np.concatenate([[0], np.cumsum(~both_b)])[at]
+    ends = np.empty(len(end_a) + int((~both_b).sum()), np.int64)
     ends[place_a] = end_a
-    rest = np.ones(len(ends), bool)
-    rest[place_a] = False
-    ends[rest] = end_b[only]
-    link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    ends_a, ends_b = np.zeros(len(ends), bool), np.ones(len(ends), bool)
+    ends_a[place_a] = True
+    ends[~ends_a] = end_b[~both_b]
+    ends_b[place_a[~both_a]] = False
+
+    def before(marks: np.ndarray) -> np.ndarray:
+        return np.cumsum(marks) - marks
+
     last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
     last_byte = np.concatenate([[0], end_a])[last_a]
-    docs = np.stack([last_a, last_b, np.searchsorted(shared, last_byte, side="right"), np.searchsorted(ends, last_byte, side="right"), last_byte], 1)
-    return Merge(a, b, link_a, link_b, ends, np.searchsorted(shared, end_a), np.searchsorted(shared, end_b), docs)
+    docs = np.stack([last_a, last_b, np.concatenate([[0], np.cumsum(both_a)])[last_a], np.searchsorted(ends, last_byte, side="right"), last_byte], 1)
+    return Merge(a, b, before(ends_a), before(ends_b), ends, before(both_a), before(both_b), docs)
 
 
-def digit_table(n_a: int, n_b: int) -> list[bytes]:
-    """Decimal text of each id and a sign after it, A ids first: at 2 n where more ids of the side follow, at 2 n + 1 at the end of a group's side."""
-    return [f"{i}{sign}".encode() for n, last in ((n_a, "|"), (n_b, ";")) for i in range(n) for sign in (",", last)]
+def digit_table(n_a: int, n_b: int) -> np.ndarray:
+    """Decimal text of each id and a sign after it, A ids first, filled up with zero bytes: at 2 n where more ids of the side follow, at 2 n + 1 at the end of a group's side."""
+    return np.array([f"{i}{sign}".encode() for n, last in ((n_a, "|"), (n_b, ";")) for i in range(n) for sign in (",", last)])
 
 
-def group_texts(m: Merge, table: list[bytes], n_a: int) -> list[bytes]:
+def group_texts(m: Merge, table: np.ndarray, n_a: int) -> list[bytes]:
     """a1,a2|b1;a3|b2,b3 of each text. table: of the sides' ids, n_a of A."""
     closes_a = np.append(m.group_a[1:] != m.group_a[:-1], True)[: len(m.a)]
     closes_b = np.append(m.group_b[1:] != m.group_b[:-1], True)[: len(m.b)]
-    code = np.concatenate([2 * m.a + closes_a, 2 * n_a + 2 * m.b + closes_b])
-    order = np.argsort(np.concatenate([2 * m.group_a, 2 * m.group_b + 1]), kind="stable")
-    said = list(map(table.__getitem__, code[order].tolist()))
+    in_a, in_b = np.bincount(m.group_a), np.bincount(m.group_b)
+    said = np.empty(len(m.a) + len(m.b), table.dtype)
+    said[np.arange(len(m.a)) + (np.cumsum(in_b) - in_b)[m.group_a]] = table[2 * m.a + closes_a]
+    said[np.arange(len(m.b)) + np.cumsum(in_a)[m.group_b]] = table[2 * n_a + 2 * m.b + closes_b]
     cuts = np.concatenate([[0], m.docs[:, 0] + m.docs[:, 1]]).tolist()
-    return [b"".join(said[x:y])[:-1] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [said[x:y].tobytes().replace(b"\0", b"")[:-1] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
