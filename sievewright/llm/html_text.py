@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -58,10 +59,11 @@ SAID, SEEN, LEARNED, TELLS = 5, 2, 400, 3
 #: Blocks and pages that the labelled pages of either kind are worth together, the pages at least; scales of the costs of tags that are tried, of which the largest counts that is worse than the best by no more than SAME.
 SAME, SHORT = 0.002, 5
 WORTH, LEAST_PAGES, SCALES = 300.0, 300, (0.005, 0.01, 0.02, 0.04, 0.08, 0.16, 0.32)
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(RAW)})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)|([^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+#: A comment or CDATA section, the start of a tag, a declaration, or text.
+_PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*(?:>|\Z)|([^<]+|<)", re.DOTALL)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_ATTRIBUTES = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -128,6 +130,52 @@ def tag_features(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(names))
 
 
+class Unclosed:
+    """Where a tag cannot end: what was learned from those that did not.
+
+    The search for a tag's end is outside quotes, in double or in single ones, and each quote changes these three states one into another, so two searches in different states never meet. A search that begins where one that failed was outside quotes fails as well; so no more than three searches of a page run to its end in vain.
+    """
+
+    def __init__(self) -> None:
+        self._failed: list[tuple[int, list[int], list[int]]] = []
+
+    def at(self, place: int) -> bool:
+        for start, opens, closes in self._failed:
+            i = bisect_left(opens, place) - 1
+            if place >= start and (i < 0 or place > closes[i]):
+                return True
+        return False
+
+    def add(self, page: str, place: int, end: int) -> None:
+        """A search from a place outside quotes came to the page's end, or to a quote that does not close."""
+        spans = [m.span() for m in _QUOTED.finditer(page, place, end)]
+        self._failed.append((place, [a for a, _ in spans] + [end], [b - 1 for _, b in spans] + [len(page)]))
+
+
+def parts(page: str) -> Iterator[tuple[int, int, str, str, str, str | None]]:
+    """Start, end, slash, name, attributes and text of each piece of a page: a tag has a name, a text is no null, and comments, declarations and elements with no text of their own are neither. A tag that never ends is text. Time grows with the page."""
+    at, n, unclosed = 0, len(page), Unclosed()
+    while at < n:
+        m = _PART.match(page, at)
+        end, slash, name, text = m.end(), m[1] or "", m[2] or "", m[3]
+        if name:
+            close = n if unclosed.at(end) else _ATTRIBUTES.match(page, end).end()
+            if close < n and page[close] == ">":
+                attributes, end = page[end:close], close + 1
+                if not slash and name.lower() in _RAW_END:
+                    over = _RAW_END[name.lower()].search(page, end)
+                    end, name = over.end() if over else n, ""
+                yield at, end, slash, name, attributes, None
+            else:
+                if not unclosed.at(end):
+                    unclosed.add(page, end, close)
+                end = at + 1
+                yield at, end, "", "", "", "<"
+        else:
+            yield at, end, "", "", "", text
+        at = end
+
+
 def read(page: str) -> Page:
     """A page's items, in one pass. The work grows with the page, however deep its elements are: each is opened and closed once, and whether one of a name is open is known by count."""
     items: list[Block | str] = []
@@ -160,9 +208,8 @@ def read(page: str) -> Page:
         around.append((features, first, len(blocks)))
         return name
 
-    for m in _TOKEN.finditer(page):
-        if m[5] is not None:
-            text = m[5]
+    for _, _, slash, tag, attributes, text in parts(page):
+        if text is not None:
             if here is None:
                 here = Block([], solid[-1], under)
             if BEGIN in text or END in text:
@@ -176,9 +223,9 @@ def read(page: str) -> Page:
             here.words += n
             if is_open["a"]:
                 here.linked += n
-        elif m[3] is not None:
-            name = m[3].lower()
-            if m[2]:
+        elif tag:
+            name = tag.lower()
+            if slash:
                 if is_open[name]:
                     while pop() != name:
                         pass
@@ -205,7 +252,7 @@ def read(page: str) -> Page:
                 is_open[name] += 1
                 if name not in INLINE:
                     solid.append(name)
-                stack.append((name, tag_features(name, m[4]), len(blocks)))
+                stack.append((name, tag_features(name, attributes), len(blocks)))
     while stack:
         pop()
     finish()
@@ -280,22 +327,22 @@ def main_text(page: str | None, weights: Weights) -> str:
 def mark_article(page: str) -> str | None:
     """A page as a labelled one where it marks its content itself, with exactly one article element."""
     page = page.replace(BEGIN, " ").replace(END, " ")
-    opened = [m for m in _TOKEN.finditer(page) if (m[3] or "").lower() == "article"]
+    opened = [p for p in parts(page) if p[3].lower() == "article"]
     if len(opened) != 2 or opened[0][2] or not opened[1][2]:
         return None
-    a, b = opened[0].end(), opened[1].start()
+    a, b = opened[0][1], opened[1][0]
     return f"{page[:a]}{BEGIN}{page[a:b]}{END}{page[b:]}"
 
 
 def _labelled_tags(page: str) -> Iterator[tuple[str, bool]]:
     """Each tag, and whether it stands inside marked content."""
     inside = False
-    for m in _TOKEN.finditer(page):
-        if m[5] is not None:
-            at = max(m[5].rfind(BEGIN), m[5].rfind(END))
-            inside = m[5][at] == BEGIN if at >= 0 else inside
-        elif m[3] is not None:
-            yield ("<>"[bool(m[2])] + m[3].lower()), inside
+    for _, _, slash, name, _, text in parts(page):
+        if text is not None:
+            at = max(text.rfind(BEGIN), text.rfind(END))
+            inside = text[at] == BEGIN if at >= 0 else inside
+        elif name:
+            yield ("<>"[bool(slash)] + name.lower()), inside
 
 
 def _agreement(pages: list[tuple[Page, np.ndarray, float]], weights: Weights) -> float:
