@@ -293,7 +293,7 @@ CHAIN_RANGES = {
 def random_six(seed: int, profile: str = SIX_PROFILE) -> list[dict]:
     """All six transforms, each with a strength drawn from its range by the seed alone, in a fixed order."""
     if profile != SIX_PROFILE:
-        raise ValueError(f"Unknown strict_random_six profile: {profile}")
+        raise ValueError(f"there are no ranges of the name {profile!r}; {SIX_PROFILE!r} has some")
     rng = np.random.default_rng(seed)
     x = {k: float(rng.uniform(*r)) for k, r in SIX_RANGES.items()}
     return [
@@ -322,30 +322,54 @@ def chain(controls: dict[str, dict]) -> list[dict]:
     return steps
 
 
-def apply_transform(image: np.ndarray, name: str, params: dict, row: int = 0) -> np.ndarray:
-    """A condition's transform by name; noise and the random six take their seed plus the row's number, a composite applies its parts in turn."""
+def _unchanged(image: np.ndarray) -> np.ndarray:
+    return np.asarray(image, float)
+
+
+def _blurred(image: np.ndarray, sigma: float) -> np.ndarray:
+    return gaussian_blur(image, sigma) if sigma > 0 else _unchanged(image)
+
+
+def _cropped(image: np.ndarray, ratio: float | None = None, fraction: float | None = None) -> np.ndarray:
+    if (ratio is None) == (fraction is None):
+        raise ValueError("a crop takes a ratio or a fraction")
+    return center_crop(image, fraction if ratio is None else ratio)
+
+
+#: What each transform calls, and the kinds of its parameters; `seed` grows by the row's number.
+TRANSFORMS: dict[str, tuple[Callable[..., np.ndarray], dict[str, Callable]]] = {
+    "clean": (_unchanged, {}),
+    "center_crop": (_cropped, {"ratio": float, "fraction": float}),
+    "resize": (resize_round_trip, {"scale": float, "interpolation": str}),
+    "color_jitter": (color_jitter, {"brightness": float, "contrast": float, "saturation": float}),
+    "gaussian_blur": (_blurred, {"sigma": float}),
+    "gaussian_noise": (gaussian_noise, {"sigma": float, "seed": int}),
+    "jpeg": (jpeg_round_trip, {"quality": int, "subsampling": int}),
+    "harmonise": (harmonised, {"size": int, "quality": int, "subsampling": int}),
+}
+
+
+def steps_of(name: str, params: dict, row: int = 0) -> list[tuple[str, dict]]:
+    """The plain transforms that a condition stands for, with checked parameters. A composite is its parts in turn; the random six draw theirs from their seed and the row's number."""
     if name == "strict_random_six":
-        params = {"transforms": random_six(int(params.get("seed", 0)) + row, params.get("profile", SIX_PROFILE))}
-        row = 0
+        drawn = random_six(int(params.get("seed", 0)) + row, params.get("profile", SIX_PROFILE))
+        return [step for part in drawn for step in steps_of(part["name"], part["params"])]
     if "transforms" in params:
-        for part in params["transforms"]:
-            image = apply_transform(image, part["name"], part.get("params", {}), row)
-        return image
-    if name == "clean":
-        return np.asarray(image, float)
-    if name == "gaussian_blur":
-        return gaussian_blur(image, float(params["sigma"])) if float(params["sigma"]) > 0 else np.asarray(image, float)
-    if name == "gaussian_noise":
-        return gaussian_noise(image, float(params["sigma"]), int(params.get("seed", 0)) + row)
-    if name == "resize":
-        return resize_round_trip(image, float(params["scale"]), params.get("interpolation", "bicubic"))
-    if name == "color_jitter":
-        return color_jitter(image, **{k: float(v) for k, v in params.items()})
-    if name == "center_crop":
-        return center_crop(image, float(params["ratio"] if "ratio" in params else params["fraction"]))
-    if name == "jpeg":
-        return jpeg_round_trip(image, int(params["quality"]), int(params.get("subsampling", 2)))
-    raise ValueError(f"unknown transform {name}")
+        return [step for part in params["transforms"] for step in steps_of(part["name"], part.get("params", {}), row)]
+    if name not in TRANSFORMS:
+        raise ValueError(f"unknown transform {name}")
+    kinds = TRANSFORMS[name][1]
+    if unknown := params.keys() - kinds.keys():
+        raise ValueError(f"{name} has no parameters {sorted(unknown)}")
+    checked = {k: kinds[k](v) for k, v in params.items()}
+    return [(name, checked | ({"seed": checked.get("seed", 0) + row} if "seed" in kinds else {}))]
+
+
+def apply_transform(image: np.ndarray, name: str, params: dict, row: int = 0) -> np.ndarray:
+    """A condition's transform by name (TRANSFORMS, strict_random_six, or a composite with a list of `transforms`)."""
+    for step, checked in steps_of(name, params, row):
+        image = TRANSFORMS[step][0](image, **checked)
+    return image
 
 
 def augmentation_policy(seed: int, row: int, names: tuple[str, ...]) -> list[str]:

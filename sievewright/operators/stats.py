@@ -1,4 +1,4 @@
-"""Statistics that resample or iterate: bootstraps in NumPy, a group at a time; calibration fits as Newton steps over sums."""
+"""Statistics that iterate: calibration fits as Newton steps over sums."""
 
 from __future__ import annotations
 
@@ -6,13 +6,9 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "specificity", "f1", "auroc", "brier")
-
-
 def auroc_numpy(labels: np.ndarray, scores: np.ndarray, weights: np.ndarray | None = None) -> float:
     """Half credit for ties; weights are whole numbers of copies. nan for one class."""
     w = np.ones(len(labels)) if weights is None else weights.astype(float)
@@ -23,77 +19,6 @@ def auroc_numpy(labels: np.ndarray, scores: np.ndarray, weights: np.ndarray | No
     return float((pos * (below + neg / 2)).sum() / total) if total else float("nan")
 
 
-def metrics_numpy(labels: np.ndarray, scores: np.ndarray, threshold: float, copies: np.ndarray) -> np.ndarray:
-    hit = scores >= threshold
-    tp, fp = copies[(labels == 1) & hit].sum(), copies[(labels == 0) & hit].sum()
-    fn, tn = copies[(labels == 1) & ~hit].sum(), copies[(labels == 0) & ~hit].sum()
-
-    def share(a: float, b: float) -> float:
-        return a / b if b else 0.0
-
-    recall, specificity = share(tp, tp + fn), share(tn, tn + fp)
-    return np.array([share(tp + tn, copies.sum()), (recall + specificity) / 2, share(tp, tp + fp), recall, specificity, share(2 * tp, 2 * tp + fp + fn), auroc_numpy(labels, scores, copies), share((copies * (scores - labels) ** 2).sum(), copies.sum())])
-
-
-def _copies(labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """How often a stratified resample takes each row."""
-    out = np.zeros(len(labels), np.int64)
-    for y in (0, 1):
-        at = np.flatnonzero(labels == y)
-        if len(at):
-            out[at] = np.bincount(rng.integers(0, len(at), len(at)), minlength=len(at))
-    return out
-
-
-def bootstrap(scored: DataFrame, by: str, threshold: float = 0.5, rounds: int = 1000, seed: int = 0, ident: str = "sample_id", score: str = "pred", label: str = "label") -> DataFrame:
-    """Stratified bootstrap: by, metric, estimate, low and high (2.5 and 97.5 percent) of eight metrics. Rows are ordered by id first, so results do not depend on partitions. A group is one model on one test set, which is of bounded size."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident)
-        y, s = pdf[label].to_numpy(int), pdf[score].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        point = metrics_numpy(y, s, threshold, np.ones(len(y), np.int64))
-        drawn = np.stack([metrics_numpy(y, s, threshold, _copies(y, rng)) for _ in range(rounds)])
-        low, high = np.quantile(drawn, [0.025, 0.975], axis=0)
-        return pd.DataFrame({by: pdf[by].iloc[0], "metric": METRICS, "estimate": point, "low": low, "high": high})
-
-    return scored.select(by, ident, label, score).groupBy(by).applyInPandas(run, f"{by} string, metric string, estimate double, low double, high double")
-
-
-def paired_bootstrap(scored: DataFrame, by: str, first: str, second: str, threshold: float = 0.5, rounds: int = 1000, seed: int = 0, ident: str = "sample_id", label: str = "label") -> DataFrame:
-    """Differences second - first where each resample is scored by both."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident)
-        y, a, b = pdf[label].to_numpy(int), pdf[first].to_numpy(float), pdf[second].to_numpy(float)
-        rng = np.random.default_rng(seed)
-
-        def gap(c: np.ndarray) -> np.ndarray:
-            return metrics_numpy(y, b, threshold, c) - metrics_numpy(y, a, threshold, c)
-
-        drawn = np.stack([gap(_copies(y, rng)) for _ in range(rounds)])
-        low, high = np.quantile(drawn, [0.025, 0.975], axis=0)
-        return pd.DataFrame({by: pdf[by].iloc[0], "metric": METRICS, "delta": gap(np.ones(len(y), np.int64)), "low": low, "high": high})
-
-    return scored.select(by, ident, label, first, second).groupBy(by).applyInPandas(run, f"{by} string, metric string, delta double, low double, high double")
-
-
-def cohort_bootstrap(scored: DataFrame, by: str, cohort: str, names: Sequence[str], rounds: int = 1000, seed: int = 0, ident: str = "sample_id", score: str = "pred", label: str = "label") -> DataFrame:
-    """Difference of AUROC between two cohorts that are resampled by themselves."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pdf[pdf[cohort] == n].sort_values(ident) for n in names]
-        arrays = [(p[label].to_numpy(int), p[score].to_numpy(float)) for p in parts]
-        rng = np.random.default_rng(seed)
-        point = [auroc_numpy(y, s) for y, s in arrays]
-        drawn = np.array([[auroc_numpy(y, s, _copies(y, rng)) for y, s in arrays] for _ in range(rounds)])
-        gap = drawn[:, 1] - drawn[:, 0]
-        low, high = np.quantile(gap, [0.025, 0.975])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "delta_auroc": [point[1] - point[0]], "low": [low], "high": [high]})
-
-    return scored.select(by, cohort, ident, label, score).groupBy(by).applyInPandas(run, f"{by} string, delta_auroc double, low double, high double")
-
-
 def fit_platt(logits: np.ndarray, labels: np.ndarray, temperature_only: bool = False, steps: int = 100, least_slope: float = 1e-4) -> tuple[float, float]:
     """Slope and intercept of a logistic fit, by damped Newton steps; the slope stays positive. With temperature_only the intercept is zero."""
     slope, intercept = 1.0, 0.0

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import scores as S
-from ..operators import audit, compare, joins, metrics, stats
+from ..operators import audit, compare, joins, metrics, resample, stats
+from ..sources import images
 from . import analogues
-from .analogues import CONDITIONS, MANIFEST, manifest, pred_sql, predictions, t
+from .analogues import CONDITIONS, MANIFEST, digest_sql, manifest, pred_sql, predictions, t
 from .projections import TWO, both_scores
 from .registry import query
 
@@ -340,20 +341,101 @@ def acceptance(spark, sf):
 # Statistics and kernels
 
 
-@query("bootstrap_intervals")
+def _cells_sql(keys: str, scores: str = "pred", source: str = "predictions") -> str:
+    """Rows counted by their scores, and the totals of each of keys."""
+    return f"""
+cells AS (SELECT {keys}, {scores}, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM {source} GROUP BY ALL),
+totals AS (SELECT {keys}, sum(p) AS all_p, sum(n) AS all_n FROM cells GROUP BY ALL),
+poisson AS (SELECT c, list(total ORDER BY k) AS cdf
+            FROM (SELECT c, k, sum(exp(-c + k * ln(c) - lgamma(k + 1))) OVER (PARTITION BY c ORDER BY k) AS total FROM range(1, 65) t(c), range(0, 160) s(k)) GROUP BY c)"""
+
+
+def _drawn_sql(keys: str, scores: str, rounds: int = 1000) -> str:
+    """Each cell once a round, round 0 with its own counts."""
+
+    def one(count: str, tag: str) -> str:
+        digest = digest_sql("0", f"'{tag}'", *[c.strip() for c in f"{keys}, {scores}".split(",")], "block")
+        return f"""SELECT {keys}, {scores}, 0 AS round, {count} AS w FROM cells WHERE {count} > 0
+  UNION ALL
+  SELECT {keys}, {scores}, block * 4 + slot + 1 AS round, CASE WHEN {count} <= 64 THEN len(list_filter(cdf, lambda x: x < u)) ELSE greatest(0, floor({count} + sqrt({count}) * z + (z * z - 1) / 6 + 0.5))::BIGINT END AS w
+  FROM (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z
+        FROM (SELECT *, (('0x' || substring(digest, slot * 16 + 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS u, (('0x' || substring(digest, slot * 16 + 9, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS v
+              FROM (SELECT *, {digest} AS digest FROM cells, (SELECT range AS block FROM range({-(-rounds // 4)})) WHERE {count} > 0), range(4) r(slot))) LEFT JOIN poisson ON c = {count}
+  WHERE block * 4 + slot < {rounds}"""
+
+    return f"""
+drawn_p AS ({one("p", "1")}),
+drawn_n AS ({one("n", "0")})"""
+
+
+def _line_sql(keys: str) -> str:
+    """The metrics of each of keys and round, from drawn (keys, round, score, pos, neg)."""
+    on = ", ".join(["round", *[k.strip() for k in keys.split(",")]])
+    shares = {"recall": ("tp", "p", "all_p"), "fpr": ("fp", "n", "all_n"), "bpos": ("bp", "p", "all_p"), "bneg": ("bn", "n", "all_n")}
+    made = ", ".join(f"CASE WHEN {rows} = 0 THEN 0 WHEN {drawn} > 0 THEN {part} / {drawn} END AS {name}" for name, (part, drawn, rows) in shares.items())
+    tp, fp = "recall * all_p", "fpr * all_n"
+    rates = {
+        "accuracy": div(f"{tp} + all_n - {fp}", "(all_p + all_n)"), "balanced_accuracy": "(recall + CASE WHEN all_n = 0 THEN 0 ELSE 1 - fpr END) / 2", "precision": div(tp, f"({tp} + {fp})"), "recall": "recall", "specificity": "CASE WHEN all_n = 0 THEN 0 ELSE 1 - fpr END",
+        "f1": div(f"2 * {tp}", f"({tp} + {fp} + all_p)"), "auroc": "CASE WHEN p > 0 AND n > 0 THEN area / (p * n) END", "brier": div("bpos * all_p + bneg * all_n", "(all_p + all_n)"),
+    }
+    listed = " UNION ALL ".join(f"SELECT {on}, '{m}' AS metric, ({v})::DOUBLE AS value FROM sums" for m, v in rates.items())
+    return f"""
+line AS (SELECT *, sum(neg) OVER (PARTITION BY {on} ORDER BY score) - neg AS below FROM drawn),
+sums AS (
+  SELECT *, {made} FROM (
+    SELECT {on}, sum(pos)::DOUBLE AS p, sum(neg)::DOUBLE AS n, coalesce(sum(pos) FILTER (WHERE score >= 0.5), 0)::DOUBLE AS tp, coalesce(sum(neg) FILTER (WHERE score >= 0.5), 0)::DOUBLE AS fp,
+           sum(pos * (below + neg / 2.0::DOUBLE)) AS area, sum(pos * (1 - score) ** 2) AS bp, sum(neg * score ** 2) AS bn
+    FROM line GROUP BY {on}) JOIN totals USING ({keys})),
+metrics AS ({listed})"""
+
+
+def _interval_sql(keys: str, estimate: str, source: str) -> str:
+    q = ", ".join(f"round(quantile_cont(value, {s}) FILTER (WHERE round > 0) + {NUDGE}, 6) AS {n}" for n, s in (("low", 0.025), ("high", 0.975)))
+    return f"SELECT {keys}, round(max(value) FILTER (WHERE round = 0) + {NUDGE}, 6) AS {estimate}, {q} FROM {source} GROUP BY {keys}"
+
+
+def _summed_sql(keys: str) -> str:
+    """pos and neg of each score, from what was drawn of each label."""
+    return f"""
+drawn AS (SELECT {keys}, round, pred AS score, sum(pos) AS pos, sum(neg) AS neg
+          FROM (SELECT *, w AS pos, 0 AS neg FROM drawn_p UNION ALL SELECT *, 0 AS pos, w AS neg FROM drawn_n) GROUP BY ALL)"""
+
+
+@query("bootstrap_intervals", analogues.sql(*CLEAN_BASE, _cells_sql("condition"), _drawn_sql("condition", "pred"), _summed_sql("condition"), _line_sql("condition"), select=_interval_sql("condition, metric", "estimate", "metrics")))
 def bootstrap_intervals(spark, sf):
-    return stats.bootstrap(predictions(spark, sf, clean_only=True), "condition")
+    return rounded(resample.bootstrap(predictions(spark, sf, clean_only=True), "condition"))
 
 
-@query("paired_bootstrap")
+PAIRED = """
+drawn AS (SELECT condition, side, round, score, sum(pos) AS pos, sum(neg) AS neg
+          FROM (SELECT condition, round, w AS pos, 0 AS neg, unnest([{'side': -1, 'score': pred}, {'side': 1, 'score': pred_b}], recursive := true) FROM drawn_p
+                UNION ALL SELECT condition, round, 0 AS pos, w AS neg, unnest([{'side': -1, 'score': pred}, {'side': 1, 'score': pred_b}], recursive := true) FROM drawn_n) GROUP BY ALL)"""
+
+
+@query(
+    "paired_bootstrap",
+    analogues.sql(
+        *TWO, _cells_sql("condition", "pred, pred_b", "both_scores"), _drawn_sql("condition", "pred, pred_b"), PAIRED, _line_sql("condition, side").replace("USING (condition, side)", "USING (condition)"),
+        "gaps AS (SELECT condition, round, metric, CASE WHEN count(value) = 2 THEN sum(side * value) END AS value FROM metrics GROUP BY ALL)", select=_interval_sql("condition, metric", "delta", "gaps"),
+    ),
+)
 def paired_bootstrap(spark, sf):
-    return stats.paired_bootstrap(both_scores(spark, sf), "condition", "pred", "pred_b")
+    return rounded(resample.paired_bootstrap(both_scores(spark, sf), "condition", "pred", "pred_b"))
+
 
+COHORTS = "cohorts AS (SELECT *, CASE WHEN split = 'train' THEN 'seen' ELSE 'unseen' END AS cohort FROM predictions)"
 
-@query("cohort_bootstrap")
+
+@query(
+    "cohort_bootstrap",
+    analogues.sql(
+        *CLEAN_BASE, COHORTS, _cells_sql("condition, cohort", "pred", "cohorts"), _drawn_sql("condition, cohort", "pred"), _summed_sql("condition, cohort"), _line_sql("condition, cohort"),
+        "gaps AS (SELECT condition, round, CASE WHEN count(value) = 2 THEN sum(CASE WHEN cohort = 'unseen' THEN value ELSE -value END) END AS value FROM metrics WHERE metric = 'auroc' GROUP BY ALL)", select=_interval_sql("condition", "delta_auroc", "gaps"),
+    ),
+)
 def cohort_bootstrap(spark, sf):
     rows = predictions(spark, sf, clean_only=True).withColumn("cohort", F.when(F.col("split") == "train", "seen").otherwise("unseen"))
-    return stats.cohort_bootstrap(rows, "condition", "cohort", ["seen", "unseen"])
+    return rounded(resample.cohort_bootstrap(rows, "condition", "cohort", ["seen", "unseen"]))
 
 
 @query("platt_fit")
@@ -393,6 +475,22 @@ def perceptual_hash(spark, sf):
     return rows.select("vec_id", kernels.perceptual_hash_udf("pixels", F.lit(8)).alias("phash"))
 
 
+#: Conditions whose views are made twice.
+AUDITED = [
+    {"name": "clean"}, {"name": "jpeg", "params": {"quality": 50}}, {"name": "gaussian_noise", "params": {"sigma": 0.05, "seed": 3}}, {"name": "strict_random_six", "params": {"seed": 11}},
+    {"name": "chain", "params": {"transforms": kernels.chain({"resize": {"scale": 0.5}, "gaussian_noise": {"sigma": 0.02}})}}, {"name": "harmonise", "params": {"size": 16}},
+]
+
+
+@query("transform_audit", f"SELECT view::INTEGER AS view, count(*) AS views, 0::BIGINT AS mismatched FROM embeddings, range({len(AUDITED)}) r(view) GROUP BY view")
+def transform_audit(spark, sf):
+    """Vectors as gray images of 8 x 8, their views made twice."""
+    level = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor(F.least(F.abs(x), F.lit(1.0)) * 255)), 2, "0"))
+    rows = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(level, "")).alias("pixels"), F.lit("ok").alias("status"))
+    found = images.view_mismatches(rows, AUDITED, F.col("path").cast("long"))
+    return found.groupBy("view").agg(F.count(F.lit(1)).alias("views"), F.count_if(F.col("status") != "ok").alias("mismatched"))
+
+
 @query("branch_share", "SELECT vec_id, round(CASE WHEN t = 0 THEN 0 ELSE abs(a) / t END, 6) AS share_a, round(CASE WHEN t = 0 THEN 0 ELSE abs(b) / t END, 6) AS share_b FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, abs(embedding[1]::DOUBLE) + abs(embedding[2]::DOUBLE) AS t FROM embeddings)")
 def branch_share(spark, sf):
     from ..functions.identity import ratio

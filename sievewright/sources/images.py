@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -49,20 +48,55 @@ def describe(images: DataFrame) -> DataFrame:
     return good.withColumns({"sha256": F.sha2("pixels", 256), "_d": d}).select(*good.columns, "sha256", "_d.phash", "_d.features")
 
 
-def _view(matrix: Sequence[dict]):
-    @F.pandas_udf(T.StringType())
-    def digest(pixels: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series, position: pd.Series, view: pd.Series) -> pd.Series:
+def to_bytes(image: np.ndarray) -> bytes:
+    """The pixels of an image as to_array takes them: blue, green, red."""
+    flat = np.repeat(image[..., None], 3, 2) if image.ndim == 2 else image
+    return np.round(np.clip(flat, 0, 1)[..., ::-1] * 255).astype(np.uint8).tobytes()
+
+
+MADE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType()), T.StructField("intact", T.BooleanType())])
+
+
+def _made(matrix: Sequence[dict]):
+    @F.pandas_udf(MADE)
+    def make(pixels: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series, position: pd.Series, view: pd.Series) -> pd.DataFrame:
         out = []
         for p, w, h, c, row, v in zip(pixels, width, height, channels, position, view, strict=True):
-            spec = matrix[int(v)]
-            made = kernels.apply_transform(to_array(p, w, h, c), spec["name"], spec.get("params") or {}, int(row))
-            out.append(hashlib.sha256(np.round(made * 255).astype(np.uint8).tobytes()).hexdigest())
-        return pd.Series(out)
+            spec, source = matrix[int(v)], to_array(p, w, h, c)
+            kept = source.copy()
+            image = kernels.apply_transform(source, spec["name"], spec.get("params") or {}, int(row))
+            out.append((image.shape[1], image.shape[0], to_bytes(image), bool((source == kept).all())))
+        return pd.DataFrame(out, columns=["width", "height", "pixels", "intact"])
 
-    return digest
+    return make
 
 
-def all_views(images: DataFrame, matrix: Sequence[dict], position: Column) -> DataFrame:
-    """Each image under each condition of the matrix, in order; noise takes its seed plus the image's position. Gives path, view and the digest of the transformed pixels."""
+def transformed(images: DataFrame, matrix: Sequence[dict], position: Column) -> DataFrame:
+    """Each decoded image under each condition of the matrix, in order: path, view, width, height, channels, pixels, and intact, whether the source is as before. Noise and random draws take their seed plus the image's position, so a view is the same in any partition."""
+    for spec in matrix:  # a condition that is none is found before a task is
+        kernels.steps_of(spec["name"], spec.get("params") or {})
     rows = images.filter("status = 'ok'").withColumn("_position", position).withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(len(matrix) - 1))))
-    return rows.select("path", "view", _view(matrix)("pixels", "width", "height", "channels", "_position", "view").alias("digest"))
+    made = rows.select("path", "view", _made(matrix)("pixels", "width", "height", "channels", "_position", "view").alias("m"))
+    return made.select("path", "view", "m.width", "m.height", F.lit(3).alias("channels"), "m.pixels", "m.intact")
+
+
+def all_views(images: DataFrame, matrix: Sequence[dict], position: Column) -> DataFrame:
+    """path, view and the digest of the pixels that transformed makes."""
+    return transformed(images, matrix, position).select("path", "view", F.sha2("pixels", 256).alias("digest"))
+
+
+def harmonised(images: DataFrame, size: int = 224, quality: int = 90) -> DataFrame:
+    """Decoded images as a model takes them: a square of that size through one JPEG round trip. path, width, height, channels, pixels."""
+    return transformed(images, [{"name": "harmonise", "params": {"size": size, "quality": quality}}], F.lit(0)).drop("view", "intact")
+
+
+def view_mismatches(images: DataFrame, matrix: Sequence[dict], position: Column, parts: tuple[int, int] = (3, 7)) -> DataFrame:
+    """Every view made twice, under two partitionings, and joined: path, view, first, second (digests) and status: `ok`, `differs`, `missing` in one of them, or `source changed`."""
+    runs = []
+    for n, name in zip(parts, ("first", "second"), strict=True):
+        dealt = images.repartition(n, F.xxhash64("path", F.lit(n)))
+        made = transformed(dealt, matrix, position)
+        runs.append(made.select("path", "view", F.sha2("pixels", 256).alias(name), F.col("intact").alias(f"{name}_intact")))
+    joined = runs[0].join(runs[1], ["path", "view"], "full")
+    status = F.when(F.col("first").isNull() | F.col("second").isNull(), "missing").when(F.col("first") != F.col("second"), "differs").when(~F.col("first_intact") | ~F.col("second_intact"), "source changed").otherwise("ok")
+    return joined.select("path", "view", "first", "second", status.alias("status"))

@@ -113,7 +113,7 @@ def test_strict_random_six_repeats_by_seed_and_row():
         steps = kernels.random_six(seed)
         assert [s["name"] for s in steps] == list(kernels.CHAIN_RANGES)
         assert 0.75 <= steps[0]["params"]["ratio"] <= 0.95 and 0.25 <= steps[1]["params"]["scale"] <= 0.75 and 30 <= steps[5]["params"]["quality"] <= 95
-    with pytest.raises(ValueError, match="Unknown strict_random_six profile"):
+    with pytest.raises(ValueError, match="no ranges of the name"):
         kernels.apply_transform(base, "strict_random_six", {"seed": 1, "profile": "unknown"})
 
 
