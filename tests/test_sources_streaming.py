@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievewright.sources import tables as src
-from sievewright.streaming.ingest import QuotaIngest
 
 HEADER = "sample_id,path,label,split,source_dataset,generator_id\n"
 
@@ -109,31 +108,3 @@ def test_backfill(spark):
     plan = spark.createDataFrame([("a", None), ("b", 7)], "id string, width int")
     have = spark.createDataFrame([("a", 5)], "id string, width int")
     assert {tuple(r) for r in src.backfill(plan, have, "id", ["width"]).select("id", "width", "status").collect()} == {("a", 5, "complete"), ("b", 7, "pending")}
-
-
-def test_quota_ingest_with_restart(spark, tmp_path):
-    feed = f"{tmp_path}/in"
-
-    def send(rows, n):
-        spark.createDataFrame(rows, "id long, label int, h string").coalesce(1).write.mode("append").parquet(f"{feed}/f{n}")
-
-    schema = "id long, label int, h string"
-    excluded = spark.createDataFrame([("h1",)], "h string")
-    send([(i, i % 2, f"h{i % 8}") for i in range(10)], 0)
-    ingest = QuotaIngest(spark, f"{tmp_path}/out", "h", "label", "id", 4, excluded)
-
-    def stream():
-        return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(feed)
-
-    ingest.start(stream(), f"{tmp_path}/ck").awaitTermination()
-    assert sorted(r["id"] for r in ingest.result().collect()) == [0, 2, 3, 4, 5, 6, 7]
-    send([(i, 1, f"h{i}") for i in range(20, 26)], 1)
-    ingest.start(stream(), f"{tmp_path}/ck").awaitTermination()  # resumes behind what it has read
-    got = ingest.result().collect()
-    assert sorted(r["id"] for r in got if r["label"] == 1) == [3, 5, 7, 20] and len({r["h"] for r in got}) == len(got)
-    again = ingest.result().count()
-    ingest.take(spark.createDataFrame([(20, 1, "h20")], schema), 1)  # the same batch once more replaces what it wrote
-    assert ingest.result().count() == again
-    other = QuotaIngest(spark, f"{tmp_path}/out", "h", "label", "id", 9, excluded)
-    with pytest.raises(ValueError):
-        other.take(spark.createDataFrame([(99, 1, "h99")], schema), 2)
