@@ -48,25 +48,70 @@ def exact_duplicate_losers(selection: DataFrame, key: str, order: Column) -> Dat
     return ordered.join(firsts, key).filter("_order > _first").select(*selection.columns)
 
 
+def needed_candidates(losers: DataFrame, candidates: DataFrame, ident: str, identity: Sequence[str], cell: Sequence[str], digest: str, same_cell_first: bool) -> DataFrame:
+    """The candidates that replace_sequentially can come to, at most three for each loser of an identity.
+
+    With L losers no more than L candidates go, so of one cell no more than its first L matter. Leaving the cell, a loser finds one among the first 2 L of those, as L at most are of its own cell. Staying in it, one that finds its cell empty takes one of the first L of all; a cell gives those of its own that are among these, and then one to each of its own losers.
+    """
+    keys, own = list(identity), list(cell)
+    lost = losers.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lost"))
+    at_home = losers.groupBy(*keys, *own).agg(F.count(F.lit(1)).alias("_home"))
+    most = lost.agg(F.max("_lost")).first()[0] or 0
+    order = [F.col(digest), F.col(ident)]
+    first = candidates.select(ident, *keys, *own, digest).join(lost, keys).withColumn("_c", F.row_number().over(Window.partitionBy(*keys, *own).orderBy(*order))).filter(F.col("_c") <= F.lit(most)).filter("_c <= _lost")
+    placed = first.withColumn("_g", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if not same_cell_first:
+        return placed.filter(F.col("_g") <= F.lit(2 * most)).filter("_g <= 2 * _lost").drop("_lost", "_c", "_g")
+    among = F.count(F.when(F.col("_g") <= F.col("_lost"), 1)).over(Window.partitionBy(*keys, *own))
+    return placed.withColumn("_among", among).join(at_home, [*keys, *own], "left").filter("_g <= _lost OR _c <= _among + coalesce(_home, 0)").drop("_lost", "_c", "_g", "_among", "_home")
+
+
 def replace_sequentially(losers: DataFrame, candidates: DataFrame, ident: str, identity: Sequence[str], cell: Sequence[str], digest: str, same_cell_first: bool) -> DataFrame:
-    """loser, replacement: inside each identity the losers in order of id each take the best candidate that is left, by (same cell or not, digest, id). The groups are identities with losers; their candidates are the rows of one generator or source in one split.
+    """loser, replacement: inside each identity the losers in order of id each take the best candidate that is left, by (same cell or not, digest, id). Ids are unique.
 
-    same_cell_first keeps a replacement in the loser's row group where it can, otherwise it leaves it where it can. A loser without a candidate has a null replacement.
+    same_cell_first keeps a replacement in the loser's row group where it can, otherwise it leaves it where it can. A loser without a candidate has a null replacement. A group gets its losers and at most three candidates for each (needed_candidates), however many there are, and its time grows with n log n: the best of each cell is in a heap.
     """
+    import heapq
+
     import pandas as pd
 
     keys, own = list(identity), list(cell)
 
     def pick(lost: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+        cells: dict[tuple, list] = {}
+        for d, name, home in sorted(zip(free[digest], free[ident], free[own].itertuples(index=False, name=None), strict=True), reverse=True) if len(free) else []:
+            cells.setdefault(home, []).append((d, name))  # the best at the end
+        heads = [(*rest[-1], home) for home, rest in cells.items()]
+        heapq.heapify(heads)
+
+        def best(other_than: tuple | None) -> tuple | None:
+            """The cell with the best candidate, another one than that. Heads that have gone are dropped on the way."""
+            aside = None
+            while heads:
+                head = heads[0]
+                rest = cells[head[2]]
+                if not rest or rest[-1] != head[:2]:
+                    heapq.heappop(heads)
+                    if rest:
+                        heapq.heappush(heads, (*rest[-1], head[2]))
+                elif head[2] == other_than:
+                    aside = heapq.heappop(heads)
+                else:
+                    break
+            found = heads[0][2] if heads else None
+            if aside:
+                heapq.heappush(heads, aside)
+            return found
+
         rows = []
-        left = sorted(zip(free[digest], free[ident], free[own].itertuples(index=False, name=None), strict=True)) if len(free) else []
         for name, home in sorted(zip(lost[ident], lost[own].itertuples(index=False, name=None), strict=True)) if len(lost) else []:
-            best = min(left, key=lambda c: ((c[2] != home) == same_cell_first, c[0], c[1]), default=None)
-            if best:
-                left.remove(best)
-            rows.append((name, best[1] if best else None))
+            at_home = home if cells.get(home) else None
+            at = (at_home or best(None)) if same_cell_first else (best(home) or at_home)
+            rows.append((name, cells[at].pop()[1] if at else None))
         return pd.DataFrame(rows, columns=["loser", "replacement"])
 
     kind = dict(candidates.dtypes)[ident]
-    needed = candidates.join(losers.select(*keys).distinct(), keys, "left_semi").select(ident, *keys, *own, digest)
-    return losers.select(ident, *keys, *own).groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInPandas(pick, f"loser {kind}, replacement {kind}")
+    needed = needed_candidates(losers, candidates, ident, keys, own, digest, same_cell_first)
+    # new columns, as both tables may be parts of one
+    needed = needed.select(*[F.col(c).alias(c) for c in needed.columns])
+    return losers.select(*[F.col(c).alias(c) for c in (ident, *keys, *own)]).groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInPandas(pick, f"loser {kind}, replacement {kind}")

@@ -411,3 +411,42 @@ def repair_round(spark, sf):
     ranked = free.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(stable_digest(53, F.col("sample_id")))))
     taken = ranked.join(lost, ["label", "r"], "left_semi").select("sample_id", "label")
     return selection.join(losers.select("sample_id"), "sample_id", "left_anti").select("sample_id", "label").unionByName(taken)
+
+
+PARTED = (
+    SOURCE,
+    f"""
+parted AS (
+  SELECT image_name AS id, architecture AS who, source_file || ':' || (row_group % 5) AS cell, substring({digest_sql("59", "image_name")}, 1, 2) AS part, {digest_sql("61", "image_name")} AS digest FROM source_rows),
+losers AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY id) AS k FROM parted WHERE part < '02'),
+pool AS (SELECT * FROM parted WHERE part >= '02' AND part < '05')""",
+)
+
+
+def _sequential_sql(same_first: bool) -> str:
+    """One loser of each identity after the other, with the list of what has gone."""
+    rank = "c.cell <> l.cell" if same_first else "c.cell = l.cell"
+    walk = f"""
+walk AS (
+  SELECT who, 0::BIGINT AS k, []::VARCHAR[] AS gone, NULL::VARCHAR AS loser, NULL::VARCHAR AS replacement FROM (SELECT DISTINCT who FROM losers)
+  UNION ALL
+  SELECT w.who, w.k + 1, CASE WHEN min(c.id) IS NULL THEN any_value(w.gone) ELSE list_append(any_value(w.gone), arg_min(c.id, ({rank}, c.digest, c.id))) END, any_value(l.id), arg_min(c.id, ({rank}, c.digest, c.id))
+  FROM walk w JOIN losers l ON l.who = w.who AND l.k = w.k + 1 LEFT JOIN pool c ON c.who = w.who AND NOT list_contains(w.gone, c.id) GROUP BY w.who, w.k)"""
+    return sql(*PARTED, walk, select="SELECT loser, replacement FROM walk WHERE k > 0").replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _sequential(spark, sf, same_first: bool):
+    rows = source_rows(spark, sf)
+    name = F.col("image_name")
+    parted = rows.select(name.alias("id"), F.col("architecture").alias("who"), F.concat("source_file", F.lit(":"), (F.col("row_group") % 5).cast("string")).alias("cell"), F.substring(stable_digest(59, name), 1, 2).alias("part"), stable_digest(61, name).alias("digest"))
+    return repair.replace_sequentially(parted.filter("part < '02'"), parted.filter("part >= '02' AND part < '05'"), "id", ["who"], ["cell"], "digest", same_first)
+
+
+@query("replacement_in_cell", _sequential_sql(True))
+def replacement_in_cell(spark, sf):
+    return _sequential(spark, sf, True)
+
+
+@query("replacement_out_of_cell", _sequential_sql(False))
+def replacement_out_of_cell(spark, sf):
+    return _sequential(spark, sf, False)

@@ -60,11 +60,13 @@ def test_scores_and_error_rows(spark):
         scoring.published(bad)
 
 
+@pytest.mark.parametrize("seed, n_losers, n_pool, cells", [(3, 12, 16, 3), (4, 30, 25, 4), (5, 40, 400, 6), (6, 25, 300, 1), (7, 20, 90, 30)])
 @pytest.mark.parametrize("same", [True, False])
-def test_sequential_replacement(spark, same):
-    r = random.Random(3)
-    losers = [(f"l{i}", r.choice("uv"), r.randrange(3)) for i in range(12)]
-    pool = [(f"c{i}", r.choice("uvw"), r.randrange(3), f"{r.random():.6f}") for i in range(16)]
+def test_sequential_replacement(spark, same, seed, n_losers, n_pool, cells):
+    """As one loser after the other takes them; the last cell has most of the candidates."""
+    r = random.Random(seed)
+    losers = [(f"l{i}", r.choice("uv"), r.randrange(cells)) for i in range(n_losers)]
+    pool = [(f"c{i}", r.choice("uvw"), r.choice([r.randrange(cells), cells - 1]), f"{r.random():.6f}") for i in range(n_pool)]
     want = {}
     left = list(pool)
     for name, who, home in sorted(losers):
@@ -73,7 +75,9 @@ def test_sequential_replacement(spark, same):
         want[name] = best[0] if best else None
         if best:
             left.remove(best)
-    got = repair.replace_sequentially(spark.createDataFrame(losers, "id string, who string, cell int"), spark.createDataFrame(pool, "id string, who string, cell int, digest string"), "id", ["who"], ["cell"], "digest", same)
+    lost, free = spark.createDataFrame(losers, "id string, who string, cell int"), spark.createDataFrame(pool, "id string, who string, cell int, digest string")
+    got = repair.replace_sequentially(lost, free, "id", ["who"], ["cell"], "digest", same)
+    assert repair.needed_candidates(lost, free, "id", ["who"], ["cell"], "digest", same).count() <= 3 * n_losers
     assert {x["loser"]: x["replacement"] for x in got.collect()} == want
 
 
