@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Tags of TIFF, bytes of its types, and its codes for data as they are, PackBits and deflate.
-WIDTH, HEIGHT, BITS, COMPRESSION, ORIENTATION, STRIPS, SAMPLES, ROWS_A_STRIP, STRIP_BYTES, TILES = 256, 257, 258, 259, 274, 273, 277, 278, 279, 324
+# Tags of TIFF, bytes of its types, and its codes for data as they are, LZW, JPEG, PackBits and deflate.
+WIDTH, HEIGHT, BITS, COMPRESSION, ORIENTATION, STRIPS, SAMPLES, ROWS_A_STRIP, STRIP_BYTES, PLANES, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 256, 257, 258, 259, 274, 273, 277, 278, 279, 284, 322, 323, 324, 325
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-PLAIN, PACKBITS, DEFLATE = (1,), (32773,), (8, 32946)
+PLAIN, LZW, JPEG, PACKBITS, DEFLATE = (1,), (5,), (7,), (32773,), (8, 32946)
 FRAMES = "path string, frames int, status string, warnings array<string>, failures array<string>"
 
 
@@ -96,29 +96,85 @@ def orientations(files: DataFrame, content: str = "content", head: int = 1 << 17
     return files.withColumn("orientation", _orientation(F.substring(F.col(content), 1, head)))
 
 
-def _unpacked(data: bytes, compression: int) -> bytes | None:
-    """A strip's bytes; None for a compression that is not known here."""
+def lzw_length(data: bytes) -> int:
+    """How many bytes LZW data hold. A code's length is all that is kept of it: that of the one before and one more. Fails for a code that the table does not have yet."""
+    lengths, before, total, held, bits, width = [1] * 258, 0, 0, 0, 0, 9
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 256:
+            lengths, before, width = [1] * 258, 0, 9
+            continue
+        if code == 257:
+            return total
+        if not before and code > 255 or code > len(lengths):
+            raise ValueError(f"an LZW code {code} that stands for nothing")
+        now = before + 1 if code == len(lengths) else lengths[code]
+        if before and len(lengths) < 4096:
+            lengths.append(before + 1)
+        total, before = total + now, now
+        width = 9 if len(lengths) < 511 else 10 if len(lengths) < 1023 else 11 if len(lengths) < 2047 else 12
+    return total
+
+
+def _packbits_length(data: bytes) -> int:
+    total = at = 0
+    while at < len(data):
+        n = data[at]
+        run = n + 1 if n < 128 else 257 - n if n > 128 else 0
+        at += 2 + n if n < 128 else 2 if n > 128 else 1
+        if at > len(data):
+            raise ValueError("PackBits data end within a run")
+        total += run
+    return total
+
+
+def _unpacked_length(data: bytes, compression: int, most: int) -> int | None:
+    """Bytes that a strip or tile holds; most is what it should have, so that no more than that is unpacked of deflate. None for a compression that is not known here."""
     if compression in PLAIN:
-        return data
+        return len(data)
     if compression in DEFLATE:
-        return zlib.decompress(data)
+        unpack = zlib.decompressobj()
+        n = len(unpack.decompress(data, most + 1))
+        if not unpack.eof and n <= most:
+            raise ValueError("deflate data end early")
+        return n
+    if compression in LZW:
+        return lzw_length(data)
     if compression in PACKBITS:
-        out, at = bytearray(), 0
-        while at < len(data):
-            n = data[at]
-            if n < 128:
-                out += data[at + 1 : at + 2 + n]
-                at += 2 + n
-            else:
-                if n > 128:
-                    out += data[at + 1 : at + 2] * (257 - n)
-                at += 1 if n == 128 else 2
-        return bytes(out)
+        return _packbits_length(data)
     return None
 
 
+def _segments(tags: dict[int, tuple[int, ...]], width: int, height: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Place, length and due bytes of each tile or strip."""
+    depth = tags.get(BITS, (1,))
+    samples = tags.get(SAMPLES, (1,))[0]
+    bits = sum(depth) if len(depth) > 1 else depth[0] * samples
+    apart = tags.get(PLANES, (1,))[0] == 2
+    if apart:
+        bits //= max(1, samples)
+    planes = samples if apart else 1
+    if TILES in tags:
+        across, down = tags.get(TILE_WIDTH, (0,))[0], tags.get(TILE_HEIGHT, (0,))[0]
+        if not across or not down:
+            raise ValueError("tiles without a size")
+        due = [down * -(-across * bits // 8)] * (-(-width // across) * -(-height // down) * planes)
+        places, sizes = tags[TILES], tags.get(TILE_BYTES, ())
+    else:
+        rows = min(height, tags.get(ROWS_A_STRIP, (height,))[0] or height)
+        due = [min(rows, height - y) * -(-width * bits // 8) for _ in range(planes) for y in range(0, height, rows)]
+        places, sizes = tags[STRIPS], tags.get(STRIP_BYTES, ())
+    if not len(places) == len(sizes) == len(due):
+        raise ValueError(f"{len(places)} places and {len(sizes)} lengths for {len(due)} {'tiles' if TILES in tags else 'strips'}")
+    return list(zip(places, sizes, due, strict=True)), sum(due)
+
+
 def tiff_frames(data: bytes) -> Iterator[tuple[int, list[str], list[str]]]:
-    """Each frame's number with its warnings and failures. A frame fails where its size is missing, its strips lie behind the file's end, do not unpack, or hold too few bytes; a compression that is not known here, or tiles, are a warning, as only the frame's tags are checked then. A directory that repeats ends the file with a failure."""
+    """Each frame's number with its warnings and failures. A frame fails where its size is missing, its strips or tiles lie behind the file's end, do not unpack (LZW, PackBits, deflate), lack a JPEG's ends, are not as many as the size asks for, or hold too few bytes; another compression is a warning, as only the frame's tags are checked then. A directory that repeats ends the file with a failure."""
     order = _tiff_order(data)
     at, seen, frame = struct.unpack_from(order + "I", data, 4)[0], set(), 0
     while at:
@@ -134,21 +190,28 @@ def tiff_frames(data: bytes) -> Iterator[tuple[int, list[str], list[str]]]:
             width, height = tags.get(WIDTH, (0,))[0], tags.get(HEIGHT, (0,))[0]
             if not width or not height:
                 raise ValueError("no width or height")
-            if TILES in tags or STRIPS not in tags:
-                warnings.append("tiles are not unpacked" if TILES in tags else "no strips")
+            if TILES not in tags and STRIPS not in tags:
+                warnings.append("no strips and no tiles")
             else:
-                bits = sum(tags.get(BITS, (1,))) if len(tags.get(BITS, (1,))) > 1 else tags.get(BITS, (1,))[0] * tags.get(SAMPLES, (1,))[0]
+                compression = tags.get(COMPRESSION, (1,))[0]
+                segments, whole = _segments(tags, width, height)
                 total = 0
-                for start, size in zip(tags[STRIPS], tags.get(STRIP_BYTES, ()), strict=True):
+                for start, size, due in segments:
                     if start + size > len(data):
-                        raise ValueError("a strip lies behind the end of the file")
-                    strip = _unpacked(data[start : start + size], tags.get(COMPRESSION, (1,))[0])
-                    if strip is None:
-                        warnings.append(f"compression {tags[COMPRESSION][0]} is not unpacked")
+                        raise ValueError("a strip or tile lies behind the end of the file")
+                    piece = data[start : start + size]
+                    if compression in JPEG:
+                        if not (piece.startswith(b"\xff\xd8") and piece.rstrip(b"\0").endswith(b"\xff\xd9")):
+                            raise ValueError("a JPEG strip or tile without its beginning or end")
+                        total += due
+                        continue
+                    length = _unpacked_length(piece, compression, due)
+                    if length is None:
+                        warnings.append(f"compression {compression} is not unpacked")
                         break
-                    total += len(strip)
+                    total += min(length, due)
                 else:
-                    if total < height * -(-width * bits // 8):
+                    if total < whole:
                         raise ValueError(f"{total} bytes for {width} x {height} pixels")
         except (struct.error, ValueError, zlib.error) as e:
             failures.append(str(e) or type(e).__name__)
