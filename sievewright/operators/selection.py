@@ -125,34 +125,64 @@ def byte_cap(rows: DataFrame, by: Sequence[str], size: str, cap: int, *order: st
     return scanned(rows, by, order, running={"running_bytes": size}).filter(F.col("running_bytes") <= cap)
 
 
-def whole_group_holdout(groups: list[tuple[str, str, int]], target: int, seed: int) -> list[str]:
-    """Groups to hold out whole: (family, group, size) rows, at most some thousands, on the driver. The smallest of each family first, then others in seeded order while they fit, then the one that overshoots least."""
-    import hashlib
-
-    shuffled = sorted(groups, key=lambda g: hashlib.sha256(f"{seed}\x1f{g[1]}".encode()).hexdigest())
-    chosen: dict[str, int] = {}
-    for fam in sorted({g[0] for g in shuffled}):
-        _, name, size = min((g for g in shuffled if g[0] == fam), key=lambda g: (g[2], g[1]))
-        chosen[name] = size
-    for _, name, size in shuffled:
-        if name not in chosen and sum(chosen.values()) + size <= target:
-            chosen[name] = size
-    short = target - sum(chosen.values())
-    if short > 0 and (rest := [g for g in shuffled if g[1] not in chosen]):
-        _, name, size = min(rest, key=lambda g: (g[2] - short, g[1]))
-        chosen[name] = size
-    return sorted(chosen)
-
-
-def rounded_quota(sizes: dict[str, int], total: int) -> dict[str, int]:
-    """Third rule for quotas, on the driver over some hundred groups: half-even rounding, then one from the largest quota or to the largest slack until the sum fits."""
-    everything = sum(sizes.values())
+def cut_from_top(rows: DataFrame, key: str, value: str, amount: int, name: str = "cut") -> DataFrame:
+    """rows with how many of `amount` units go from each, where each unit is taken from the row that has most left, the least key of equal ones. Values are whole numbers and hold that many units together.
+
+    The greatest values come down to a common level. How many take part follows from running sums along the falling values: the first k for which what they have over the next value is enough.
+    """
+    if amount <= 0:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    line = scanned(rows.withColumn("_down", -F.col(value)), [], ["_down", key], running={"_sum": value}, after={"_next": value}, rank="_k").withColumn("_k", F.col("_k") + 1)
+    enough = F.col("_sum") - F.col("_k") * F.coalesce("_next", F.lit(0)) >= amount
+    k, total = line.filter(enough).agg(F.min(F.struct("_k", "_sum")).alias("m")).select("m.*").first()
+    if k is None:
+        raise ValueError(f"the rows do not hold {amount} units")
+    level, higher = divmod(total - amount, k)
+    taking = scanned(line.filter(F.col("_k") <= k), [], [key], rank="_place", at_most=k)
+    stays = F.lit(level) + (F.col("_place") >= k - higher).cast("long")
+    cut = taking.withColumn(name, F.col(value) - stays)
+    rest = line.filter(F.col("_k") > k).withColumn(name, F.lit(0).cast("long"))
+    return cut.select(*rows.columns, name).unionByName(rest.select(*rows.columns, name))
+
+
+def rounded_quota(sizes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """key, size, quota by the third rule: shares rounded half to even, then one less for the largest quota, or one more for the largest slack, until the sum fits; the least key of equal ones."""
+    everything = sizes.agg(F.sum(size)).first()[0] or 0
     if total > everything:
         raise ValueError("more is asked for than there is")
-    quota = {k: min(n, round(total * n / everything)) for k, n in sizes.items()} if everything else dict.fromkeys(sizes, 0)
-    while (extra := sum(quota.values()) - total) > 0:
-        quota[max(sorted(quota), key=lambda k: quota[k])] -= 1
-    while extra < 0:
-        quota[max(sorted(quota), key=lambda k: sizes[k] - quota[k])] += 1
-        extra += 1
-    return quota
+    share = F.bround(F.lit(total) * F.col(size) / F.lit(float(max(1, everything))), 0).cast("long")
+    quota = sizes.select(key, size, F.least(F.col(size), share).alias("quota")).withColumn("_slack", F.col(size) - F.col("quota"))
+    extra = (quota.agg(F.sum("quota")).first()[0] or 0) - total
+    moved = cut_from_top(quota, key, "quota" if extra > 0 else "_slack", abs(extra), "_moved")
+    return moved.select(key, size, (F.col("quota") - F.col("_moved") if extra > 0 else F.col("quota") + F.col("_moved")).alias("quota"))
+
+
+def whole_group_holdout(groups: DataFrame, family: str, group: str, size: str, target: int, seed: int) -> DataFrame:
+    """Groups to hold out whole, with their size: the smallest of each family first, then others in order of their digest while they fit, then the one that overshoots least.
+
+    One that does not fit never will, so the others are taken a run at a time: running sums tell how far they fit, the one behind is passed over, those too large for what is left drop out, and so on. A run brings two numbers to the driver.
+    """
+    keyed = groups.select(family, group, F.col(size).cast("long").alias(size), F.sha2(F.concat(F.lit(f"{seed}\x1f"), F.col(group)), 256).alias("_order"))
+    first = keyed.groupBy(family).agg(F.min_by(F.struct(group, size, "_order"), F.struct(size, group)).alias("r")).select(family, f"r.{group}", f"r.{size}", "r._order")
+    left = target - (first.agg(F.sum(size)).first()[0] or 0)
+    rest = keyed.join(first.select(group), group, "left_anti")
+    runs: list[Column] = []
+    after = ""
+    while left > 0:
+        fits = (F.col("_order") > after) & (F.col(size) <= left)
+        line = scanned(rest.filter(fits), [], ["_order"], running={"_sum": size})
+        got, stop = line.agg(F.max(F.when(F.col("_sum") <= left, F.col("_sum"))), F.min(F.when(F.col("_sum") > left, F.col("_order")))).first()
+        runs.append(fits & (F.col("_order") < stop) if stop else fits)
+        left -= got or 0
+        if not stop:
+            break
+        after = stop
+    taken = F.lit(False)
+    for run in runs:
+        taken = taken | run
+    chosen = first.unionByName(rest.filter(taken).select(*first.columns))
+    if left > 0:
+        others = rest.filter(~taken)
+        best = others.agg(F.min_by(group, F.struct(F.col(size) - left, group))).first()[0]
+        chosen = chosen.unionByName(others.filter(F.col(group) == best).select(*first.columns))
+    return chosen.drop("_order")

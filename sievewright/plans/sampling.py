@@ -196,26 +196,44 @@ def permutation_join(spark, sf):
     return plain.join(mixed.select("gate_from", "position"), "position").select("sample_id", "gate_from")
 
 
-@query("whole_group_holdout")
+HOLDOUT = f"""
+g AS (SELECT architecture, canonical_generator_id, count(*) AS n FROM source_rows GROUP BY ALL),
+first AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY architecture ORDER BY n, canonical_generator_id) = 1),
+rest AS (SELECT *, row_number() OVER (ORDER BY {digest_sql("31", "canonical_generator_id")}) AS k FROM g WHERE canonical_generator_id NOT IN (SELECT canonical_generator_id FROM first)),
+walk AS (
+  SELECT 0::BIGINT AS k, (SELECT sum(n) FROM g) // 3 - (SELECT sum(n) FROM first) AS room, FALSE AS taken
+  UNION ALL
+  SELECT r.k, CASE WHEN r.n <= w.room THEN w.room - r.n ELSE w.room END, r.n <= w.room FROM walk w JOIN rest r ON r.k = w.k + 1),
+room AS (SELECT arg_max(room, k) AS room FROM walk),
+last AS (SELECT canonical_generator_id FROM rest WHERE (SELECT room FROM room) > 0 AND k IN (SELECT k FROM walk WHERE NOT taken) ORDER BY n, canonical_generator_id LIMIT 1),
+held AS (SELECT canonical_generator_id FROM first UNION SELECT canonical_generator_id FROM rest JOIN walk USING (k) WHERE taken UNION SELECT * FROM last)"""
+
+
+@query("whole_group_holdout", sql(SOURCE, HOLDOUT, select="SELECT * FROM g WHERE canonical_generator_id IN (SELECT canonical_generator_id FROM held)").replace("WITH", "WITH RECURSIVE", 1))
 def whole_group_holdout(spark, sf):
-    rows = source_rows(spark, sf)
-    groups = rows.groupBy("architecture", "canonical_generator_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = source_rows(spark, sf).groupBy("architecture", "canonical_generator_id").agg(F.count(F.lit(1)).alias("n"))
     total = groups.agg(F.sum("n")).first()[0] or 0
-    # groups are generators: some thousands at most, whatever the rows
-    held = selection.whole_group_holdout([tuple(r) for r in groups.collect()], total // 3, 31)
-    chosen = spark.createDataFrame([(h,) for h in held], "canonical_generator_id string")
-    return groups.join(chosen, "canonical_generator_id", "left_semi")
+    return selection.whole_group_holdout(groups, "architecture", "canonical_generator_id", "n", total // 3, 31)
 
 
-@query("rounded_quota")
+SIZES = "sizes AS (SELECT generator_id, count(*) AS size FROM manifest GROUP BY generator_id)"
+ROUNDED = """
+s AS (SELECT *, sum(size) OVER () // 4 AS total FROM sizes),
+q AS (SELECT *, least(size, round_even(total * size / sum(size) OVER ()::DOUBLE, 0)::BIGINT) AS quota FROM s),
+e AS (SELECT sum(quota) - any_value(total) AS extra FROM q),
+less AS (SELECT generator_id, count(*) AS n FROM (SELECT generator_id, unnest(range(1, quota + 1)) AS height FROM q ORDER BY height DESC, generator_id LIMIT (SELECT greatest(extra, 0) FROM e)) GROUP BY generator_id),
+more AS (SELECT generator_id, count(*) AS n FROM (SELECT generator_id, unnest(range(1, size - quota + 1)) AS height FROM q ORDER BY height DESC, generator_id LIMIT (SELECT greatest(-extra, 0) FROM e)) GROUP BY generator_id)"""
+
+
+@query("rounded_quota", sql(MANIFEST, SIZES, ROUNDED, select="SELECT generator_id, size, quota - coalesce(l.n, 0) + coalesce(m.n, 0) AS quota FROM q LEFT JOIN less l USING (generator_id) LEFT JOIN more m USING (generator_id)"))
 def rounded_quota(spark, sf):
-    sizes = {r["generator_id"]: r["size"] for r in _sizes(spark, sf).collect()}
-    quota = selection.rounded_quota(sizes, sum(sizes.values()) // 4)
-    return spark.createDataFrame(sorted(quota.items()), "generator_id string, quota long")
+    sizes = _sizes(spark, sf)
+    return selection.rounded_quota(sizes, "generator_id", "size", (sizes.agg(F.sum("size")).first()[0] or 0) // 4)
 
 
 @query("bounded_shuffle_stream", "SELECT event_id, row_number() OVER (PARTITION BY event_id // 2048 ORDER BY sha256('37:' || event_id)) AS place FROM events WHERE event_id >= 100")
 def bounded_shuffle_stream(spark, sf):
+    """The batch form of a bounded shuffle (streaming.ingest.ShuffleBuffer has the other): windows of 2,048 arrivals, each in order of a digest. The first hundred events stand for those that a consumer has had before it resumes."""
     w = Window.partitionBy(F.floor(F.col("event_id") / 2048)).orderBy(I.colon_rank(37, F.col("event_id")))
     return t(spark, sf, "events").filter("event_id >= 100").select("event_id", F.row_number().over(w).cast("long").alias("place"))
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -157,10 +158,35 @@ def test_quotas(spark):
         df = spark.createDataFrame(list(sizes.items()), "k string, size long")
         got = {x["k"]: x["quota"] for x in selection.largest_remainder(df, "k", "size", total).collect()}
         assert got == sequential_quota(sizes, total) and sum(got.values()) == total and all(got[k] <= sizes[k] for k in sizes)
-        rounded = selection.rounded_quota(sizes, total)
-        assert sum(rounded.values()) == total and all(0 <= rounded[k] <= sizes[k] for k in sizes)
+        rounded = {x["k"]: x["quota"] for x in selection.rounded_quota(df, "k", "size", total).collect()}
+        assert rounded == one_by_one(sizes, total)
     with pytest.raises(ValueError):
-        selection.rounded_quota({"a": 1}, 2)
+        selection.rounded_quota(df, "k", "size", 10_000)
+
+
+def one_by_one(sizes, total):
+    """Rounded quotas, moved a unit at a time."""
+    everything = sum(sizes.values())
+    quota = {k: min(n, round(total * n / everything)) for k, n in sizes.items()}
+    while sum(quota.values()) > total:
+        quota[max(sorted(quota), key=quota.get)] -= 1
+    while sum(quota.values()) < total:
+        quota[max(sorted(quota), key=lambda k: sizes[k] - quota[k])] += 1
+    return quota
+
+
+def test_cut_from_top(spark):
+    r = random.Random(4)
+    for n in (1, 2, 7, 12):
+        values = {f"k{i:02d}": r.randint(0, 6) for i in range(n)}
+        df = spark.createDataFrame(list(values.items()), "k string, v long")
+        for amount in (0, 1, sum(values.values()) // 2, sum(values.values())):
+            left = dict(values)
+            for _ in range(amount):
+                left[max(sorted(left), key=left.get)] -= 1
+            assert {x["k"]: x["v"] - x["cut"] for x in selection.cut_from_top(df, "k", "v", amount).collect()} == left
+    with pytest.raises(ValueError):
+        selection.cut_from_top(df, "k", "v", 10_000)
 
 
 def test_round_robin_is_balanced(spark):
@@ -194,10 +220,23 @@ def test_feasible_contribution(spark):
     assert selection.feasible_contribution(df.limit(1), "n", 10000).first()["contribution"] is None
 
 
-def test_holdout():
-    groups = [("f1", "a", 5), ("f1", "b", 9), ("f2", "c", 3), ("f2", "d", 20), ("f3", "e", 4)]
-    got = selection.whole_group_holdout(groups, 20, 1)
-    assert {"a", "c", "e"} <= set(got) and got == selection.whole_group_holdout(groups, 20, 1)
+def test_holdout(spark):
+    r = random.Random(9)
+    for n, target in ((5, 20), (30, 60), (30, 15), (30, 900)):
+        groups = [(f"f{r.randrange(4)}", f"g{i:02d}", r.randint(1, 12)) for i in range(n)]
+        chosen = {}
+        for fam in sorted({g[0] for g in groups}):
+            size, name = min((g[2], g[1]) for g in groups if g[0] == fam)
+            chosen[name] = size
+        order = sorted((g for g in groups if g[1] not in chosen), key=lambda g: hashlib.sha256(f"7\x1f{g[1]}".encode()).hexdigest())
+        for _, name, size in order:
+            if sum(chosen.values()) + size <= target:
+                chosen[name] = size
+        if sum(chosen.values()) < target and (rest := [(g[2], g[1]) for g in groups if g[1] not in chosen]):
+            chosen[min(rest)[1]] = min(rest)[0]
+        df = spark.createDataFrame(groups, "fam string, g string, n int")
+        got = [(x["g"], x["n"]) for x in selection.whole_group_holdout(df, "fam", "g", "n", target, 7).collect()]
+        assert sorted(got) == sorted(chosen.items())
 
 
 # Weights
@@ -386,18 +425,6 @@ def test_repair_until_no_repeats(spark, tmp_path):
 # Statistics
 
 
-def test_bootstrap(spark):
-    rows, df = scored(spark, 6, 120, 2)
-    first = stats.bootstrap(df, "g", rounds=60).collect()
-    again = stats.bootstrap(df.repartition(7), "g", rounds=60).collect()
-    assert sorted(map(tuple, first)) == sorted(map(tuple, again)) and len(first) == 16
-    assert all(r["low"] - 1e-9 <= r["estimate"] <= r["high"] + 1e-9 or r["metric"] != "auroc" for r in first)
-    both = df.withColumn("other", F.col("pred"))
-    assert all(r["delta"] == r["low"] == r["high"] == 0 for r in stats.paired_bootstrap(both, "g", "pred", "other", rounds=20).collect())
-    cohorts = df.withColumn("cohort", F.when(F.col("sample_id") < "s5", "x").otherwise("y"))
-    assert all(r["low"] <= r["high"] for r in stats.cohort_bootstrap(cohorts, "g", "cohort", ["x", "y"], rounds=20).collect())
-
-
 def test_platt():
     for centre, logits in ((5.0, [3, 4, 7, 8]), (7.0, [5, 6, 9, 10])):
         slope, intercept = stats.fit_platt(np.array(logits, float), np.array([0, 0, 1, 1], float))
@@ -407,39 +434,3 @@ def test_platt():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 * x)))).astype(float)
     slope, intercept = stats.fit_platt(x, y, temperature_only=True)
     assert abs(slope - 0.5) < 0.08 and intercept == 0
-
-
-def test_registered_bootstraps_use_all_rounds(monkeypatch):
-    import inspect
-
-    from sievewright.plans import evaluation
-
-    rounds = {}
-    for name in ("bootstrap", "paired_bootstrap", "cohort_bootstrap"):
-        declared = inspect.signature(getattr(stats, name))
-
-        def spy(*args, _name=name, _declared=declared, **kwargs):
-            bound = _declared.bind(*args, **kwargs)
-            bound.apply_defaults()
-            rounds[_name] = bound.arguments["rounds"]
-
-        monkeypatch.setattr(stats, name, spy)
-    monkeypatch.setattr(evaluation, "predictions", lambda *a, **k: _Rows())
-    monkeypatch.setattr(evaluation, "both_scores", lambda *a, **k: _Rows())
-    monkeypatch.setattr(evaluation.F, "when", lambda *a: _Rows())
-    monkeypatch.setattr(evaluation.F, "col", lambda *a: _Rows())
-    for name in ("bootstrap_intervals", "paired_bootstrap", "cohort_bootstrap"):
-        getattr(evaluation, name)(None, None)
-    assert rounds == {"bootstrap": 1000, "paired_bootstrap": 1000, "cohort_bootstrap": 1000}
-
-
-class _Rows:
-    """Stands for rows and expressions where none are computed."""
-
-    def __getattr__(self, name):
-        return lambda *args: self
-
-    def __eq__(self, other):
-        return self
-
-    __hash__ = None
