@@ -206,6 +206,25 @@ def test_deep_pages_take_linear_time(page_weights):
     html_text.main_text("<div " * 3000 + "x='" + "<p>y" * 3000, page_weights)
 
 
+@pytest.mark.parametrize("piece", ["<p ", '<p "', '<a href="', """<a "'<b '\"""", "<script ", "</script "])
+def test_tags_that_never_end_take_linear_time(piece, page_weights):
+    """A megabyte of them, with and without an end at last."""
+    for page in (piece * (1_000_000 // len(piece)), piece * (1_000_000 // len(piece)) + ">"):
+        began = time.process_time()
+        found = list(html_text.parts(page))
+        assert time.process_time() - began < 5 and found[0][0] == 0 and found[-1][1] == len(page) and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_parts_of_a_page():
+    def pieces(page):
+        return [(s + n, a, t) if n else t for _, _, s, n, a, t in html_text.parts(page)]
+
+    assert pieces("a<b c='>' d>e</B>f") == ["a", ("b", " c='>' d", None), "e", ("/B", "", None), "f"]
+    assert pieces("<!-- <b> --><![CDATA[<i>]]><!DOCTYPE x><SCRIPT a>if (a<b) </p></script >t") == [None, None, None, None, "t"]
+    assert pieces("1 < 2 <b <i>x</i>") == ["1 ", "<", " 2 ", ("b", " <i", None), "x", ("/i", "", None)]
+    assert pieces("<p 'x>y<b>z") == ["<", "p 'x>y", ("b", "", None), "z"] and pieces("") == []
+
+
 def test_extract_text_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(df, html_text.fit(df)).collect()
