@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import compression, decontaminate, exact_dedup, ngram_join, packing
-from sievewright.llm.common import table, written
+from sievewright.llm.common import Scratch, table, written
 
 #: Bytes of ids that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 32 << 20
@@ -102,8 +102,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. A stage's table is deleted when the next one stands; the last stays, as the result reads it."""
     docs = table(spark, sf_dir, "documents")
+    before = Scratch(spark)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        now = Scratch(spark)
+        docs = now.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before.clear()
+        before = now
     return docs
