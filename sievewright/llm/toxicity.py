@@ -285,7 +285,9 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_spans, and spans: start-end of each offending stretch, in characters, with commas between."""
     docs = documents(spark, sf_dir)
     model = fit(docs, table(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 4) != 2)
     scored = toxicity(docs, model)
-    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s[0].cast("string"), s[1].cast("string"))), ",")
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), offsets.alias("spans"))
