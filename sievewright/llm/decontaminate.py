@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -391,12 +392,30 @@ class Index:
         return found
 
 
+#: Characters of items in a block, whose index takes about 45 bytes for each; rows and bytes of text that are searched at once, but for a longer text by itself.
+BLOCK_CHARS, PIECE_ROWS, PIECE_BYTES = 1_000_000, 400, 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of few rows and bytes of text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_col)), 0), dtype=np.int64)
+    start = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and (held + n > PIECE_BYTES or i - start == PIECE_ROWS):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 class Blocks:
-    """The index of a benchmark: one block that travels with the task, or several in a folder that all workers reach, read one at a time."""
+    """The index of a benchmark: one block that travels with the task, or several in a folder that all workers reach, read one at a time. A block is bounded in items and in characters, but for an item that is longer by itself."""
 
     def __init__(self, spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, max_ratio: float, block_items: int):
         items = chosen(benchmark, id_col, text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
-        self.n = max(1, -(-items.count() // block_items))
+        n_items, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        self.n = max(1, -(-n_items // block_items), -(-chars // BLOCK_CHARS))
         self._one = self._path = None
         if self.n == 1:
             self._one = spark.sparkContext.broadcast(Index([(r["doc_id"], r["text"]) for r in items.orderBy("doc_id").collect()], max_ratio))
@@ -425,11 +444,19 @@ class Blocks:
         return 400 if self.n == 1 else 4000
 
 
+def _texts(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, list[list[str]]]]:
+    """The place and the normalised words of each piece of a batch."""
+    at = 0
+    for piece in pieces(batch, text_col):
+        yield at, [normalised(t) for t in piece.column(text_col).to_pylist()]
+        at += piece.num_rows
+
+
 def _find(blocks: Blocks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [normalised(t) for t in batch.column("text").to_pylist()]
-            rows = [(ids[d], i, dist, len(index.items[i]), max(0, end - len(index.items[i]))) for index in blocks for at in range(0, len(texts), 400) for (d, i), (dist, end) in ((((k[0] + at, k[1])), v) for k, v in index.leaks(texts[at : at + 400]).items())]
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[d + at], i, dist, len(index.items[i]), max(0, end - len(index.items[i]))) for index in blocks for at, texts in _texts(batch, "text") for (d, i), (dist, end) in index.leaks(texts).items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=LEAKS.names)
 
     return find
@@ -451,8 +478,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [normalised(t) for t in batch.column(text_col).to_pylist()]
-            holds = {d + at for index in blocks for at in range(0, len(texts), 400) for d, _ in index.leaks(texts[at : at + 400])}
+            holds = {d + at for index in blocks for at, texts in _texts(batch, text_col) for d, _ in index.leaks(texts)}
             yield batch.filter(pa.array([d not in holds for d in range(batch.num_rows)], pa.bool_()))
 
     return docs.mapInArrow(tidy(keep, blocks.rows()), docs.schema)

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -178,3 +179,21 @@ def test_many_blocks_give_the_same_leaks(spark):
     assert few == many
     kept = decontaminate.without_leaks(docs, bench, block_items=40)
     assert {r["doc_id"] for r in docs.join(kept.select("doc_id"), "doc_id", "left_anti").collect()} == {d for d, *_ in few} and kept.columns == docs.columns
+
+
+def test_long_items_make_blocks_by_their_characters(spark, monkeypatch):
+    docs, bench = table(spark, DATA, "documents"), table(spark, DATA, "benchmark")
+    want = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2_000)
+    assert decontaminate.Blocks(spark, bench, "item_id", "text", 0.2, 2_000).n > 1
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == want
+
+
+def test_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "PIECE_ROWS", 4)
+    texts = ["a" * n for n in (5, 60, 60, 500, 1, 1, 1, 1, 1)] + [None, "é" * 45, "b"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = [p.column("text").to_pylist() for p in decontaminate.pieces(batch, "text")]
+    assert [len(p) for p in got] == [2, 1, 1, 4, 4] and [t for p in got for t in p] == texts
+    assert list(decontaminate.pieces(batch.slice(0, 0), "text")) == []
