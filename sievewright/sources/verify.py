@@ -207,31 +207,40 @@ def inspected_file(data: bytes) -> tuple[Found | None, str, str]:
         return None, "damaged", str(e) or type(e).__name__
 
 
+COLUMNS = ["path", "length", "format", "width", "height", "orientation", "status", "reason"]
+WHOLE = {c: "Int32" for c in ("width", "height", "orientation")}
+
+
+def judged(path: str, length: int, data: bytes | None, most_bytes: int = MOST_BYTES, most_pixels: int = MOST_PIXELS) -> tuple:
+    """The row of a file. data may be left out where the length is over the limit."""
+    if length > most_bytes:
+        return path, length, None, None, None, None, "too_large", f"{length} bytes"
+    data = bytes(data or b"")
+    found, status, reason = inspected_file(data)
+    if found is None:
+        return path, length, None, None, None, None, status, reason
+    turned = exif_orientation(data)
+    sides = (found.height, found.width) if turned >= 5 else (found.width, found.height)
+    if found.width * found.height > most_pixels:
+        status, reason = "too_large", f"{found.width} x {found.height} pixels"
+    return path, length, found.format, *sides, turned, status, reason
+
+
+def readable(files: DataFrame, path: str = "path", content: str = "content", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, length and content of files, without that of those that are too large."""
+    length = F.coalesce(F.octet_length(content).cast("long"), F.lit(0).cast("long"))
+    return files.select(F.col(path).alias("path"), length.alias("length"), F.when(length <= most_bytes, F.col(content)).alias("content"))
+
+
 def inspected(files: DataFrame, path: str = "path", content: str = "content", most_bytes: int = MOST_BYTES, most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row for each file: path, length, format, width, height and orientation as they are to be seen (a picture on its side has them swapped), status, reason.
 
-    Status is `too_large` over a limit, which is found before anything is decoded: files over most_bytes are not even read, as their length comes from the column's. A null or empty content is `empty`.
+    Status is `too_large` over a limit, which is found before anything is decoded: files over most_bytes are not even sent to Python. A null or empty content is `empty`.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for name, length, data in zip(batch["path"], batch["length"], batch["content"], strict=True):
-                if length > most_bytes:
-                    rows.append((name, length, None, None, None, None, "too_large", f"{length} bytes"))
-                    continue
-                data = bytes(data or b"")
-                found, status, reason = inspected_file(data)
-                if found is None:
-                    rows.append((name, length, None, None, None, None, status, reason))
-                    continue
-                turned = exif_orientation(data)
-                sides = (found.height, found.width) if turned >= 5 else (found.width, found.height)
-                if found.width * found.height > most_pixels:
-                    status, reason = "too_large", f"{found.width} x {found.height} pixels"
-                rows.append((name, length, found.format, *sides, turned, status, reason))
-            yield pd.DataFrame(rows, columns=["path", "length", "format", "width", "height", "orientation", "status", "reason"]).astype({c: "Int32" for c in ("width", "height", "orientation")})
+            rows = [judged(p, n, data, most_bytes, most_pixels) for p, n, data in zip(batch["path"], batch["length"], batch["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=COLUMNS).astype(WHOLE)
 
-    length = F.coalesce(F.octet_length(content).cast("long"), F.lit(0).cast("long"))
-    kept = F.when(length <= most_bytes, F.col(content))
-    return files.select(F.col(path).alias("path"), length.alias("length"), kept.alias("content")).mapInPandas(walk, INSPECTED)
+    return readable(files, path, content, most_bytes).mapInPandas(walk, INSPECTED)
