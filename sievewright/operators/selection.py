@@ -100,7 +100,7 @@ def ordered_split(rows: DataFrame, by: Sequence[str], order: Column, first: int,
     """The first rows of each group by a unique order go to the first split. The order's value at the cut is found from the first rows alone, so no task ranks a whole group."""
     keyed = rows.withColumn("_order", order)
     cuts = top_n_per_group(keyed.select(*by, "_order"), by, first, "_order").groupBy(*by).agg(F.max("_order").alias("_cut"))
-    return keyed.join(F.broadcast(cuts), list(by), "left").withColumn("project_split", F.when(F.col("_order") <= F.col("_cut"), names[0]).otherwise(names[1])).drop("_order", "_cut")
+    return keyed.join(cuts, list(by), "left").withColumn("project_split", F.when(F.col("_order") <= F.col("_cut"), names[0]).otherwise(names[1])).drop("_order", "_cut")
 
 
 def representative(rows: DataFrame, group: str, *order: str) -> DataFrame:

@@ -38,18 +38,30 @@ def anti_unselected(spark, sf):
     return rows.join(taken, taken.columns, "left_anti").select("dataset_key", "source_file", "row_group", "row_index", "image_name")
 
 
-@query("unseen_generators", sql(SOURCE, select="SELECT DISTINCT canonical_generator_id FROM source_rows WHERE canonical_generator_id NOT IN (SELECT canonical_generator_id FROM source_rows WHERE row_group = 0 AND row_index < 150)"))
+#: Shares of a table that stand for what was frozen before: by digest, so that they grow with the table.
+TRAIN_SQL, HELD_SQL = (f"{digest_sql('71', 'canonical_generator_id')} {bounds}" for bounds in ("< '6'", "BETWEEN '6' AND '8'"))
+
+
+def in_train():
+    return stable_digest(71, F.col("canonical_generator_id")) < "6"
+
+
+def in_validation():
+    return stable_digest(71, F.col("canonical_generator_id")).between("6", "8")
+
+
+@query("unseen_generators", sql(SOURCE, select=f"SELECT DISTINCT canonical_generator_id FROM source_rows WHERE canonical_generator_id NOT IN (SELECT canonical_generator_id FROM source_rows WHERE {TRAIN_SQL})"))
 def unseen_generators(spark, sf):
     rows = source_rows(spark, sf)
-    return rows.select("canonical_generator_id").distinct().join(rows.filter("row_group = 0 AND row_index < 150").select("canonical_generator_id"), "canonical_generator_id", "left_anti")
+    return rows.select("canonical_generator_id").distinct().join(rows.filter(in_train()).select("canonical_generator_id"), "canonical_generator_id", "left_anti")
 
 
-@query("full_coverage", sql(MANIFEST, """
-l AS (SELECT DISTINCT sample_id FROM manifest), r AS (SELECT DISTINCT sample_id FROM manifest WHERE split <> 'test' UNION ALL SELECT 'extra_' || doc_id FROM manifest WHERE doc_id < 300),
+@query("full_coverage", sql(MANIFEST, f"""
+l AS (SELECT DISTINCT sample_id FROM manifest), r AS (SELECT DISTINCT sample_id FROM manifest WHERE split <> 'test' UNION ALL SELECT 'extra_' || doc_id FROM manifest WHERE {digest_sql("73", "doc_id")} < '3'),
 f AS (SELECT l.sample_id AS a, r.sample_id AS b FROM l FULL JOIN r USING (sample_id))""", select="SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS both, count(*) FILTER (WHERE b IS NULL) AS missing, count(*) FILTER (WHERE a IS NULL) AS extra, coalesce((SELECT string_agg(a, ',' ORDER BY a) FROM (SELECT a FROM f WHERE b IS NULL ORDER BY a LIMIT 5)), '') AS first_missing, coalesce((SELECT string_agg(b, ',' ORDER BY b) FROM (SELECT b FROM f WHERE a IS NULL ORDER BY b LIMIT 5)), '') AS first_extra, count(*) FILTER (WHERE a IS NULL OR b IS NULL) = 0 AS complete FROM f"))
 def full_coverage(spark, sf):
     rows = manifest(spark, sf)
-    cached = rows.filter("split <> 'test'").select("sample_id").unionByName(rows.filter("doc_id < 300").select(F.concat(F.lit("extra_"), F.col("doc_id").cast("string")).alias("sample_id")))
+    cached = rows.filter("split <> 'test'").select("sample_id").unionByName(rows.filter(stable_digest(73, F.col("doc_id")) < "3").select(F.concat(F.lit("extra_"), F.col("doc_id").cast("string")).alias("sample_id")))
     return joins.coverage(rows, cached, "sample_id")
 
 
@@ -142,14 +154,14 @@ def cohort_sets(spark, sf):
     return source_rows(spark, sf).filter("label = 1").select("canonical_generator_id", "architecture").distinct()
 
 
-@query("external_cohorts", sql(SOURCE, """
-train AS (SELECT DISTINCT canonical_generator_id AS g, architecture AS a FROM source_rows WHERE row_group = 0 AND row_index < 120),
-val AS (SELECT DISTINCT canonical_generator_id AS g FROM source_rows WHERE row_group = 0 AND row_index BETWEEN 120 AND 160),
+@query("external_cohorts", sql(SOURCE, f"""
+train AS (SELECT DISTINCT canonical_generator_id AS g, architecture AS a FROM source_rows WHERE {TRAIN_SQL}),
+val AS (SELECT DISTINCT canonical_generator_id AS g FROM source_rows WHERE {HELD_SQL}),
 ev AS (SELECT DISTINCT canonical_generator_id, architecture FROM source_rows)""", select="SELECT canonical_generator_id, CASE WHEN architecture IN (SELECT a FROM train) THEN 'seen_family' ELSE 'unseen_family' END AS cohort FROM ev WHERE canonical_generator_id NOT IN (SELECT g FROM train UNION SELECT g FROM val)"))
 def external_cohorts(spark, sf):
     rows = source_rows(spark, sf)
-    train = rows.filter("row_group = 0 AND row_index < 120")
-    seen = train.select("canonical_generator_id").union(rows.filter("row_group = 0 AND row_index BETWEEN 120 AND 160").select("canonical_generator_id")).distinct()
+    train = rows.filter(in_train())
+    seen = train.select("canonical_generator_id").union(rows.filter(in_validation()).select("canonical_generator_id")).distinct()
     families = train.select("architecture", F.lit(True).alias("_seen")).distinct()
     unseen = rows.select("canonical_generator_id", "architecture").distinct().join(seen, "canonical_generator_id", "left_anti")
     return unseen.join(families, "architecture", "left").select("canonical_generator_id", F.when(F.col("_seen"), "seen_family").otherwise("unseen_family").alias("cohort"))
@@ -181,10 +193,14 @@ def dup_keeper(spark, sf):
     return dedup.with_keeper(rows, "text_digest", "doc_id", stable_digest(47, F.col("text_digest"), F.col("doc_id"))).select("doc_id", "copies", "keeper", "is_keeper")
 
 
-@query("admission_status", "SELECT doc_id, CASE WHEN h IN (SELECT sha256(text) FROM documents WHERE doc_id < 100) THEN 'excluded' WHEN k > 1 THEN 'duplicate' ELSE 'accepted' END AS status FROM (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents WHERE doc_id >= 100)")
+FROZEN_SQL = f"{digest_sql('79', 'doc_id')} < '1'"
+
+
+@query("admission_status", f"SELECT doc_id, CASE WHEN h IN (SELECT sha256(text) FROM documents WHERE {FROZEN_SQL}) THEN 'excluded' WHEN k > 1 THEN 'duplicate' ELSE 'accepted' END AS status FROM (SELECT doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS k FROM documents WHERE NOT {FROZEN_SQL})")
 def admission_status(spark, sf):
     rows = t(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return dedup.admit(rows.filter("doc_id >= 100"), "h", rows.filter("doc_id < 100"), F.col("doc_id")).select("doc_id", "status")
+    frozen = stable_digest(79, F.col("doc_id")) < "1"
+    return dedup.admit(rows.filter(~frozen), "h", rows.filter(frozen), F.col("doc_id")).select("doc_id", "status")
 
 
 @query("dup_counts", sql(MANIFEST, select="SELECT split, count(sha256) - count(DISTINCT sha256) AS sha256_repeats, count(sample_id) - count(DISTINCT sample_id) AS id_repeats FROM manifest GROUP BY split"))
