@@ -5,11 +5,22 @@ make components; rows of keys that hold several components try a few more
 leaders, for as long as that links; then all pairs of a key that are still in
 different components and that a bound does not rule out are verified. So every
 link between different components is found, and none inside one is looked for.
+
+Rows of a large key are mostly texts with a long passage in common that do not
+link. Instead of all their pairs, tokens are counted among the rows of all large
+keys. What two sets share of the tokens that many of these rows hold is no more
+than the smaller of their numbers of such tokens; where a link takes more, the
+two share a token that few hold, and the first of those they share is in the
+prefix of both (the rarest tokens, as many as there are less what must be shared,
+and one more). So each such token is a key, of few rows. Where a link may take no
+more, two sets have nearly all in common if their frequent tokens are the same,
+and leaders have linked them before; these alone still meet in the large key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +28,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fields, tidy
+from .common import Scratch, fields, mix64, tidy
 from .components import components
 
 #: Where open buckets hold more pairs an entry than the first, rows try more leaders before all pairs are verified: each those of so many buckets, for so many rounds at most.
 PAIRS_AN_ENTRY, TRIES, STAR_ROUNDS = 1, 16, 8
 
+#: Rows of a large key at least, and of a frequent token among the rows of large keys; ratio of the bounds of a class of sizes, in percent.
+LARGE, MANY, SIZE_RATIO = 64, 128, 110
+ENTRY = fields(("key", T.LongType()), ("row", T.LongType()), ("side", T.IntegerType()), ("weak", T.BooleanType()))
+
 #: A set by its hash.
 SET = ["h1", "h2", "n"]
 #: Whether the rows of two column prefixes can link at all.
@@ -109,6 +124,85 @@ def _more_stars(rest: DataFrame, turn: int, sketch: Sequence[str], may_link: May
     return met.select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()
 
 
+@lru_cache(maxsize=8)
+def size_edges(top: int) -> np.ndarray:
+    """Smallest sizes of the classes of sizes: each over the one before by a tenth (SIZE_RATIO), by one at least. top is a power of two; the last is beyond it."""
+    edges = [1]
+    while edges[-1] <= top:
+        edges.append(max(edges[-1] + 1, edges[-1] * SIZE_RATIO // 100))
+    return np.array(edges, np.int64)
+
+
+def least_overlap(a: int, b: int, percent: int) -> int:
+    """Tokens that similar sets of a and b tokens share at least."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def prefix_entries(n: int, frequent: int, shared: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sides and weakness of a set of n tokens: frequent of them are frequent, shared are those that few rows hold, but not this one alone, the rarest first. For each class of sizes of a partner, a key for each token of the prefix; and one more, a weak one, of the class itself, where a link may need none of them."""
+    edges = size_edges(1 << max(10, (2 * n).bit_length()))
+    own = int(np.searchsorted(edges, n, side="right")) - 1
+    least, most = -(-n * percent // 100), n * 100 // percent
+    alone = n - frequent - len(shared)
+    keys, sides, weak = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+    for other in range(int(np.searchsorted(edges, least, side="right")) - 1, int(np.searchsorted(edges, most, side="right"))):
+        a, b = sorted((own, other))
+        tag, side = (a << 20 | b) << 8, 0 if own == other else 1 if own == a else 2
+        needed = least_overlap(n, max(int(edges[other]), least), percent) - frequent
+        first = max(0, n - frequent - max(needed, 1) + 1 - alone)
+        found = mix64(mix64(shared[:first]) ^ np.uint64(tag))
+        if needed <= 0:
+            found = np.append(found, mix64(np.array([~tag & (1 << 64) - 1], np.uint64)))
+        keys.append(found)
+        sides.append(np.full(len(found), side, np.int32))
+        weak.append(np.arange(len(found)) >= len(found) - (needed <= 0))
+    return np.concatenate(keys), np.concatenate(sides), np.concatenate(weak)
+
+
+def _entries(percent: int):
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, made = batch.column("row").to_pylist(), []
+            for n, frequent, shared in zip(*(batch.column(c).to_pylist() for c in ("n", "frequent", "shared")), strict=True):
+                made.append(prefix_entries(n, frequent, np.array(shared, np.int64).view(np.uint64), percent))
+            keys, sides, weak = (np.concatenate(x) for x in zip(*made, strict=True)) if made else ([], [], [])
+            owner = np.repeat(np.array(rows, np.int64), [len(k) for k, _, _ in made])
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys, np.uint64).view(np.int64)), pa.array(owner), pa.array(np.asarray(sides, np.int32)), pa.array(np.asarray(weak, bool))], names=ENTRY.names)
+
+    return index
+
+
+def _exploded(unpack: Callable[[pa.Scalar], np.ndarray]):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [unpack(t) for t in batch.column("tokens")]
+            rows = np.repeat(np.asarray(batch.column("row")), [len(t) for t in tokens])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate([np.zeros(0, np.uint64), *tokens]).astype(np.uint64).view(np.int64))], names=["row", "token"])
+
+    return explode
+
+
+def _both_sides(entries: DataFrame) -> DataFrame:
+    """Entries (key, side, ...) of keys under which two rows can meet."""
+    sides = entries.groupBy("key").agg(F.min("side").alias("_s"), F.max("side").alias("_t"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND (_t = 0 OR _s < _t)").select("key")
+    return entries.join(sides, "key", "left_semi")
+
+
+def split_large(rest: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, sketch: Sequence[str], may_link: MayLink, percent: int, scratch: Scratch, unpack: Callable[[pa.Scalar], np.ndarray]) -> DataFrame:
+    """Pairs (x_row, y_row) of different components that share a large key and may link, and some that share none: by rare tokens, and what is left by the large keys."""
+    held = scratch.written(rest.join(large, "key", "left_semi"), "large")
+    rows = held.select("row").distinct()
+    tokens = scratch.written(sets.select("row", "tokens").join(rows, "row", "left_semi").mapInArrow(tidy(_exploded(unpack), 256), fields(("row", T.LongType()), ("token", T.LongType()))), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    marked = tokens.join(counts, "token").groupBy("row").agg(F.count_if(F.col("rows") >= MANY).alias("frequent"), F.sort_array(F.collect_list(F.when(F.col("rows") < MANY, F.struct("rows", "token")))).alias("few"))
+    profile = marked.join(sets.select("row", "n"), "row").select("row", "n", "frequent", F.transform("few", lambda x: x["token"]).alias("shared"))
+    entries = scratch.written(profile.mapInArrow(tidy(_entries(percent), 256), ENTRY), "entries")
+    by_token = _open(_both_sides(entries.filter("NOT weak")), found, sets.select("row", *sketch), sets.count())
+    weak = entries.filter("weak").select("row", "side", F.col("key").alias("sizes"))
+    by_key = _both_sides(held.drop("side").join(weak, "row").withColumn("key", F.xxhash64("key", "sizes")).drop("sizes"))
+    return _across(by_token, by_token, sketch, may_link).select("x_row", "y_row").unionByName(_across(by_key, by_key, sketch, may_link).select("x_row", "y_row"))
+
+
 def linked_components(shared: DataFrame, sets: DataFrame, sketch: Sequence[str], may_link: MayLink, percent: int, scratch: Scratch, unpack: Callable[[pa.Scalar], np.ndarray] = raw) -> DataFrame:
     """node, component (its smallest row) of all rows that link with another.
 
@@ -138,7 +232,13 @@ def linked_components(shared: DataFrame, sets: DataFrame, sketch: Sequence[str],
             break
 
     # all pairs that share a bucket and are in different components still
-    pairs = _across(rest, rest, sketch, may_link).filter("x_row < y_row").select(F.col("x_row").alias("a"), F.col("y_row").alias("b")).distinct()
+    large = written(rest.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= LARGE).select("key"), "large-keys")
+    n_large = large.count()
+    few = rest.join(small(large, n_large, 16), "key", "left_anti") if n_large else rest
+    met = _across(few, few, sketch, may_link).select("x_row", "y_row")
+    if n_large:
+        met = met.unionByName(split_large(rest, small(large, n_large, 16), found, sets, sketch, may_link, percent, scratch, unpack))
+    pairs = met.filter("x_row < y_row").select(F.col("x_row").alias("a"), F.col("y_row").alias("b")).distinct()
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(pairs, sets, percent, unpack), "links")
     return found if more.isEmpty() else components(links.unionByName(more), scratch=scratch)

@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, chosen, documents, fields, give_back, mix64, tidy
-from .links import SET, linked_components, named_by_component, small, with_class
+from .links import SET, least_overlap, linked_components, named_by_component, size_edges, small, with_class
 
 BITS = 56
 #: Documents of a chunk at most, so that a place in it takes two bytes.
@@ -70,8 +70,8 @@ FREQUENT = 32
 WORDS = 4
 #: Documents of a chunk from which on a token's places stay with the chunk.
 HELD_AT_HOME = 8
-#: Tokens of a combination at most, and the ratio of the bounds of a class of sizes, in percent.
-MOST_WIDTH, SIZE_RATIO = 4, 110
+#: Tokens of a combination at most.
+MOST_WIDTH = 4
 #: Rows of postings: a chunk's documents; tokens with their places; tokens with counts, of which the places stay; those places.
 HEAD, PLACED, COUNTED, AT_HOME = range(4)
 #: Classes of frequency: powers of two of the documents that hold a token.
@@ -267,15 +267,6 @@ def _assemble(percent: int):
     return assemble
 
 
-@lru_cache(maxsize=8)
-def size_edges(top: int) -> np.ndarray:
-    """Smallest sizes of the classes of sizes: each over the one before by a tenth (SIZE_RATIO), by one at least. top is a power of two; the last is beyond it."""
-    edges = [1]
-    while edges[-1] <= top:
-        edges.append(max(edges[-1] + 1, edges[-1] * SIZE_RATIO // 100))
-    return np.array(edges, np.int64)
-
-
 def combination_width(rank: int, frequent: int, n_docs: int) -> int:
     """Tokens of a combination in the class of tokens that 2**rank to 2**(rank + 1) of n_docs documents hold."""
     if rank < int(math.log2(frequent)):
@@ -292,11 +283,6 @@ def worth(width: int) -> float:
     return sum(math.exp(-mean) * mean**p / math.factorial(p) * (p - width + 1) for p in range(width, 40))
 
 
-def least_overlap(a: int, b: int, percent: int) -> int:
-    """Tokens that similar sets of a and b tokens share at least."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 @lru_cache(maxsize=4096)
 def _choices(n: int, width: int) -> np.ndarray:
     return np.array(list(combinations(range(n), width)), np.int64).reshape(-1, width)
