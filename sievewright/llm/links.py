@@ -36,6 +36,8 @@ PAIRS_AN_ENTRY, TRIES, STAR_ROUNDS = 1, 16, 8
 
 #: Rows of a large key at least, and of a frequent token among the rows of large keys; ratio of the bounds of a class of sizes, in percent.
 LARGE, MANY, SIZE_RATIO = 64, 128, 110
+#: Frequent tokens at most; where there would be more, more rows are needed for one.
+MOST_FREQUENT = 1_000_000
 ENTRY = fields(("key", T.LongType()), ("row", T.LongType()), ("side", T.IntegerType()), ("weak", T.BooleanType()))
 
 #: A set by its hash.
@@ -172,14 +174,33 @@ def _entries(percent: int):
     return index
 
 
-def _exploded(unpack: Callable[[pa.Scalar], np.ndarray]):
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(unpack: Callable[[pa.Scalar], np.ndarray]):
+    """Tokens of a few thousand rows, with the number that holds each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, rows = np.unique(np.concatenate([np.zeros(0, np.uint64), *[unpack(t).astype(np.uint64) for t in batch.column("tokens")]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(rows.astype(np.int64))], names=["token", "rows"])
+
+    return count
+
+
+def _parted(unpack: Callable[[pa.Scalar], np.ndarray], frequent):
+    """The number of frequent tokens of each row, and its others."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
         for batch in batches:
-            tokens = [unpack(t) for t in batch.column("tokens")]
-            rows = np.repeat(np.asarray(batch.column("row")), [len(t) for t in tokens])
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.concatenate([np.zeros(0, np.uint64), *tokens]).astype(np.uint64).view(np.int64))], names=["row", "token"])
+            others, n = [], []
+            for data in batch.column("tokens"):
+                tokens = unpack(data).astype(np.uint64).view(np.int64)
+                at = np.searchsorted(often, tokens)
+                is_often = often[np.minimum(at, len(often) - 1)] == tokens if len(often) else np.zeros(len(tokens), bool)
+                n.append(int(is_often.sum()))
+                others.append(tokens[~is_often].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n"), pa.array(n, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names=["row", "n", "frequent", "others"])
 
-    return explode
+    return part
 
 
 def _both_sides(entries: DataFrame) -> DataFrame:
@@ -192,10 +213,17 @@ def split_large(rest: DataFrame, large: DataFrame, found: DataFrame, sets: DataF
     """Pairs (x_row, y_row) of different components that share a large key and may link, and some that share none: by rare tokens, and what is left by the large keys."""
     held = scratch.written(rest.join(large, "key", "left_semi"), "large")
     rows = held.select("row").distinct()
-    tokens = scratch.written(sets.select("row", "tokens").join(rows, "row", "left_semi").mapInArrow(tidy(_exploded(unpack), 256), fields(("row", T.LongType()), ("token", T.LongType()))), "tokens")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    marked = tokens.join(counts, "token").groupBy("row").agg(F.count_if(F.col("rows") >= MANY).alias("frequent"), F.sort_array(F.collect_list(F.when(F.col("rows") < MANY, F.struct("rows", "token")))).alias("few"))
-    profile = marked.join(sets.select("row", "n"), "row").select("row", "n", "frequent", F.transform("few", lambda x: x["token"]).alias("shared"))
+    own = scratch.written(sets.select("row", "n", "tokens").join(rows, "row", "left_semi"), "large-sets")
+    counts = own.select("tokens").mapInArrow(tidy(_counted(unpack), 4096), fields(("token", T.LongType()), ("rows", T.LongType()))).groupBy("token").agg(F.sum("rows").alias("rows"))
+    counts = scratch.written(counts.filter("rows > 1"), "tokens")
+    # at most MOST_FREQUENT tokens are held by a so-manyth part of all: 8 bytes each to the driver and back
+    held_tokens = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    many = max(MANY, -(-held_tokens // MOST_FREQUENT))
+    frequent = held.sparkSession.sparkContext.broadcast(np.sort(counts.filter(F.col("rows") >= many).select("token").toArrow().column("token").to_numpy()))
+    parted = own.mapInArrow(tidy(_parted(unpack, frequent), 256), fields(("row", T.LongType()), ("n", T.LongType()), ("frequent", T.LongType()), ("others", T.ArrayType(T.LongType()))))
+    few = parted.select("row", F.explode("others").alias("token")).join(counts.filter(F.col("rows") < many), "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("few"))
+    none = F.array().cast("array<bigint>")
+    profile = parted.drop("others").join(few, "row", "left").select("row", "n", "frequent", F.coalesce(F.transform("few", lambda x: x["token"]), none).alias("shared"))
     entries = scratch.written(profile.mapInArrow(tidy(_entries(percent), 256), ENTRY), "entries")
     by_token = _open(_both_sides(entries.filter("NOT weak")), found, sets.select("row", *sketch), sets.count())
     weak = entries.filter("weak").select("row", "side", F.col("key").alias("sizes"))

@@ -40,7 +40,7 @@ def run(spark, name):
 
 
 def test_all_queries_are_there():
-    assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {k.split("_")[0] for k in registry.QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
     assert registry.ORACLES.keys() <= entry.oracle_sql().keys() and registry.QUERIES.keys() <= entry.queries().keys()
 
 
