@@ -15,7 +15,6 @@ sum them up for their documents.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import os
 import re
