@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a stretch, about; stretches at most; sampled keys for each.
-STRETCH_ROWS, MOST_STRETCHES, SAMPLED = 1 << 18, 4096, 24
+STRETCH_ROWS, MOST_STRETCHES, SAMPLED = 1 << 20, 4096, 24
 
 
 def _bounds(rows: DataFrame, key: Sequence[str], n_rows: int, stretch_rows: int) -> list[tuple]:
