@@ -14,11 +14,15 @@ two share a token that few hold, and the first of those they share is in the
 prefix of both (the rarest tokens, as many as there are less what must be shared,
 and one more). So each such token is a key, of few rows. Where a link may take no
 more, two sets have nearly all in common if their frequent tokens are the same,
-and leaders have linked them before; these alone still meet in the large key.
+and leaders have linked them before; these alone still meet in the large key,
+and only with rows of a size that may link.
+
+A row's sketch is looked up once, not for each of its keys and rounds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -38,7 +42,7 @@ PAIRS_AN_ENTRY, TRIES, STAR_ROUNDS = 1, 16, 8
 LARGE, MANY, SIZE_RATIO = 64, 128, 110
 #: Frequent tokens at most; where there would be more, more rows are needed for one.
 MOST_FREQUENT = 1_000_000
-ENTRY = fields(("key", T.LongType()), ("row", T.LongType()), ("side", T.IntegerType()), ("weak", T.BooleanType()))
+ENTRY = fields(("key", T.LongType()), ("row", T.LongType()), ("side", T.IntegerType()))
 
 #: A set by its hash.
 SET = ["h1", "h2", "n"]
@@ -99,11 +103,18 @@ def with_class(meta: DataFrame, classes: DataFrame, n_rows: int, how: str) -> Da
     return hot.filter("copies IS NOT NULL").unionByName(rest.select(*hot.columns))
 
 
-def _open(shared: DataFrame, found: DataFrame, sketches: DataFrame, n_sketches: int) -> DataFrame:
-    """key, row, side, component and sketch of the rows of buckets that hold more than one component."""
-    now = shared.select("key", "row", "side").join(small(found.withColumnRenamed("node", "row"), found.count(), 24), "row", "left").withColumn("component", F.coalesce("component", "row"))
+def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """entries (key, row, side, ...) of buckets that hold more than one component, with the component of each."""
+    now = entries.drop("component").join(small(found.withColumnRenamed("node", "row"), found.count(), 24), "row", "left").withColumn("component", F.coalesce("component", "row"))
     open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    return now.join(open_keys, "key").join(small(sketches, n_sketches, 8 + 8 * len(sketches.columns)), "row")
+    return now.join(open_keys, "key")
+
+
+def _sketched(entries: DataFrame, sketches: DataFrame, n_sketches: int) -> DataFrame:
+    """entries (key, row, side, component) with the sketch of their row, looked up once for all keys of a row."""
+    of_row = entries.groupBy("row", "component").agg(F.collect_list(F.struct("key", "side")).alias("keys"))
+    known = of_row.join(small(sketches, n_sketches, 8 + 8 * len(sketches.columns)), "row")
+    return known.withColumn("k", F.explode("keys")).select("k.key", "row", "k.side", "component", *[c for c in sketches.columns if c != "row"])
 
 
 def _as(rows: DataFrame, prefix: str, sketch: Sequence[str]) -> DataFrame:
@@ -162,14 +173,17 @@ def prefix_entries(n: int, frequent: int, shared: np.ndarray, percent: int) -> t
 
 
 def _entries(percent: int):
+    """The keys of rows but for weak ones."""
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, made = batch.column("row").to_pylist(), []
             for n, frequent, shared in zip(*(batch.column(c).to_pylist() for c in ("n", "frequent", "shared")), strict=True):
-                made.append(prefix_entries(n, frequent, np.array(shared, np.int64).view(np.uint64), percent))
-            keys, sides, weak = (np.concatenate(x) for x in zip(*made, strict=True)) if made else ([], [], [])
-            owner = np.repeat(np.array(rows, np.int64), [len(k) for k, _, _ in made])
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys, np.uint64).view(np.int64)), pa.array(owner), pa.array(np.asarray(sides, np.int32)), pa.array(np.asarray(weak, bool))], names=ENTRY.names)
+                found, side, weak = prefix_entries(n, frequent, np.array(shared, np.int64).view(np.uint64), percent)
+                made.append((found[~weak], side[~weak]))
+            keys, sides = (np.concatenate(x) for x in zip(*made, strict=True)) if made else ([], [])
+            owner = np.repeat(np.array(rows, np.int64), [len(k) for k, _ in made])
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys, np.uint64).view(np.int64)), pa.array(owner), pa.array(np.asarray(sides, np.int32))], names=ENTRY.names)
 
     return index
 
@@ -209,6 +223,16 @@ def _both_sides(entries: DataFrame) -> DataFrame:
     return entries.join(sides, "key", "left_semi")
 
 
+def _weak_entries(held: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """Entries of held whose rows may link without a token that few hold, with size and frequent, under keys of their key and size: a row meets those of its own bin of sizes (side 0), and of the one below (side 1). Bins are a little wider than sizes of a link may differ, so such sizes are never two bins apart."""
+    n, width = F.col("n"), math.log(100 / percent) + 1e-4
+    least = F.ceil(n * percent / 100)
+    weak = profile.filter(percent * (n + least) <= (100 + percent) * F.col("frequent")).select("row", n.alias("size"), "frequent", F.floor(F.log(n) / width).alias("bin"))
+    bins = F.explode(F.array(*[F.struct((F.col("bin") - below).alias("bin"), F.lit(below).alias("side")) for below in (0, 1)]))
+    binned = held.drop("side").join(weak, "row").withColumn("at", bins)
+    return _both_sides(binned.withColumns({"key": F.xxhash64("key", "at.bin"), "side": F.col("at.side")}).drop("bin", "at"))
+
+
 def split_large(rest: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, sketch: Sequence[str], may_link: MayLink, percent: int, scratch: Scratch, unpack: Callable[[pa.Scalar], np.ndarray]) -> DataFrame:
     """Pairs (x_row, y_row) of different components that share a large key and may link, and some that share none: by rare tokens, and what is left by the large keys."""
     held = scratch.written(rest.join(large, "key", "left_semi"), "large")
@@ -223,12 +247,18 @@ def split_large(rest: DataFrame, large: DataFrame, found: DataFrame, sets: DataF
     parted = own.mapInArrow(tidy(_parted(unpack, frequent), 256), fields(("row", T.LongType()), ("n", T.LongType()), ("frequent", T.LongType()), ("others", T.ArrayType(T.LongType()))))
     few = parted.select("row", F.explode("others").alias("token")).join(counts.filter(F.col("rows") < many), "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("few"))
     none = F.array().cast("array<bigint>")
-    profile = parted.drop("others").join(few, "row", "left").select("row", "n", "frequent", F.coalesce(F.transform("few", lambda x: x["token"]), none).alias("shared"))
+    profile = scratch.written(parted.drop("others").join(few, "row", "left").select("row", "n", "frequent", F.coalesce(F.transform("few", lambda x: x["token"]), none).alias("shared")), "profile")
     entries = scratch.written(profile.mapInArrow(tidy(_entries(percent), 256), ENTRY), "entries")
-    by_token = _open(_both_sides(entries.filter("NOT weak")), found, sets.select("row", *sketch), sets.count())
-    weak = entries.filter("weak").select("row", "side", F.col("key").alias("sizes"))
-    by_key = _both_sides(held.drop("side").join(weak, "row").withColumn("key", F.xxhash64("key", "sizes")).drop("sizes"))
-    return _across(by_token, by_token, sketch, may_link).select("x_row", "y_row").unionByName(_across(by_key, by_key, sketch, may_link).select("x_row", "y_row"))
+    by_token = _sketched(_open(_both_sides(entries), found), sets.select("row", *sketch), sets.count())
+    by_key = _weak_entries(held, profile, percent)
+
+    def both_weak(a: str, b: str) -> Column:
+        """Whether a link of the two needs no more than their frequent tokens; where it needs one that few hold, they share an entry by token."""
+        needed = percent * (F.col(f"{a}size") + F.col(f"{b}size"))
+        return (needed <= (100 + percent) * F.least(f"{a}frequent", f"{b}frequent")) & may_link(a, b)
+
+    left = _across(by_key, by_key, [*sketch, "size", "frequent"], both_weak).select("x_row", "y_row")
+    return _across(by_token, by_token, sketch, may_link).select("x_row", "y_row").unionByName(left)
 
 
 def linked_components(shared: DataFrame, sets: DataFrame, sketch: Sequence[str], may_link: MayLink, percent: int, scratch: Scratch, unpack: Callable[[pa.Scalar], np.ndarray] = raw) -> DataFrame:
@@ -243,7 +273,7 @@ def linked_components(shared: DataFrame, sets: DataFrame, sketch: Sequence[str],
     found = components(links, scratch=scratch)
     sketches = sets.select("row", *sketch)
     n_sketches = sets.count()
-    rest = written(_open(shared, found, sketches, n_sketches), "open")
+    rest = written(_sketched(_open(shared.select("key", "row", "side"), found), sketches, n_sketches), "open")
     for turn in range(STAR_ROUNDS):
         cells = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left = cells.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("entries")).first()
@@ -255,7 +285,7 @@ def linked_components(shared: DataFrame, sets: DataFrame, sketch: Sequence[str],
         n_got, n_pairs = got.count(), pairs.count()
         if n_got:
             found = components(links, scratch=scratch)
-            rest = written(_open(rest, found, sketches, n_sketches), "open")
+            rest = written(_open(rest, found), "open")
         if 10 * n_got < n_pairs or 100 * n_got < left["entries"]:
             break
 

@@ -81,3 +81,15 @@ def test_a_common_passage_makes_few_pairs(spark, n):
     met = links.split_large(rest, rest.select("key").distinct(), found, table, ["n"], lambda a, b: F.lit(True), 80, scratch, links.raw)
     assert 0 < met.count() / n < 15 * 40
     scratch.clear()
+
+
+def test_weak_rows_have_two_entries_a_key(spark):
+    """Near copies of all sizes that share three large keys: each has two entries a key, whatever the classes of sizes of its partners, and rows of sizes that may link meet in one bin."""
+    sizes = [10, 12, 15, 40, 41, 50, 60, 62, 75, 78, 100, 125, 1000, 1249, 1250]
+    profile = spark.createDataFrame([(i, n, n) for i, n in enumerate(sizes)], "row long, n long, frequent long")
+    held = profile.select("row", F.explode(F.array(*[F.lit(k).cast("long") for k in (7, 8, 9)])).alias("key"), F.lit(0).alias("side"), F.col("row").alias("component"))
+    entries = links._weak_entries(held, profile, 80).collect()
+    assert len(entries) <= 2 * 3 * len(sizes)
+    met = {(a["row"], b["row"]) for a in entries for b in entries if a["key"] == b["key"] and (a["side"] == 0 or a["side"] != b["side"])}
+    assert all((a, b) in met for a, x in enumerate(sizes) for b, y in enumerate(sizes) if 80 * x <= 100 * y and 80 * y <= 100 * x and a != b)
+    assert not any(x > 2 * y for x, y in ((sizes[a], sizes[b]) for a, b in met))
