@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -90,3 +91,13 @@ def test_odd_rows(spark):
     assert {k[0] for k in got} == {"one", None} and got["one", "auroc"]["estimate"] is None and got["one", "recall"]["estimate"] == 0.5 and got["one", "specificity"]["estimate"] == 0.0
     assert got[None, "auroc"]["estimate"] == 1.0 == got[None, "auroc"]["low"]
     assert resample.bootstrap(df.limit(0), "g", rounds=4).count() == 0
+
+
+def test_draws_stay_small(spark):
+    """A digest is taken apart once a draw, not once a step of the search; the table of distribution functions is no part of the plan; pairs of scores are summed by score before there is a row for each round."""
+    _, df = made(spark, 20)
+    plan = resample.paired_bootstrap(df, "g", "pred", "other", rounds=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda x" in plan and not re.search(r"lambda x\S* < [^,]*conv\(", plan)
+    assert len(plan) < 40_000
+    above = plan[: plan.index("slot, 0")]  # the rows for each round come after (in the text, above) the draws
+    assert "lambda x" not in above and "lambda x" in plan[len(above) :]
