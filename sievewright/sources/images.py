@@ -91,10 +91,11 @@ def harmonised(images: DataFrame, size: int = 224, quality: int = 90) -> DataFra
 
 
 def view_mismatches(images: DataFrame, matrix: Sequence[dict], position: Column, parts: tuple[int, int] = (3, 7)) -> DataFrame:
-    """Every view made twice, under two partitionings, and joined: path, view, first, second (digests) and status: `ok`, `differs`, `missing` in one of them, or `source changed`."""
+    """Every view made twice, under two partitionings, and joined: path, view, first, second (digests) and status: `ok`, `differs`, `missing` in one of them, or `source changed`. parts: numbers of partitions; where a run has fewer than there are cores, both are multiplied by as much as it takes to give each core one."""
     runs = []
+    times = -(-images.sparkSession.sparkContext.defaultParallelism // min(parts))
     for n, name in zip(parts, ("first", "second"), strict=True):
-        dealt = images.repartition(n, F.xxhash64("path", F.lit(n)))
+        dealt = images.repartition(n * times, F.xxhash64("path", F.lit(n)))
         made = transformed(dealt, matrix, position)
         runs.append(made.select("path", "view", F.sha2("pixels", 256).alias(name), F.col("intact").alias(f"{name}_intact")))
     joined = runs[0].join(runs[1], ["path", "view"], "full")

@@ -94,3 +94,11 @@ def test_documents_caches_files(spark, tmp_path):
     assert {r["path"]: r["status"] for r in src.verify_files(manifest, files).collect()} == {"a": "ok", "b": "size", "c": "digest", "d": "missing"}
     assert [r["path"] for r in src.pending(manifest, files, ["path"]).collect()] == ["d"]
     assert src.provenance(spark, "n", "SELECT 1", ["t"]).first()["engine"] == "spark"
+
+
+def test_views_made_twice_use_all_cores(spark):
+    """Both runs of the audit have a partition for each core at least, and not the same number."""
+    rows = spark.createDataFrame([("1", 1, 1, 1, bytearray(b"x"), "ok")], "path string, width int, height int, channels int, pixels binary, status string")
+    plan = images.view_mismatches(rows, [{"name": "clean"}], F.lit(0))._jdf.queryExecution().optimizedPlan().toString()
+    parts = [int(line.rsplit(", ", 1)[1]) for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(set(parts)) == 2 and min(parts) >= spark.sparkContext.defaultParallelism
